@@ -16,6 +16,8 @@ CELL = T.StructType(
         T.StructField("txt", T.StringType()),
     ]
 )
+# A cell of a template also carries the number that stands in it.
+READ_CELL = T.StructType([*CELL.fields, T.StructField("read", T.DoubleType())])
 
 
 def cell(kind, num, txt) -> Column:
@@ -34,11 +36,14 @@ def number_cell(num: Column) -> Column:
     return cell("num", num, None)
 
 
-def typed_value(c: Column) -> Column:
+def typed_value(c: Column, number: Column | None = None) -> Column:
     """Source text as the value to write, struct<kind, num, txt, force_text>:
-    blank to '', identifiers kept as text, numbers parsed, other text untouched."""
+    blank to '', identifiers kept as text, numbers parsed, other text untouched.
+
+    number: the parsed number, where it is at hand already.
+    """
     s = strip(c)
-    number = N.parse_number(c)
+    number = N.parse_number(c) if number is None else number
     blank = c.isNull() | (s == "")
     ident = N.is_identifier(c)
     is_num = ~blank & ~ident & number.isNotNull()
@@ -92,7 +97,23 @@ def compare_class(value: Column) -> Column:
     against the value now in the cell' is the same as 'unchanged against the update
     before', which is what lets sequences of updates run as a lag.
     """
-    num = F.when(value["kind"].isin("num", "bool"), value["num"]).otherwise(N.parse_number(value["txt"]))
+    return class_of(value, N.parse_number(value["txt"]))
+
+
+def written_class(value: Column) -> Column:
+    """Compare class of a value made by typed_value or planned_value. Its text is known
+    not to be a localised number, at most the digits of an identifier."""
+    return class_of(value, N.to_double(strip(value["txt"])))
+
+
+def number_in(kind: Column, num: Column, text_number: Column) -> Column:
+    """The number of a cell, of whatever type."""
+    return F.when(kind.isin("num", "bool"), num).otherwise(text_number)
+
+
+def class_of(value: Column, text_number: Column) -> Column:
+    """Compare class when the number of the text is at hand."""
+    num = number_in(value["kind"], value["num"], text_number)
     return F.struct(
         num.alias("num"),
         F.when(num.isNull(), F.coalesce(strip(value["txt"]), F.lit(""))).alias("txt"),

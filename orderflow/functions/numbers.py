@@ -24,9 +24,9 @@ def strip_currency(c: Column) -> Column:
     return strip(c)
 
 
-def decimal_text(c: Column) -> Column:
-    """Rewrite EU or US grouped text to plain decimal text; the first matching rule wins."""
-    s = strip_currency(c)
+def decimal_text(s: Column) -> Column:
+    """Rewrite EU or US grouped text without currency marks to plain decimal text; the
+    first matching rule wins."""
     has_dot, has_comma = s.contains("."), s.contains(",")
     return (
         F.when(has_comma & has_dot & s.rlike(_EU_GROUPS), F.translate(s, ",.", "."))
@@ -43,8 +43,12 @@ def to_double(c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """Localised number text to double, null when it cannot be read."""
-    return to_double(decimal_text(c))
+    """Localised number text to double, null when it cannot be read.
+
+    For whole columns parse_number_columns is better: it takes the three steps one
+    after the other, so that none is repeated where the next one looks twice.
+    """
+    return to_double(decimal_text(strip_currency(c)))
 
 
 def is_identifier(c: Column) -> Column:

@@ -82,21 +82,6 @@ def mixed_packing(ctn: Column, plt: Column, low: Column, high: Column) -> Column
     return F.when(top >= 0, F.coalesce(*attempts)).cast("bigint")
 
 
-def plan_quantity(quantity: Column, per_carton: Column, per_pallet: Column, increase, decrease) -> Column:
-    """Planned whole quantity, null when nothing fits (or there is no quantity).
-
-    All three inputs are cut to whole numbers first; where one is not positive the
-    cut quantity is returned as it is.
-    """
-    q = quantity.try_cast("bigint")
-    ctn, plt = per_carton.try_cast("bigint"), per_pallet.try_cast("bigint")
-    usable = (q > 0) & (ctn > 0) & (plt > 0)
-    low, high = allowed_range(q, tolerance_ratio(increase, q), tolerance_ratio(decrease, q))
-    return F.when(
-        usable, F.coalesce(full_pallets(q, plt, low, high), mixed_packing(ctn, plt, low, high))
-    ).otherwise(q)
-
-
 def planned_value(original: Column, plan: Column, planned: Column) -> Column:
     """The cell to write: the number itself if the plan keeps it, else 'original/plan'.
 

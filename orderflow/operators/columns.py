@@ -107,19 +107,23 @@ def strip_thousands_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def coerce_typed_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _map_columns(df, columns, C.typed_value)
+    parsed = parse_number_columns(df, columns, "__num")
+    values = {c: C.typed_value(F.col(f"`{c}`"), F.col(f"`{c}__num`")) for c in columns if c in df.columns}
+    return parsed.withColumns(values).drop(*[f"{c}__num" for c in values])
 
 
 def parse_number_columns(df: DataFrame, columns: Sequence[str], suffix: str = "_num") -> DataFrame:
-    """Add the parsed double next to each text column.
+    """Add the parsed double next to each text column."""
+    return add_numbers(df, {f"{c}{suffix}": F.col(f"`{c}`") for c in columns if c in df.columns})
 
-    The rewritten text is a column of its own step, so that the rule chain runs once
-    per value although the parse looks at it twice.
-    """
-    present = [c for c in columns if c in df.columns]
-    staged = df.withColumns({f"__{c}": N.decimal_text(F.col(f"`{c}`")) for c in present})
-    parsed = staged.withColumns({f"{c}{suffix}": N.to_double(F.col(f"`__{c}`")) for c in present})
-    return parsed.drop(*[f"__{c}" for c in present])
+
+def add_numbers(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Add columns with the number of each text, in three steps that look at one value
+    each, so that no step is repeated where the next one looks twice."""
+    staged = df.withColumns({f"__{name}": N.strip_currency(c) for name, c in texts.items()})
+    staged = staged.withColumns({f"__{name}": N.decimal_text(F.col(f"`__{name}`")) for name in texts})
+    staged = staged.withColumns({name: N.to_double(F.col(f"`__{name}`")) for name in texts})
+    return staged.drop(*[f"__{name}" for name in texts])
 
 
 def apply_null_markers(df: DataFrame) -> DataFrame:

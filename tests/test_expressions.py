@@ -7,6 +7,7 @@ from orderflow.functions import cells as C
 from orderflow.functions import numbers as N
 from orderflow.functions import packing as K
 from orderflow.functions import text as X
+from orderflow.operators.packing import plan_packing
 
 
 def apply(spark, values, expr, dtype="string"):
@@ -163,8 +164,7 @@ def brute_force_plan(q, ctn, plt, inc, dec):
 )
 def test_plan_quantity(spark, q, ctn, plt, inc, dec, want):
     df = spark.createDataFrame([(float(q), float(ctn), float(plt))], "q double, c double, p double")
-    plan = K.plan_quantity(F.col("q"), F.col("c"), F.col("p"), inc, dec)
-    assert df.select(plan).first()[0] == want
+    assert plan_packing(df, F.col("q"), F.col("c"), F.col("p"), inc, dec).first().planned == want
 
 
 def test_plan_quantity_brute_force(spark):
@@ -176,11 +176,11 @@ def test_plan_quantity_brute_force(spark):
         rows.append((rnd.randint(0, 900), rnd.randint(0, 60), rnd.randint(0, 400),
                      rnd.choice([0.0, 0.01, 0.05, 0.15, 0.4]), rnd.choice([0.0, 0.01, 0.05, 0.15, 1.0])))
     df = spark.createDataFrame(rows, "q long, c long, p long, inc double, dec double")
-    plan = K.plan_quantity(
-        F.col("q").cast("double"), F.col("c").cast("double"), F.col("p").cast("double"),
-        F.col("inc").cast("string"), F.col("dec").cast("string"),
+    plan = plan_packing(
+        df, F.col("q").cast("double"), F.col("c").cast("double"), F.col("p").cast("double"),
+        F.col("inc").cast("string"), F.col("dec").cast("string"), "plan",
     )
-    for r in df.withColumn("plan", plan).collect():
+    for r in plan.collect():
         dec = r.dec if r.dec < 1 else (r.dec / r.q if r.q > 0 else 0)
         assert r.plan == brute_force_plan(r.q, r.c, r.p, r.inc, dec), r
 
