@@ -117,13 +117,26 @@ def parse_number_columns(df: DataFrame, columns: Sequence[str], suffix: str = "_
     return add_numbers(df, {f"{c}{suffix}": F.col(f"`{c}`") for c in columns if c in df.columns})
 
 
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add (or replace) columns that are worked out once per row.
+
+    They go through a generator of one row. Behind a plain projection the optimizer
+    would copy the whole expressions into every filter above, and where one step looks
+    at another several times, that multiplies up.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def add_numbers(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     """Add columns with the number of each text, in three steps that look at one value
     each, so that no step is repeated where the next one looks twice."""
+    if not texts:
+        return df
     staged = df.withColumns({f"__{name}": N.strip_currency(c) for name, c in texts.items()})
     staged = staged.withColumns({f"__{name}": N.decimal_text(F.col(f"`__{name}`")) for name in texts})
-    staged = staged.withColumns({name: N.to_double(F.col(f"`__{name}`")) for name in texts})
-    return staged.drop(*[f"__{name}" for name in texts])
+    settled = settle(staged, {name: N.to_double(F.col(f"`__{name}`")) for name in texts})
+    return settled.drop(*[f"__{name}" for name in texts])
 
 
 def apply_null_markers(df: DataFrame) -> DataFrame:

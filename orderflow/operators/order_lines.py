@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import numbers as N
-from orderflow.operators.columns import parse_number_columns
+from orderflow.operators.columns import parse_number_columns, settle
 
 TEXT_COLUMNS = [
     "key", "description", "quantity", "price", "amount", "delivery",
@@ -37,7 +37,7 @@ def to_order_lines(rows: DataFrame, layout: str, numeric: Sequence[str]) -> Data
     )
     parsed = parse_number_columns(filled, [c for c in TEXT_COLUMNS if c in numeric or c in NUMBER_COLUMNS])
     texts = {c: F.coalesce(N.number_text(F.col(f"{c}_num")), F.col(c)) for c in numeric}
-    return parsed.withColumns(texts).select(*COLUMNS)
+    return settle(parsed, texts).select(*COLUMNS)
 
 
 def union_order_lines(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.functions import numbers as N
 from orderflow.functions import text as X
+from orderflow.operators.columns import parse_number_columns
 
 # Characters that point to a broken extraction, and their names.
 SUSPICIOUS_CHARACTERS = {
@@ -38,20 +38,25 @@ def rule_columns(df: DataFrame, rules: Rules) -> list[str]:
     return [c for c in named if c and c in df.columns]
 
 
-def _number(df: DataFrame, column: str) -> Column:
+def _number(column: str) -> Column:
     """The number of a text cell. A column parsed before (suffix _num) is used as it is:
     normalised text must not be read a second time, 1.234 would turn into 1234."""
-    if f"{column}_num" in df.columns:
-        return F.col(f"`{column}_num`")
-    return N.parse_number(F.col(f"`{column}`"))
+    return F.col(f"`{column}_num`")
+
+
+def with_numbers(df: DataFrame, rules: Rules) -> DataFrame:
+    """The rule columns' numbers as columns, for those that have none yet."""
+    missing = [c for c in rule_columns(df, rules) if f"{c}_num" not in df.columns]
+    return parse_number_columns(df, missing)
 
 
 def with_reject_reasons(df: DataFrame, rules: Rules) -> DataFrame:
     """Add reject_reasons: the cells of a row that hold text where a number belongs."""
+    df = with_numbers(df, rules)
     reasons = []
     for column in rule_columns(df, rules):
         text = F.col(f"`{column}`")
-        bad = text.isNotNull() & (text != "") & _number(df, column).isNull()
+        bad = text.isNotNull() & (text != "") & _number(column).isNull()
         reasons.append(F.when(bad, F.struct(F.lit(column).alias("column"), text.alias("value"))))
     empty = F.array().cast("array<struct<column:string,value:string>>")
     return df.withColumn("reject_reasons", F.array_compact(F.array(*reasons)) if reasons else empty)
@@ -60,8 +65,9 @@ def with_reject_reasons(df: DataFrame, rules: Rules) -> DataFrame:
 def split_invalid_numeric(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """Rows whose numbers can be read, and the others with their reasons. Both narrow."""
     checked = with_reject_reasons(df, rules)
-    clean = checked.filter(F.size("reject_reasons") == 0).drop("reject_reasons")
-    return clean, checked.filter(F.size("reject_reasons") > 0)
+    clean = checked.filter(F.size("reject_reasons") == 0)
+    rejects = checked.filter(F.size("reject_reasons") > 0)
+    return clean.select(*df.columns), rejects.select(*df.columns, "reject_reasons")
 
 
 def total_differs(quantity: Column, price: Column, amount: Column) -> Column:
@@ -74,7 +80,7 @@ def _total_flags(df: DataFrame, rules: Rules) -> Column | None:
     names = [rules.get(role) for role in ROLES]
     if not all(name and name in df.columns for name in names):
         return None
-    wrong = total_differs(*[_number(df, name) for name in names])
+    wrong = total_differs(*[_number(name) for name in names])
     cells = F.array(*[_flag(F.lit(name), F.lit(TOTAL_MISMATCH)) for name in names])
     return F.when(wrong, cells).otherwise(F.array().cast("array<struct<column:string,reason:string>>"))
 
@@ -117,6 +123,7 @@ def _explode_flags(df: DataFrame, flags: Column, key: str, doc: str) -> DataFram
 
 def line_total_mismatch(df: DataFrame, rules: Rules, key: str, doc: str = "doc_id") -> DataFrame:
     """Flags on quantity, price and amount of rows whose total is wrong."""
+    df = with_numbers(df, rules)
     flags = _total_flags(df, rules)
     if flags is None:
         flags = F.array().cast("array<struct<column:string,reason:string>>")
@@ -163,12 +170,14 @@ def validate(
     """
     key = key or next(c for c in df.columns if c != doc)
     columns = columns if columns is not None else text_columns(df, skip=[doc])
-    clean, rejects = split_invalid_numeric(df, rules)
+    numbered = with_numbers(df, rules)
+    clean, rejects = split_invalid_numeric(numbered, rules)
     found = _character_flags(columns)
     totals = _total_flags(clean, rules)
     if totals is not None:
         found = F.concat(totals, found)
-    return Validated(clean, rejects, flag_union(_explode_flags(clean, found, key, doc)))
+    flags = flag_union(_explode_flags(clean, found, key, doc))
+    return Validated(clean.select(*df.columns), rejects.select(*df.columns, "reject_reasons"), flags)
 
 
 def validation_report(

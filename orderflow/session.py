@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
-    spark = (
+def local_session(name: str, cores: int = 8, shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
@@ -15,7 +15,9 @@ def local_session(name: str, cores: int = 8, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for name_, value in (extra or {}).items():
+        builder = builder.config(name_, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

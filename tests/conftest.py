@@ -10,7 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from orderflow.session import local_session
 
-    session = local_session("tests", cores=4, shuffle_partitions=4)
+    # Tiny inputs: compiling generated code would take most of the time. The queries on
+    # the driver's tables (check.py) run with it.
+    session = local_session("tests", cores=4, shuffle_partitions=2, extra={
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+    })
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
