@@ -261,13 +261,15 @@ def unmatched_keys(spark, sf):
 
 @query
 def detect_change(spark, sf):
-    """The line's price against the price in the template, which is a number."""
+    """A list price written as text against the price in the template, a number."""
     template = T.template_from_table(R.template_table(spark, sf), "Item", ["Price"], "n")
-    df = _lines(spark, sf).withColumn("rounded", F.format_number(F.floor(F.col("l_extendedprice") / 100), 0))
-    found = P.coerce_typed_columns(T.lookup_join(df, "key", template.rows), ["rounded"])
+    tenths = 9000 + F.col("l_partkey") % 1000 + F.when(F.col("l_linenumber") == 3, 1).otherwise(0)
+    text = F.concat(F.floor(tenths / 10).cast("string"), F.lit(","), (tenths % 10).cast("string"), F.lit("0"))
+    df = _lines(spark, sf).withColumn("listed", text)
+    found = P.coerce_typed_columns(T.lookup_join(df, "key", template.rows), ["listed"])
     old = template.cell(template.position("Price"))
-    same = C.same_class(C.class_of(old, old["read"]), C.written_class(F.col("rounded")))
-    return found.select("line_seq", "l_suppkey", "key", F.col("rounded.num").alias("num"), same.alias("unchanged"))
+    same = C.same_class(C.class_of(old, old["read"]), C.written_class(F.col("listed")))
+    return found.select("line_seq", "l_suppkey", "key", F.col("listed.num").alias("num"), same.alias("unchanged"))
 
 
 def _merged(spark, sf, **options):

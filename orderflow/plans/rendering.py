@@ -209,10 +209,11 @@ def document_words(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("doc_id"),
         F.posexplode(F.split("text", "\n")).alias("line", "text"),
     )
-    words = lines.select("doc_id", "line", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    return words.filter("text != ''").select(
+    filled = F.filter(F.split("text", " "), lambda w: w != "")
+    words = lines.select("doc_id", "line", F.posexplode(filled).alias("pos", "text"))
+    return words.select(
         "doc_id", F.expr("cast(line div 50 as int)").alias("page"),
-        (F.col("line") * 100000 + F.col("pos")).cast("int").alias("word_seq"),
+        (F.col("line").cast("bigint") * 1000000 + F.col("pos")).alias("word_seq"),
         (F.col("pos") * 5.0).alias("x0"),
         (F.col("line") % 50 * 12 + F.col("pos") % 5 + 0.25).cast("double").alias("top"), "text",
     )
