@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderflow.sources.readers import spread
+
 HEADERS_ES = ["Artículo", "Descripcion", "Cantidad", "Precio", "Importe", "Entrega"]
 HEADERS_EN = ["Item", "Description", "Quantity", "Price", "Amount", "Delivery"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def us_money(cents: Column) -> Column:

@@ -15,6 +15,13 @@ WORDS = ["doc_id", "page", "word_seq", "x0", "top", "text"]
 PAGES = ["doc_id", "page", "text"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that has fewer splits than there are cores, such as one file of
+    one row group. An input of enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _files(spark: SparkSession, schema: str | None = None):
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     return reader.schema(schema) if schema else reader
