@@ -99,7 +99,11 @@ def clean_text_columns(df: DataFrame, columns: Sequence[str], variant: str) -> D
 
 
 def normalize_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _map_columns(df, columns, N.normalize_number_text)
+    """Localised numbers to canonical decimal text; unreadable text stays as it is."""
+    present = [c for c in columns if c in df.columns]
+    parsed = parse_number_columns(df, present, "__num")
+    texts = {c: F.coalesce(N.number_text(F.col(f"`{c}__num`")), F.col(f"`{c}`")) for c in present}
+    return parsed.withColumns(texts).drop(*[f"{c}__num" for c in present])
 
 
 def strip_thousands_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,8 +19,7 @@ WORD_ORDERS = {
 
 
 def _placed(words: DataFrame) -> DataFrame:
-    """Words with their whole-number top; a word without a place is on no line. Saying
-    so here keeps the two sides of the later join alike, so that they share a shuffle."""
+    """Words with their whole-number top; a word without a place is on no line."""
     placed = words.withColumn("top_key", F.col("top").try_cast("int"))
     return placed.filter(" and ".join(f"{c} is not null" for c in [*PAGE, "top_key"]))
 
@@ -32,8 +31,17 @@ def _order(kind: str) -> Column:
     return columns[0] if len(columns) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
 
 
-def _assign_lines(tops: DataFrame, tolerance: int) -> DataFrame:
-    """Fold the distinct tops of each page, in order of first appearance, into lines."""
+def line_keys(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
+    """(doc_id, page, top_key) to line_key.
+
+    A word joins the first line opened whose anchor is less than the tolerance away from
+    its whole-number top, else it opens a line there. Which line that is depends on the
+    top alone: a top that opened a line finds it again, and one that joined a line keeps
+    joining it, as later lines come later in the search. So the words are first cut down
+    to the first appearance of each top per page (combined before the shuffle), and only
+    the distinct tops of a page, bounded by its height, are folded in order.
+    """
+    tops = _placed(words).groupBy(*PAGE, "top_key").agg(F.min(_order(order)).alias("first"))
     pages = tops.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("first", "top_key"))).alias("tops"))
 
     def assign(done: Column, item: Column) -> Column:
@@ -49,42 +57,16 @@ def _assign_lines(tops: DataFrame, tolerance: int) -> DataFrame:
     return pages.select(*PAGE, F.inline(folded))
 
 
-def line_keys(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
-    """(doc_id, page, top_key) to line_key.
-
-    A word joins the first line opened whose anchor is less than the tolerance away from
-    its whole-number top, else it opens a line there. Which line that is depends on the
-    top alone: a top that opened a line finds it again, and one that joined a line keeps
-    joining it, as later lines come later in the search. So the words are first cut down
-    to the first appearance of each top per page (combined before the shuffle), and only
-    the distinct tops of a page, bounded by its height, are folded in order.
-    """
-    tops = _placed(words).groupBy(*PAGE, "top_key").agg(F.min(_order(order)).alias("first"))
-    return _assign_lines(tops, tolerance)
-
-
 def cluster_lines(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
     """Every word with the key of its visual line."""
     return _placed(words).join(line_keys(words, order, tolerance), [*PAGE, "top_key"]).drop("top_key")
 
 
 def assemble_lines(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
-    """Visual lines: words(array by x0) and line_text.
-
-    Words are gathered per exact top before the line is looked up, so the join works on
-    about one row per line instead of one per word. Both sides of the join read the same
-    shuffle of the words.
-    """
-    pieces = _placed(words).groupBy(*PAGE, "top_key").agg(
-        F.collect_list(F.struct("x0", _order(order).alias("tie"), "text")).alias("piece")
-    )
-    tops = pieces.select(
-        *PAGE, "top_key", F.array_min(F.transform("piece", lambda w: w["tie"])).alias("first")
-    )
-    lines = (
-        pieces.join(_assign_lines(tops, tolerance), [*PAGE, "top_key"])
-        .groupBy(*PAGE, "line_key")
-        .agg(F.sort_array(F.flatten(F.collect_list("piece"))).alias("sorted"))
+    """Visual lines: words(array by x0) and line_text. A line is as long as a page is wide."""
+    entry = F.struct("x0", _order(order).alias("tie"), "text")
+    lines = cluster_lines(words, order, tolerance).groupBy(*PAGE, "line_key").agg(
+        F.sort_array(F.collect_list(entry)).alias("sorted")
     )
     return lines.select(
         *PAGE,

@@ -181,7 +181,10 @@ def sequence_updates(
     part = F.expr(f"`{order[0]}` div {int(chunk)}")
     # Rows without a cell have nothing to wait for: spread them.
     spread = F.when(F.col("row_idx").isNull(), F.xxhash64(*order)).otherwise(F.lit(0))
-    keyed = updates.withColumns({"__part": part, "__spread": spread, "__new": C.written_class(F.col("new"))})
+    old = C.class_of(F.col("old"), F.col("old.read"))
+    keyed = updates.withColumns(
+        {"__part": part, "__spread": spread, "__new": C.written_class(F.col("new")), "__old": old}
+    )
     in_chunk = W.partitionBy(*cell, "__spread", "__part").orderBy(*order)
     looked = keyed.withColumns(
         {"__before": F.lag("__new").over(in_chunk), "__after": F.lead(F.lit(True)).over(in_chunk)}
@@ -190,28 +193,33 @@ def sequence_updates(
     grouped = looked.withColumns({"__edge": edge, "__inner": F.when(~edge, F.col("__part"))})
     between = W.partitionBy(*cell, "__spread", "__edge", "__inner").orderBy(*order)
     carried = grouped.withColumn("__carried", F.lag("__new").over(between))
-    old = C.class_of(F.col("old"), F.col("old.read"))
-    previous = F.coalesce("__before", "__carried", old)
+    previous = F.coalesce("__before", "__carried", "__old")
     return carried.withColumn("previous", previous).drop(
-        "__part", "__spread", "__before", "__after", "__edge", "__inner", "__carried"
+        "__part", "__spread", "__before", "__after", "__edge", "__inner", "__carried", "__old"
     )
 
 
 def classify_outcome(updates: DataFrame, flagged: Column) -> DataFrame:
-    """outcome of every update: skipped when the cell already holds the value, flagged
+    """outcome of every sequenced update: skipped when the cell already holds the value, flagged
     when the check marked the source cell, modified when the value differs from the
     source, else written."""
     same = C.same_class(F.col("__new"), F.col("previous"))
-    modified = ~C.same_class(C.written_class(F.col("value")), F.col("__new"))
     outcome = (
         F.when(F.col("key").isNotNull() & (F.col("key") == ""), BLANK_KEY)
         .when(F.col("row_idx").isNull(), UNMATCHED)
         .when(same, SKIPPED)
         .when(flagged, FLAGGED)
-        .when(modified, MODIFIED)
+        .when(F.col("modified"), MODIFIED)
         .otherwise(WRITTEN)
     )
-    return updates.withColumn("outcome", outcome).drop("__new", "previous")
+    return updates.withColumn("outcome", outcome).drop("__new", "previous", "modified")
+
+
+def mark_modified(updates: DataFrame) -> DataFrame:
+    """Whether the value to write differs from the source. Known before the updates are
+    put in order, so that the source value need not travel along for it."""
+    differs = ~C.same_class(C.written_class(F.col("value")), C.written_class(F.col("new")))
+    return updates.withColumn("modified", differs)
 
 
 def attach_rows(lines: DataFrame, key: str, template: Template) -> DataFrame:
@@ -256,7 +264,7 @@ def merge_updates(
     keep = list(dict.fromkeys([doc, *order, "key", "row_idx"]))
     updates = to_cell_updates(found, plan, template, keep + (["__flagged"] if flags is not None else []))
     cell = ([doc] if per_document else []) + ["row_idx", "col_idx"]
-    sequenced = sequence_updates(updates, cell, [*order, "map_order"], chunk)
+    sequenced = sequence_updates(mark_modified(updates), cell, [*order, "map_order"], chunk)
     flagged = (
         F.coalesce(F.array_contains("__flagged", F.col("source_column")), F.lit(False))
         if flags is not None else F.lit(False)

@@ -502,7 +502,8 @@ def extract_only(spark, sf):
 def _run(spark, sf):
     template = T.template_from_table(R.template_table(spark, sf, "P-"), "Item", ["Qty"], "n")
     return runs.run_full(
-        R.column_words(spark, sf), "columns", template, ["Cantidad"], ["Qty"], increase="5%", decrease="5%"
+        R.column_words(spark, sf), "columns", template, ["Cantidad"], ["Qty"], increase="5%", decrease="5%",
+        stage=runs.reliable_stage,
     )
 
 
@@ -529,6 +530,6 @@ def profile_runs(spark, sf):
     )
     documents = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("profile"))
     template = T.template_from_table(R.template_table(spark, sf, "P-"), "Item", ["Qty", "Price"], "n")
-    found = layout_columns.extract(R.column_words(spark, sf))
+    found = runs.reliable_stage(layout_columns.extract(R.column_words(spark, sf)))
     updates = runs.run_profiles(runs.check_lines(found, "columns").clean, documents, profiles, template)
     return updates.select("doc_id", "key", "source_column", "planned", "outcome", *_shown("new"))

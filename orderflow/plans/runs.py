@@ -26,7 +26,7 @@ def reliable_stage(df: DataFrame) -> DataFrame:
     """Keep a result that several tables of a run read, in the cluster's shared checkpoint
     folder; it survives lost executors. Without such a folder the plan is left as it is."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
@@ -123,18 +123,20 @@ def run_profiles(
     rows = profiles.limit(MAX_PROFILES + 1).collect()
     if len(rows) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} profiles")
+    # Counted above, so it may be broadcast: a profile can hold most of the documents.
+    known = F.broadcast(profiles.sparkSession.createDataFrame(rows, profiles.schema)) if rows else profiles
     mappings: dict[tuple, list[str]] = {}
     for row in rows:
         mappings.setdefault((row["layout"], row["source_cols"], row["target_cols"]), []).append(row["name"])
     chosen = documents.select("doc_id", F.col("profile").alias("name")).join(
-        profiles.select("name", "qty_increase", "qty_decrease"), "name"
+        known.select("name", "qty_increase", "qty_decrease"), "name"
     )
     chosen = chosen.select(lookup_value(F.col("doc_id")).alias("__doc"), "name", "qty_increase", "qty_decrease")
     told = lines.withColumn("__doc", lookup_value(F.col("doc_id"))).join(chosen, "__doc").drop("__doc")
     updates = None
     for (layout, source_cols, target_cols), names in mappings.items():
-        known = registry.layout(layout)
-        source = [known.field_of(n) or n for n in split_names(source_cols)]
+        fields = registry.layout(layout)
+        source = [fields.field_of(n) or n for n in split_names(source_cols)]
         merged = M.merge_into_template(
             told.filter(F.col("name").isin(names)), template, source, split_names(target_cols), key="key",
             flags=flags, quantity=quantity, increase=F.col("qty_increase"), decrease=F.col("qty_decrease"),
