@@ -15,6 +15,7 @@ def local_session(name: str, cores: int = 8, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name_, value in (extra or {}).items():
         builder = builder.config(name_, value)

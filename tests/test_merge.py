@@ -247,3 +247,14 @@ def test_hot_key_join_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_counts_add_up(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", "zz", "", None]), str(rnd.randint(1, 3)), rnd.choice(["1", "x"])) for _ in range(150)]
+    merged, _ = merge(spark, rows, [["Item", "Qty", "Price"], ["a", "", ""], ["b", 3, 1]], ("Quantity", "Price"),
+                      ("Qty", "Price"), ("Item", "Quantity", "Price"))
+    s = merged.stats.first()
+    assert s.rows_matched + s.rows_not_found + s.rows_blank_key == s.total_csv_rows == len(rows)
+    plain = merged.updates.filter("outcome = 'written'").count()
+    assert s.skipped_cells + s.yellow_cells + s.red_cells + plain == 2 * s.rows_matched
