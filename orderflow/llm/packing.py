@@ -19,6 +19,7 @@ empty table gives an empty result. Extra columns are left out.
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -35,6 +36,9 @@ END_ID, SEQUENCE = 2, 1024
 #: Steps of the search for one filling, and of the search over the last pieces; beyond them the incumbent stands.
 FILLING_STEPS, LAST_STEPS, LAST_PIECES = 2_000, 20_000, 40
 
+#: Sequences of the incumbent that waste this much or more are completed anew.
+LIMITS = (0, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
+
 SPECIAL = "<|endoftext|>"
 
 
@@ -153,23 +157,49 @@ def fillings(counts: Mapping[int, int], room: int, most: int) -> list[tuple[int,
     return [f for _, f in sorted(found, key=lambda x: x[0])] or [()]
 
 
-def best_fit(counts: Mapping[int, int], capacity: int) -> list[tuple[int, ...]]:
-    bins: list[tuple[int, list[int]]] = []
-    for s in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-        fits = [i for i, (left, _) in enumerate(bins) if left >= s]
-        if fits:
-            i = min(fits, key=lambda i: bins[i][0])
-            bins[i] = (bins[i][0] - s, [*bins[i][1], s])
-        else:
-            bins.append((capacity - s, [s]))
-    return [tuple(b) for _, b in bins]
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit(counts: Mapping[int, int], capacity: int) -> Patterns:
+    """Best-fit decreasing over a histogram: fillings with how often each occurs.
+
+    Sequences with the same filling are one entry. The tightest entry that has room
+    takes as many pieces of the size as go in before the next one gets any.
+    """
+    open_: dict[tuple[int, ...], int] = {}
+    rooms: list[tuple[int, tuple[int, ...]]] = []
+
+    def put(filling: tuple[int, ...], n: int) -> None:
+        if n and filling not in open_:
+            bisect.insort(rooms, (capacity - sum(filling), filling))
+        if n:
+            open_[filling] = open_.get(filling, 0) + n
+
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        left = counts[size]
+        while left:
+            at = bisect.bisect_left(rooms, (size,))
+            if at < len(rooms):
+                room, filling = rooms.pop(at)
+                n = open_.pop(filling)
+            else:
+                room, filling, n = capacity, (), -(-left // (capacity // size))
+            each = room // size
+            whole, part = divmod(min(left, n * each), each)
+            put(filling + (size,) * each, whole)
+            if part:
+                put(filling + (size,) * part, 1)
+            if filling:
+                put(filling, n - whole - bool(part))
+            left -= whole * each + part
+    return list(open_.items())
 
 
 def exact_bins(counts: Mapping[int, int], capacity: int, steps: int = LAST_STEPS) -> list[tuple[int, ...]]:
     """Bin completion over few pieces: branch over the fillings around the largest one,
     cut by the waste that the incumbent, at first the best-fit packing, allows."""
     left = Counter({s: n for s, n in counts.items() if n})
-    best = best_fit(left, capacity)
+    best = [f for f, n in best_fit(left, capacity) for _ in range(n)]
     total = sum(s * n for s, n in left.items())
     lowest, spent = -(-total // capacity), 0
     bins: list[tuple[int, ...]] = []
@@ -201,10 +231,10 @@ def exact_bins(counts: Mapping[int, int], capacity: int, steps: int = LAST_STEPS
     return best
 
 
-def bin_completion(histogram: Mapping[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with how often each is used; together they use the histogram up."""
+def completed(histogram: Mapping[int, int], capacity: int) -> Patterns:
+    """Complete the largest piece left by its best filling, as often as the pieces last; the last ones exactly."""
     left = {s: n for s, n in histogram.items() if n}
-    result: list[tuple[tuple[int, ...], int]] = []
+    result: Patterns = []
     while sum(left.values()) > LAST_PIECES:
         largest = max(left)
         left[largest] -= 1
@@ -220,7 +250,36 @@ def bin_completion(histogram: Mapping[int, int], capacity: int) -> list[tuple[tu
     return result + [(b, 1) for b in exact_bins(left, capacity)]
 
 
-def place_table(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+def sequences(patterns: Patterns) -> int:
+    return sum(n for _, n in patterns)
+
+
+def bin_completion(histogram: Mapping[int, int], capacity: int) -> Patterns:
+    """Fillings with how often each is used; together they use the histogram up.
+
+    The incumbent is the best-fit packing. Completion then works on all pieces, and
+    on those in the sequences of the incumbent that waste at least so much, for falling
+    limits; what takes fewer sequences becomes the incumbent. No packing can do with
+    fewer than the sum of the lengths needs, which ends the search.
+    """
+    best = best_fit(histogram, capacity)
+    lowest = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    for limit in LIMITS:
+        if sequences(best) <= lowest:
+            break
+        kept = [(f, n) for f, n in best if capacity - sum(f) < limit]
+        loose = Counter()
+        for filling, n in best:
+            if capacity - sum(filling) >= limit:
+                for s in filling:
+                    loose[s] += n
+        tried = kept + completed(loose, capacity)
+        if sequences(tried) < sequences(best):
+            best = tried
+    return best
+
+
+def place_table(patterns: Patterns) -> np.ndarray:
     """Runs of ranks by length: length, first rank, pieces of the length in one sequence, first sequence, first offset."""
     taken: Counter = Counter()
     rows, sequence = [], 0

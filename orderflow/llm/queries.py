@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import license_scan, packing, quality_rules, sharding, url_filter
+from orderflow.llm import language_id, license_scan, packing, quality_classifier, quality_rules, sharding, url_filter
 
 SHARDS = 16
 
@@ -40,10 +40,19 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality_classifier.classify_quality(_documents(spark, folder), labels).drop("text_hash")
+
+
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, folder))
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(_documents(spark, folder), language_id.in_held_out_fold())
+
+
 def urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES)
 
@@ -52,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op2_sharding": shards,
     "op3_quality_rules": rules,
+    "op4_quality_classifier": quality,
     "op7_best_fit_packing": packed,
+    "op9_language_id": languages,
     "op10_url_filters": urls,
 }
 
