@@ -1,9 +1,7 @@
-"""Helpers of the operators: staged tables, document keys, ranks without a hot task."""
+"""Helpers of the operators: document keys, texts, ranks without a hot task. Steps are staged by staging.staged."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from orderflow.staging import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words between ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -19,25 +19,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 #: A rank bucket holds about this many rows, and a group has at most so many buckets.
 ROWS_PER_BUCKET, MOST_BUCKETS = 256, 4096
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read back: no lineage, columns pruned by every reader."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["document_key", "frame", "lowered", "ranked", "staged", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:

@@ -19,8 +19,7 @@ rows, chosen by a hash of the id.
 
 Results: a null text, or one without words or signs, has no weight and is not kept.
 Rows that are equal in id and text get the same key and the same verdict; where they
-tie for the last place, all are kept. With no target rows the models agree and every
-weight is 0, so all documents with words are kept. Extra columns are left out.
+tie for the last place, all are kept. With no target rows the models agree, so all documents with words are kept. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -46,6 +45,13 @@ BUCKETS = TOKEN_BUCKETS + PAIR_BUCKETS + KIND_BUCKETS
 TARGET_ROWS = 20_000
 SMOOTHING = 1.0
 
+#: Added to every log ratio: how much less likely per n-gram a text may be before that speaks against it. Long texts would
+#: else add up what little the two samples differ by.
+SLACK = 0.05
+
+#: A bucket seen this often in raw text has half a say; in few texts most buckets are seen too rarely to tell anything.
+DOUBT = 50.0
+
 #: Documents with a log weight above this are as many as are kept. The evidence of a bad text adds up with its length to far
 #: below it, while a few odd tokens (an address, a number) in a short good one do not reach it.
 FLOOR = -20.0
@@ -125,16 +131,16 @@ def model_counts(rows: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw probability of each bucket, each bag a distribution of its own."""
+    """Log ratio of target to raw probability of each bucket, each bag a distribution of its own, shrunk where counts are small."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # at most one row per bucket
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
-        return np.zeros(BUCKETS)
+        return np.full(BUCKETS, SLACK)
     ratios = np.zeros(BUCKETS)
     for bag in (slice(0, TOKEN_BUCKETS), slice(TOKEN_BUCKETS, TOKEN_BUCKETS + PAIR_BUCKETS), slice(TOKEN_BUCKETS + PAIR_BUCKETS, BUCKETS)):
         t, r = target[bag] + SMOOTHING, raw[bag] + SMOOTHING
-        ratios[bag] = np.log(t / t.sum()) - np.log(r / r.sum())
+        ratios[bag] = (np.log(t / t.sum()) - np.log(r / r.sum())) * raw[bag] / (raw[bag] + DOUBT) + SLACK
     return ratios
 
 
@@ -214,5 +220,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, s
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    kept = classify_quality(docs, labels).where("kept").select(F.struct(F.col("doc_id").alias("id"), "text_hash").alias("of")).distinct()
-    return docs.join(kept, document_key() == F.col("of"), "left_semi")
+    kept = classify_quality(docs, labels).where("kept").select(F.struct(F.col("doc_id").alias("id"), "text_hash").alias("__of")).distinct()
+    return docs.join(kept, document_key() == F.col("__of"), "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import language_id, license_scan, packing, quality_classifier, quality_rules, sharding, url_filter
+from orderflow.llm import decontamination, language_id, license_scan, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 
 SHARDS = 16
 
@@ -45,10 +45,23 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify_quality(_documents(spark, folder), labels).drop("text_hash")
 
 
+def substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.deduplicate_substrings(_documents(spark, folder))
+
+
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontamination.find_contaminated(_documents(spark, folder), items).drop("text_hash")
+
+
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, folder))
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder))
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify_languages(_documents(spark, folder), language_id.in_held_out_fold())
 
@@ -62,7 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": shards,
     "op3_quality_rules": rules,
     "op4_quality_classifier": quality,
+    "op5_substring_dedup": substrings,
+    "op6_decontamination": contaminated,
     "op7_best_fit_packing": packed,
+    "op8_minhash_near_dedup": near_duplicates,
     "op9_language_id": languages,
     "op10_url_filters": urls,
 }
