@@ -32,6 +32,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
             return order
 
 
+#: The bits below each place of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Symbols below a bound in packed bit rows, the highest bit first."""
 
@@ -40,8 +44,8 @@ class WaveletMatrix:
         self.levels = max(1, int(alphabet - 1).bit_length())
         blocks = self.size // 64 + 1
         self.words = np.zeros((self.levels, blocks), np.uint64)
-        self.ones = np.zeros((self.levels, blocks), np.int64)
-        self.zeros = np.zeros(self.levels, np.int64)
+        self.ones = np.zeros((self.levels, blocks), np.int32)
+        self.zeros = np.zeros(self.levels, np.int32)
         now = symbols
         for level in range(self.levels):
             bits = (now >> (self.levels - 1 - level) & 1).astype(bool)
@@ -49,19 +53,18 @@ class WaveletMatrix:
             part = np.packbits(bits, bitorder="little")
             packed[: len(part)] = part
             self.words[level] = packed.view("<u8")
-            counts = np.bitwise_count(self.words[level]).astype(np.int64)
+            counts = np.bitwise_count(self.words[level]).astype(np.int32)
             self.ones[level] = np.cumsum(counts) - counts
             self.zeros[level] = self.size - int(bits.sum())
             now = np.concatenate([now[~bits], now[bits]])
 
     def down(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Where the places of the row stand among the symbols' own after all levels."""
+        """Where the places of the row stand among the symbols' own after all levels. Both int32."""
         for level in range(self.levels):
             block = places >> 6
-            below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ones[level][block] + np.bitwise_count(self.words[level][block] & below)
-            bit = symbols >> (self.levels - 1 - level) & 1
-            places = np.where(bit == 1, self.zeros[level] + ones, places - ones)
+            ones = np.bitwise_count(self.words[level].take(block) & BELOW.take(places & 63)) + self.ones[level].take(block)
+            bit = (symbols >> (self.levels - 1 - level) & 1).astype(bool)
+            places = np.where(bit, ones + self.zeros[level], places - ones)
         return places
 
 
@@ -79,11 +82,12 @@ class FMIndex:
         self.text[inside] = np.concatenate(sequences)
         order = suffix_order(self.text)
         alphabet = int(self.text.max()) + 1
+        self.text = self.text.astype(np.int32)
         self.row = WaveletMatrix(self.text[order - 1], alphabet)
         counts = np.bincount(self.text, minlength=alphabet)
-        symbols = np.arange(alphabet)
+        symbols = np.arange(alphabet, dtype=np.int32)
         #: what turns a place after all levels into a place among the sorted suffixes
-        self.shift = np.cumsum(counts) - counts - self.row.down(symbols, np.zeros(alphabet, np.int64))
+        self.shift = (np.cumsum(counts) - counts).astype(np.int32) - self.row.down(symbols, np.zeros(alphabet, np.int32))
         self.weight = np.concatenate([[0], np.cumsum(np.asarray(weights, np.int64)[owner[order]])])
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,42 +99,59 @@ class FMIndex:
     def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return self.weight[high] - self.weight[low]
 
-    def longest_matches(self, right: np.ndarray, stop: np.ndarray, least: int) -> np.ndarray:
-        """How far to the left, but not beyond stop, the text ending before right still occurs least times."""
-        left = right.copy()
-        active = np.flatnonzero(left > stop)
-        low, high = np.zeros(len(active), np.int64), np.full(len(active), len(self.text), np.int64)
-        while len(active):
-            low, high = self.extend(self.text[left[active] - 1], low, high)
-            again = self.occurrences(low, high) >= least
-            left[active[again]] -= 1
-            again &= left[active] > stop[active]
-            active, low, high = active[again], low[again], high[again]
-        return left
+
+FIRST, ANCHOR, FURTHER = 0, 1, 2
 
 
 def repeated_windows(index: FMIndex, window: int, anchors: np.ndarray, anchor_length: int, least: int = 2) -> list[np.ndarray]:
     """For each sequence which of its windows (all of them hold its anchor) occur least times, as booleans by start.
 
     Matching statistics from the right: the longest match that ends at the sequence's
-    end settles all windows inside it. Where it stops short, the next end is the
-    last one that a window not yet settled can have. How far the anchor can be
-    extended to the left, searched once, bounds the starts worth a look.
+    end settles all windows inside it. Where it stops short, the next end is the last one
+    that a window not yet settled can have. How far the anchor can be extended to the
+    left, searched once, bounds the starts worth a look. Every sequence goes on to its
+    next search by itself; one step of all searches is one pass over the arrays.
     """
     starts, ends = index.starts, index.ends
-    result = [np.zeros(max(0, int(e - s) - window + 1), bool) for s, e in zip(starts, ends)]
-    todo = np.flatnonzero(ends - starts >= window)
-    right, low_bound = ends.copy(), starts.copy()
-    first = True
-    while len(todo):
-        left = index.longest_matches(right[todo], low_bound[todo], least)
-        for i, l in zip(todo[right[todo] - left >= window], left[right[todo] - left >= window]):
-            result[i][l - starts[i] : right[i] - window + 1 - starts[i]] = True
-        short = left > low_bound[todo]
-        todo, left = todo[short], left[short]
-        right[todo] = np.minimum(right[todo] - 1, left + window - 1)
-        if first:
-            first = False
-            low_bound[todo] = index.longest_matches((starts + anchors)[todo] + anchor_length, low_bound[todo], least)
-        todo = todo[right[todo] - low_bound[todo] >= window]
-    return result
+    size = np.int32(len(index.text))
+    marks = np.zeros(len(index.text) + 1, np.int64)
+    who = np.flatnonzero(ends - starts >= window)
+    right, stop = ends[who].copy(), starts[who].copy()
+    left, waiting, phase = right.copy(), right.copy(), np.full(len(who), FIRST)
+    low, high = np.zeros(len(who), np.int32), np.full(len(who), size, np.int32)
+    while len(who):
+        low, high = index.extend(index.text[left - 1], low, high)
+        again = index.occurrences(low, high) >= least
+        left = left - again
+        ended = ~again | (left <= stop)
+        if not ended.any():
+            continue
+        live = np.ones(len(who), bool)
+        at = np.flatnonzero(ended & (phase != ANCHOR))
+        found = at[right[at] - left[at] >= window]
+        np.add.at(marks, left[found], 1)
+        np.add.at(marks, right[found] - window + 1, -1)
+        live[at[left[at] <= stop[at]]] = False
+        at = at[left[at] > stop[at]]
+        following = np.minimum(right[at] - 1, left[at] + window - 1)
+        first = phase[at] == FIRST
+        anchor = np.flatnonzero(ended & (phase == ANCHOR))
+        # from the first search to the anchor's; the end to go on with waits
+        go = at[first]
+        waiting[go] = following[first]
+        left[go] = starts[who[go]] + anchors[who[go]] + anchor_length
+        phase[go] = ANCHOR
+        # from the anchor's search, and from further ones, to the next end
+        stop[anchor] = left[anchor]
+        live[anchor[stop[anchor] > (starts + anchors)[who[anchor]]]] = False
+        right[anchor], phase[anchor] = waiting[anchor], FURTHER
+        right[at[~first]] = following[~first]
+        restart = np.concatenate([anchor, at[~first]])
+        left[restart] = right[restart]
+        live[restart[right[restart] - stop[restart] < window]] = False
+        fresh = np.concatenate([restart, go])
+        low[fresh], high[fresh] = 0, size
+        if not live.all():
+            who, right, left, stop, waiting, phase, low, high = (x[live] for x in (who, right, left, stop, waiting, phase, low, high))
+    repeated = np.cumsum(marks) > 0
+    return [repeated[s : max(s, e - window + 1)] for s, e in zip(starts, ends)]

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,10 @@ WINDOW, ANCHOR = 35, 10
 BLOCK = 400_000
 
 #: Words of a shard on average, and different segments up to which an anchor's stay together.
-SHARD_WORDS, MOST_SEGMENTS = 100_000, 1_000
+SHARD_WORDS, MOST_SEGMENTS = 250_000, 2_500
+
+#: A segment's start, number of windows and anchor (within it) travel as one number.
+_WINDOW_BITS, _ANCHOR_BITS = 6, 6
 
 _POSITION_BITS = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +97,7 @@ class SegmentFinder:
 
 
 def segment_places(docs: DataFrame) -> DataFrame:
-    """key, start, windows, anchor_at, anchor and segment of all segments of all documents."""
+    """id, text_hash, place (see place_parts), anchor and segment of all segments of all documents."""
 
     def found(finder: SegmentFinder, pieces: list[tuple]) -> pd.DataFrame:
         words = np.concatenate([p[3] for p in pieces])
@@ -105,7 +108,7 @@ def segment_places(docs: DataFrame) -> DataFrame:
         shift = np.array([p[2] for p in pieces], np.int64) - (bounds - sizes)
         return pd.DataFrame({
             "id": pd.array([p[0] for p in pieces], "Int64")[owner], "text_hash": np.array([p[1] for p in pieces], np.int64)[owner],
-            "start": first + shift[owner], "windows": windows.astype(np.int32), "anchor_at": (place - first).astype(np.int32),
+            "place": ((first + shift[owner]) << _WINDOW_BITS | windows) << _ANCHOR_BITS | place - first,
             "anchor": signed(anchor), "segment": signed(segment),
         })
 
@@ -126,8 +129,16 @@ def segment_places(docs: DataFrame) -> DataFrame:
                 yield found(finder, pieces)
 
     rows = docs.select(document_key().alias("key"), "text").select("key.id", "key.text_hash", "text")
-    schema = "id long, text_hash long, start long, windows int, anchor_at int, anchor long, segment long"
-    return rows.mapInPandas(find, schema).select(F.struct("id", "text_hash").alias("key"), "start", "windows", "anchor_at", "anchor", "segment")
+    return rows.mapInPandas(find, "id long, text_hash long, place long, anchor long, segment long")
+
+
+def place_parts() -> dict[str, Column]:
+    """start, windows and anchor_at out of place."""
+    return {
+        "start": F.shiftright("place", _WINDOW_BITS + _ANCHOR_BITS),
+        "windows": F.shiftright("place", _ANCHOR_BITS).bitwiseAND((1 << _WINDOW_BITS) - 1).cast("int"),
+        "anchor_at": F.col("place").bitwiseAND((1 << _ANCHOR_BITS) - 1).cast("int"),
+    }
 
 
 def cut_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,8 +190,10 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     twice = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("of"))
     candidates = staged(places.join(twice, F.col("anchor") == F.col("of"), "left_semi"))
     segments = staged(candidates.groupBy("anchor", "segment").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "start", "windows", "anchor_at")).alias("one")
-    ).select("anchor", "segment", "weight", "one.*"))
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "text_hash", "place")).alias("one")
+    ).select("anchor", "segment", "weight", "one.*").select(
+        "anchor", "segment", "weight", F.struct("id", "text_hash").alias("key"), *[c.alias(n) for n, c in place_parts().items()]
+    ))
     crowds = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_SEGMENTS).select(F.col("anchor").alias("of"))
     wanted = segments.join(crowds, F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.col("of").isNotNull()).drop("of")
     size = segments.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
@@ -207,8 +220,8 @@ def repeated_places(docs: DataFrame) -> DataFrame:
 
     reports = whole.where("repeated > 0").unionByName(back)
     return candidates.join(reports, (F.col("anchor") == F.col("anchor_")) & (F.col("segment") == F.col("segment_"))).groupBy(
-        F.col("key").alias("of")
-    ).agg(F.collect_list(F.struct("start", "repeated")).alias("places"))
+        F.struct("id", "text_hash").alias("of")
+    ).agg(F.collect_list(F.struct(place_parts()["start"].alias("start"), "repeated")).alias("places"))
 
 
 def kept_words(text: str | None, places: object) -> tuple[int, list[bytes]]:
