@@ -8,12 +8,14 @@ permutation in a band, miss a pair at the threshold of 0.85 with a chance of 2.4
 
 Documents with equal sets are one class from the start. Classes that share a bucket
 (a band's values) are candidates, and every link is confirmed on the full sets. Not
-all pairs of a bucket are looked at: what is asked for are the components. In each
-round the members of a bucket are compared with a hub, the smallest member of those
-in no earlier hub's component; links are joined into components, and after the hub
-rounds only pairs of a bucket that lie in different components are left, all of which
-are then compared. So a bucket of any size costs one comparison per member where its
-members are near copies of each other, and no link between components is lost.
+all pairs of a bucket are looked at: what is asked for are the components. First the
+members of a bucket are compared with its hub, the one that meets most others, which of
+a group of copies is the text they come from; links are joined into components. Only
+where a bucket then still holds several components, those outside the largest one are
+compared with all members that such buckets connect, block by block, each pair of blocks
+in a task that returns no more than a link per member. So a group of any size costs one
+comparison per member where its members are near copies of one of them, and no link
+between components is lost.
 
 Results: a null text, or one without words, has an empty set and stays by itself. A
 row without an id stays by itself too, without a component, and is kept. Rows that
@@ -40,7 +42,8 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 #: In hundredths.
 THRESHOLD = 85
 
-HUB_ROUNDS = 2
+#: Members of a block where blocks are compared.
+BLOCK_MEMBERS = 500
 
 #: Shingles worked on together.
 BLOCK = 300_000
@@ -131,45 +134,98 @@ def _size_allows(n: str, m: str, threshold: int):
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
-def link_classes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """member and component of the classes that have links. members: key (of a bucket), id, n."""
-    edges, labels = None, None
-    for _ in range(HUB_ROUNDS):
-        if labels is None:
-            unsettled = members
-        else:
-            unsettled = in_components(members, labels, settled_hub=True)
-        hubs = unsettled.groupBy("key").agg(
-            F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("in_bucket")
-        ).where("in_bucket > 1").select(F.col("key").alias("hub_key"), F.col("hub.id").alias("v"), F.col("hub.n").alias("v_n"))
-        pairs = unsettled.join(hubs, F.col("key") == F.col("hub_key")).where(
-            (F.col("id") != F.col("v")) & _size_allows("n", "v_n", threshold)
-        ).select(F.col("id").alias("u"), "v").distinct()
-        links = confirmed(pairs, sets, threshold)
-        edges = staged(links if edges is None else edges.unionByName(links))
-        labels = components(edges)
-    left = in_components(members, labels, settled_hub=False)
-    other = left.select(F.col("key").alias("key_"), F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_component"))
-    pairs = left.join(other, F.col("key") == F.col("key_")).where(
-        (F.col("id") > F.col("v")) & (F.col("component") != F.col("v_component")) & _size_allows("n", "v_n", threshold)
+def hub_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """Every member of a bucket with the bucket's hub, the member that meets most others in all its buckets."""
+    meets = members.groupBy(F.col("id").alias("met")).agg(F.sum("in_bucket").alias("meets"))
+    weighed = staged(members.join(meets, F.col("id") == F.col("met")).select("key", "id", "n", "meets"))
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("low"), "n")).alias("hub")).select(
+        F.col("key").alias("hub_key"), (-F.col("hub.low")).alias("v"), F.col("hub.n").alias("v_n")
+    )
+    return weighed.join(hubs, F.col("key") == F.col("hub_key")).where(
+        (F.col("id") != F.col("v")) & _size_allows("n", "v_n", threshold)
     ).select(F.col("id").alias("u"), "v").distinct()
-    links = confirmed(pairs, sets, threshold)
-    return components(staged(edges.unionByName(links)))
 
 
-def in_components(members: DataFrame, labels: DataFrame, settled_hub: bool) -> DataFrame:
-    """Members of buckets that still hold several components, with their component; with
-    settled_hub without those in the component of their bucket's smallest member."""
-    known = members.select("key", "id", "n").join(labels, F.col("id") == F.col("member"), "left").withColumn(
+def unsettled_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """group, id, component and rest of the members of buckets that still hold several components.
+
+    Members that such buckets connect are a group; rest are those outside its largest component.
+    """
+    known = members.select("key", "id").join(labels, F.col("id") == F.col("member"), "left").withColumn(
         "component", F.coalesce("component", "id")
     ).drop("member")
-    least = known.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("hub")
-    ).where("low != high").select(F.col("key").alias("mixed_key"), F.col("hub.component").alias("hub_component"))
-    found = known.join(least, F.col("key") == F.col("mixed_key")).drop("mixed_key")
-    if settled_hub:
-        found = found.where(F.col("component") != F.col("hub_component"))
-    return found.drop("hub_component")
+    several = known.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("least")
+    ).where("low != high").select(F.col("key").alias("mixed_key"), "least")
+    mixed = staged(known.join(several, F.col("key") == F.col("mixed_key")).select("id", "component", "least"))
+    groups = components(mixed.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    grouped = staged(mixed.select("id", "component").distinct().join(
+        groups.select("member", F.col("component").alias("group")), F.col("id") == F.col("member"), "left"
+    ).select(F.coalesce("group", "id").alias("group"), "id", "component"))
+    sizes = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("group").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("group_size")).select(
+        F.col("group").alias("of"), F.col("most.component").alias("largest"), "group_size", (F.col("group_size") - F.col("most.size")).alias("rest_size")
+    )
+    return grouped.join(largest, F.col("group") == F.col("of")).withColumn("rest", F.col("component") != F.col("largest")).drop("of", "largest")
+
+
+def cross_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between components of a group, as few as join what belongs together.
+
+    The rest and all members are cut into blocks, and each pair of blocks is compared in
+    one task, on the full sets; what leaves it is no more than a link per member.
+    """
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK_MEMBERS).cast("int")
+    counted = groups.withColumns({"of_all": blocks("group_size"), "of_rest": blocks("rest_size")})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = counted.select("group", "id", "component", F.lit(False).alias("rest"), own("of_all").alias("j"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("i"))
+    rest = counted.where("rest").select("group", "id", "component", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"), own("of_rest").alias("i"))
+    dealt = every.unionByName(rest)
+    full = dealt.join(sets.select(F.col("id").alias("of"), "shingles"), F.col("id") == F.col("of"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(part, threshold), columns=["u", "v"])
+
+    return full.select("group", "i", "j", "id", "component", "rest", "shingles").groupBy("group", "i", "j").applyInPandas(compare, "u long, v long")
+
+
+def block_links(part: pd.DataFrame, threshold: int) -> list[tuple[int, int]]:
+    """Links between the rest and the other members of a block pair; only shingles that occur twice count for them."""
+    ids, labels = part["id"].to_numpy(), part["component"].to_numpy()
+    rest, sizes = part["rest"].to_numpy(bool), part["shingles"].map(len).to_numpy(np.int64)
+    owner = np.repeat(np.arange(len(part)), sizes)
+    _, column, counts = np.unique(np.concatenate(part["shingles"].to_list()), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    bits = np.zeros((len(part), (int(column.max()) // 64 + 1) if len(column) else 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    joined: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while (up := joined.get(label, label)) != label:
+            joined[label] = joined.get(up, up)
+            label = up
+        return label
+
+    found = []
+    others = np.flatnonzero(~rest)
+    for r in np.flatnonzero(rest):
+        fits = others[threshold * np.maximum(sizes[others], sizes[r]) <= 100 * np.minimum(sizes[others], sizes[r])]
+        common = np.bitwise_count(bits[fits] & bits[r]).sum(1, dtype=np.int64)
+        for x in fits[100 * common >= threshold * (sizes[fits] + sizes[r] - common)]:
+            one, other = root(int(labels[r])), root(int(labels[x]))
+            if one != other:
+                joined[one] = other
+                found.append((int(ids[r]), int(ids[x])))
+    return found
+
+
+def link_classes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """member and component of the classes that have links. members: key (of a bucket), id, n, in_bucket."""
+    edges = staged(confirmed(hub_pairs(members, threshold), sets, threshold))
+    labels = components(edges)
+    links = cross_links(unsettled_groups(members, labels), sets, threshold)
+    return components(staged(edges.unionByName(links)))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -179,8 +235,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("id"), F.max("n").alias("class_n"), F.first("bands").alias("bands")
     ))
     in_bands = classes.select(F.explode("bands").alias("key"), "id", F.col("class_n").alias("n"))
-    shared = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1").select(F.col("key").alias("shared_key"))
-    members = staged(in_bands.join(shared, F.col("key") == F.col("shared_key"), "left_semi").distinct())
+    shared = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1").select(F.col("key").alias("shared_key"), "in_bucket")
+    members = staged(in_bands.join(shared, F.col("key") == F.col("shared_key")).select("key", "id", "n", "in_bucket").distinct())
     sets = staged(full_sets(docs, members.select("id").distinct()))
     linked = link_classes(members, sets, threshold)
     of_class = classes.select("set_a", "set_b", "id").join(linked, F.col("id") == F.col("member"), "left").select(
