@@ -146,27 +146,51 @@ def lookup_join(lines: DataFrame, key: str, index: DataFrame) -> DataFrame:
     return left.join(right, "__look").drop("__look")
 
 
-def apply_to_grid(cells: DataFrame, final: DataFrame) -> DataFrame:
-    """The grid with the final cells put in; untouched cells keep their value."""
+def _per_document(final: DataFrame, doc: str) -> list[str]:
+    return [doc] if doc in final.columns else []
+
+
+def apply_to_grid(cells: DataFrame, final: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The grid with the final cells put in; untouched cells keep their value.
+
+    Final cells with a document belong to templates of their own: the result then has the
+    document too, and of every document's template the rows it touches. The rows left out
+    are those of the template itself.
+    """
+    by = _per_document(final, doc)
     put = F.struct(*[F.col(f"new.{c}").alias(c) for c in ("kind", "num", "txt")])
-    new = final.select("row_idx", "col_idx", put.alias("put"), "outcome")
-    joined = cells.join(new, ["row_idx", "col_idx"], "full")
+    new = final.select(*by, "row_idx", "col_idx", put.alias("put"), "outcome")
+    if by:
+        touched = final.select(*by, "row_idx").distinct()
+        cells = touched.withColumn("__look", lookup_value(F.col("row_idx"))).drop("row_idx").join(
+            cells.withColumn("__look", lookup_value(F.col("row_idx"))), "__look"
+        ).drop("__look")
+    joined = cells.join(new, [*by, "row_idx", "col_idx"], "full")
     picked = F.when(F.col("put").isNotNull(), F.col("put")).otherwise(F.struct("kind", "num", "txt"))
-    return joined.select("row_idx", "col_idx", picked.alias("cell"), "outcome").select(
-        "row_idx", "col_idx", "cell.*", "outcome"
+    return joined.select(*by, "row_idx", "col_idx", picked.alias("cell"), "outcome").select(
+        *by, "row_idx", "col_idx", "cell.*", "outcome"
     )
 
 
-def apply_to_table(df: DataFrame, row: str, positions: dict[str, int], final: DataFrame) -> DataFrame:
+def apply_to_table(df: DataFrame, row: str, positions: dict[str, int], final: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The wide table with the final cells put in; target columns become text, which is
-    the only type that holds both numbers and 'original/plan'."""
+    the only type that holds both numbers and 'original/plan'.
+
+    Final cells with a document give one row per document and row that it touches, with
+    the document as first column; else there is one table with all its rows.
+    """
+    by = _per_document(final, doc)
+    if by and doc in df.columns:
+        raise ValueError(f"the template has a column {doc!r} of its own")
     columns = [c for c in df.columns if c != row]
     targets = sorted(set(positions.values()))
     value = F.struct(C.canonical_text(F.col("new")).alias("v"))
-    wide = final.groupBy("row_idx").agg(
+    wide = final.groupBy(*by, "row_idx").agg(
         *[F.max(F.when(F.col("col_idx") == i, value)).alias(f"n{i}") for i in targets]
     )
-    joined = df.join(wide, df[row].cast("bigint") == wide["row_idx"], "left")
+    left = df.withColumn("__look", lookup_value(F.col(row).cast("bigint")))
+    right = wide.withColumn("__look", lookup_value(F.col("row_idx"))).drop("row_idx")
+    joined = left.join(right, "__look", "inner" if by else "left")
     out = []
     for i, c in enumerate(columns):
         if i in targets:
@@ -174,4 +198,4 @@ def apply_to_table(df: DataFrame, row: str, positions: dict[str, int], final: Da
             out.append(F.when(F.col(f"n{i}").isNotNull(), F.col(f"n{i}.v")).otherwise(kept).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
-    return joined.select(F.col(row), *out)
+    return joined.select(*by, F.col(row), *out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 
-from orderflow.operators.merge import Merged, merge_gate
+from orderflow.operators import merge as M
 from orderflow.operators.quality import Validated
 
 
@@ -15,14 +17,25 @@ def write_clean(result: Validated, path: str, mode: str = "errorifexists") -> No
     result.flags.write.mode(mode).parquet(f"{path}/flags")
 
 
-def write_merged(merged: Merged, table: DataFrame, path: str, mode: str = "errorifexists") -> dict:
-    """Statistics, then, if any line matched, the merged template and the change log.
+def write_merged(
+    merged: M.Merged, table: Callable[[DataFrame], DataFrame], path: str, order: Sequence[str] = ("line_seq",),
+    stats: DataFrame | None = None, mode: str = "errorifexists",
+) -> dict:
+    """The updates once, then from what was written the statistics and, if any line
+    matched, the merged template and the change log.
 
-    The gate comes first: without a match nothing is written but the error carries the
-    counts. Returns the totals.
+    table makes the merged template of the final cells (see apply_to_table). stats of the
+    whole run take the place of the merge's, so that the error of the gate, which comes
+    before anything but the updates is written, tells what was extracted too. Returns
+    the totals.
     """
-    totals = merge_gate(merged.stats)
-    table.write.mode(mode).parquet(f"{path}/merged")
-    merged.changes.write.mode(mode).parquet(f"{path}/changes")
-    merged.stats.write.mode(mode).parquet(f"{path}/stats")
+    spark = merged.updates.sparkSession
+    merged.updates.write.mode(mode).parquet(f"{path}/updates")
+    updates = spark.read.schema(merged.updates.schema).parquet(f"{path}/updates")
+    told = stats if stats is not None else M.merge_stats(updates, merged.plan)
+    totals = M.merge_gate(told)
+    final = M.final_cells(updates, order, per_document=merged.per_document)
+    table(final).write.mode(mode).parquet(f"{path}/merged")
+    M.changes(updates).write.mode(mode).parquet(f"{path}/changes")
+    told.write.mode(mode).parquet(f"{path}/stats")
     return totals
