@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from orderflow.functions import cells as C
 from orderflow.functions import packing as K
 from orderflow.functions.text import strip
-from orderflow.operators.columns import find_name, parse_number_columns
+from orderflow.operators.columns import find_name, parse_number_columns, settle
 from orderflow.operators.packing import plan_packing
 from orderflow.operators.template import PER_CARTON, PER_PALLET, Template, lookup_value
 
-CHUNK = 2**18
+#: Line numbers of a chunk, chunks of a stretch, and how often stretches are cut.
+CHUNK, STRETCH, LEVELS = 2**18, 2**24, 1
 
 SKIPPED, FLAGGED, MODIFIED, WRITTEN = "skipped", "flagged", "modified", "written"
 UNMATCHED, BLANK_KEY = "unmatched", "blank_key"
@@ -166,6 +167,25 @@ def to_cell_updates(
     return exploded.select(*keep, "u.*")
 
 
+def _carried(ends: DataFrame, cell: Sequence[str], level: int = 0) -> DataFrame:
+    """For the parts of every cell the last class of the part before. ends: cell, __part, __last.
+
+    One row per part, so this is small. A cell with very many parts is cut once more: the
+    last class of a stretch of parts goes to the first part of the next stretch.
+    """
+    if level == LEVELS:
+        order = W.partitionBy(*cell).orderBy("__part")
+        return ends.select(*cell, "__part", F.lag("__last").over(order).alias("__carried"))
+    stretch = ends.withColumn("__up", F.expr(f"__part div {STRETCH}"))
+    order = W.partitionBy(*cell, "__up").orderBy("__part")
+    inside = stretch.withColumn("__inside", F.lag("__last").over(order))
+    last = stretch.groupBy(*cell, F.col("__up").alias("__part")).agg(F.max_by("__last", "__part").alias("__last"))
+    above = _carried(last, cell, level + 1).withColumnRenamed("__part", "__up")
+    same = [inside[c].eqNullSafe(above[c]) for c in [*cell, "__up"]]
+    joined = inside.join(above, same, "left")
+    return joined.select(*[inside[c] for c in cell], inside["__part"], F.coalesce("__inside", "__carried").alias("__carried"))
+
+
 def sequence_updates(
     updates: DataFrame, cell: Sequence[str], order: Sequence[str], chunk: int = CHUNK
 ) -> DataFrame:
@@ -174,28 +194,25 @@ def sequence_updates(
     Updates of one cell apply in order; as equality is an equivalence, what a row finds
     is the class of the row before it, or of the template's cell for the first one. One
     cell may get a large part of all updates, so the order is cut into chunks by its
-    first, whole-number column. A first window looks back inside a chunk. A second one
-    carries the last class of a chunk to the first row of the next: only first and last
-    rows of chunks come together there, two per chunk, all others stay with their chunk.
+    first, whole-number column. The one window over the updates looks back inside a
+    chunk. The last class of each chunk, a small table that is grouped the same way, is
+    carried to the next one and joined back. Rows without a cell have nothing to wait
+    for and stay out of all that.
     """
+    old = C.class_of(F.col("old"), F.col("old.read"))
     part = F.expr(f"`{order[0]}` div {int(chunk)}")
-    # Rows without a cell have nothing to wait for: spread them.
+    # a line without a cell is spread by its own order, so that such lines do not gather
     spread = F.when(F.col("row_idx").isNull(), F.xxhash64(*order)).otherwise(F.lit(0))
-    old = C.class_of(F.col("old"), F.col("old.read"))
-    keyed = updates.withColumns(
-        {"__part": part, "__spread": spread, "__new": C.written_class(F.col("new")), "__old": old}
-    )
-    in_chunk = W.partitionBy(*cell, "__spread", "__part").orderBy(*order)
-    looked = keyed.withColumns(
-        {"__before": F.lag("__new").over(in_chunk), "__after": F.lead(F.lit(True)).over(in_chunk)}
-    )
-    edge = F.col("__before").isNull() | F.col("__after").isNull()
-    grouped = looked.withColumns({"__edge": edge, "__inner": F.when(~edge, F.col("__part"))})
-    between = W.partitionBy(*cell, "__spread", "__edge", "__inner").orderBy(*order)
-    carried = grouped.withColumn("__carried", F.lag("__new").over(between))
+    keyed = updates.withColumns({"__part": part, "__spread": spread, "__new": C.written_class(F.col("new")), "__old": old})
+    group = [*cell, "__spread", "__part"]
+    looked = keyed.withColumn("__before", F.lag("__new").over(W.partitionBy(*group).orderBy(*order)))
+    ends = keyed.filter("row_idx is not null").groupBy(*group).agg(F.max_by("__new", F.struct(*order)).alias("__last"))
+    carried = _carried(ends.select(*cell, "__part", "__last"), cell).withColumn("__spread", F.lit(0).cast("bigint"))
+    renamed = carried.select(*[F.col(c).alias(f"c_{c}") for c in group], "__carried")
+    joined = looked.join(renamed, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in group], "left")
     previous = F.coalesce("__before", "__carried", "__old")
-    return carried.withColumn("previous", previous).drop(
-        "__part", "__spread", "__before", "__after", "__edge", "__inner", "__carried", "__old"
+    return joined.withColumn("previous", previous).drop(
+        "__part", "__spread", "__before", "__carried", "__old", *[f"c_{c}" for c in group]
     )
 
 
@@ -236,6 +253,24 @@ def attach_rows(lines: DataFrame, key: str, template: Template) -> DataFrame:
     return left.join(right, "__look", "left").drop("__look")
 
 
+def _with_flags(found: DataFrame, flags: DataFrame | None, doc: str) -> DataFrame:
+    """Lines with the columns of theirs that a check marked, as an array."""
+    if flags is None:
+        return found.withColumn("__flagged", F.array().cast("array<string>"))
+    marks = flags.groupBy("doc_id", "key").agg(F.collect_set("column").alias("__flagged"))
+    marks = marks.select(lookup_value(F.col("doc_id"), F.col("key")).alias("__mark"), "__flagged")
+    return found.withColumn("__mark", lookup_value(F.col(doc), F.col("key"))).join(marks, "__mark", "left").drop("__mark")
+
+
+UPDATE = ["col_idx", "map_order", "source_column", "target_column", "value", "planned", "old", "new", "outcome"]
+
+
+def _outcomes(updates: DataFrame, keep: list[str], order: Sequence[str], cell: list[str], chunk: int) -> DataFrame:
+    sequenced = sequence_updates(mark_modified(updates), cell, [*order, "map_order"], chunk)
+    flagged = F.coalesce(F.array_contains("__flagged", F.col("source_column")), F.lit(False))
+    return classify_outcome(sequenced, flagged).select(*keep, *UPDATE)
+
+
 def merge_updates(
     lines: DataFrame,
     template: Template,
@@ -256,24 +291,66 @@ def merge_updates(
     carry: columns of the lines that the tolerances are computed from.
     """
     used = [doc, *order, key, *[p.source for p in plan.pairs], *plan.number_columns.values(), *carry]
-    found = attach_rows(lines.select(*dict.fromkeys(used)), key, template)
-    if flags is not None:
-        marks = flags.groupBy("doc_id", "key").agg(F.collect_set("column").alias("__flagged"))
-        marks = marks.select(lookup_value(F.col("doc_id"), F.col("key")).alias("__mark"), "__flagged")
-        found = found.withColumn("__mark", lookup_value(F.col(doc), F.col("key"))).join(marks, "__mark", "left")
+    found = _with_flags(attach_rows(lines.select(*dict.fromkeys(used)), key, template), flags, doc)
     keep = list(dict.fromkeys([doc, *order, "key", "row_idx"]))
-    updates = to_cell_updates(found, plan, template, keep + (["__flagged"] if flags is not None else []))
-    cell = ([doc] if per_document else []) + ["row_idx", "col_idx"]
-    sequenced = sequence_updates(mark_modified(updates), cell, [*order, "map_order"], chunk)
-    flagged = (
-        F.coalesce(F.array_contains("__flagged", F.col("source_column")), F.lit(False))
-        if flags is not None else F.lit(False)
+    updates = to_cell_updates(found, plan, template, [*keep, "__flagged"])
+    return _outcomes(updates, keep, order, ([doc] if per_document else []) + ["row_idx", "col_idx"], chunk)
+
+
+def merge_by_pairs(
+    lines: DataFrame,
+    template: Template,
+    columns: Sequence[str],
+    key: str,
+    order: Sequence[str] = ("line_seq",),
+    flags: DataFrame | None = None,
+    increase=0.15,
+    decrease=0.15,
+    doc: str = "doc_id",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """As merge_updates, every document into a template of its own, where the lines tell
+    what is written: pairs, an array of (source, target, position), and qty_field.
+
+    columns are those that a pair may name as its source.
+    """
+    numbers = [f"{c}_num" for c in columns if f"{c}_num" in lines.columns]
+    tolerances = [c for c in ("qty_increase", "qty_decrease") if c in lines.columns]
+    used = dict.fromkeys([doc, *order, key, *columns, *numbers, "pairs", "qty_field", *tolerances])
+    found = _with_flags(attach_rows(lines.select(*used), key, template), flags, doc)
+    parsed = parse_number_columns(found, [c for c in columns if f"{c}_num" not in numbers], "__num")
+    typed = {c: C.typed_value(F.col(c), F.col(f"{c}_num" if f"{c}_num" in numbers else f"{c}__num")) for c in columns}
+    valued = settle(parsed, {"__values": F.create_map(*[x for c in columns for x in (F.lit(c), typed[c])])})
+    if template.can_pack:
+        carton, pallet = (template.cell(template.position(n))["read"] for n in (PER_CARTON, PER_PALLET))
+        amount = F.try_element_at("__values", F.col("qty_field"))
+        packs = F.exists("pairs", lambda p: p["source"] == F.col("qty_field"))
+        usable = F.coalesce(packs & carton.isNotNull() & pallet.isNotNull() & (amount["kind"] == "num"), F.lit(False))
+        valued = valued.withColumn("__usable", usable)
+        valued = plan_packing(
+            valued, F.when(F.col("__usable"), amount["num"]), carton, pallet, _as_text(increase), _as_text(decrease), "__planned"
+        )
+    else:
+        valued = valued.withColumns({"__usable": F.lit(False), "__planned": F.lit(None).cast("bigint")})
+    keep = list(dict.fromkeys([doc, *order, "key", "row_idx"]))
+    pairs = F.when(F.col("row_idx").isNotNull(), F.col("pairs"))
+    cells = [template.cell(i) for i in sorted(set(template.positions.values()))]
+    exploded = valued.select(
+        *keep, "__flagged", "__values", "qty_field", "__usable", "__planned", *cells, F.posexplode_outer(pairs).alias("map_order", "pair")
     )
-    done = classify_outcome(sequenced, flagged)
-    return done.select(
-        *keep, "col_idx", "map_order", "source_column",
-        "target_column", "value", "planned", "old", "new", "outcome",
+    old = F.lit(None).cast(C.READ_CELL)
+    for position in sorted(set(template.positions.values())):
+        old = F.when(F.col("pair.position") == position, template.cell(position)).otherwise(old)
+    is_quantity = F.col("pair.source") == F.col("qty_field")
+    value = F.try_element_at("__values", F.col("pair.source"))
+    updates = exploded.select(
+        *keep, "__flagged", "map_order", F.col("pair.source").alias("source_column"), F.col("pair.target").alias("target_column"),
+        F.col("pair.position").alias("col_idx"), value.alias("value"), F.when(is_quantity, F.col("__planned")).alias("planned"),
+        (F.coalesce(is_quantity, F.lit(False)) & F.col("__usable")).alias("__usable"), old.alias("old"),
     )
+    new = F.when(F.col("__usable"), K.planned_value(F.col("value"), F.col("planned"), F.col("__usable"))).otherwise(F.col("value"))
+    updates = updates.withColumn("new", new).drop("__usable")
+    return _outcomes(updates, keep, order, [doc, "row_idx", "col_idx"], chunk)
 
 
 def changes(updates: DataFrame) -> DataFrame:
@@ -346,6 +423,7 @@ class Merged:
     changes: DataFrame
     final: DataFrame
     stats: DataFrame
+    per_document: bool = False
 
 
 def merge_into_template(
@@ -371,5 +449,5 @@ def merge_into_template(
     updates = merge_updates(lines, template, plan, key, order, flags, doc, per_document, carry, chunk)
     return Merged(
         plan, updates, changes(updates), final_cells(updates, order, doc, per_document),
-        merge_stats(updates, plan, doc),
+        merge_stats(updates, plan, doc), per_document,
     )

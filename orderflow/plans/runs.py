@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.functions.text import strip
 from orderflow.operators import merge as M
 from orderflow.operators import order_lines
-from orderflow.operators.columns import require_rows
+from orderflow.operators.columns import require_rows, settle
 from orderflow.operators.quality import Validated, flag_union, validate
 from orderflow.operators.stats import run_stats
 from orderflow.operators.template import Template, lookup_value
@@ -18,20 +19,6 @@ from orderflow.plans import registry
 
 Stage = Callable[[DataFrame], DataFrame]
 
-# More profiles than this are data, not configuration.
-MAX_PROFILES = 1000
-
-
-def reliable_stage(df: DataFrame) -> DataFrame:
-    """Keep a result that several tables of a run read, in the cluster's shared checkpoint
-    folder; it survives lost executors. Without such a folder the plan is left as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
-
-
 @dataclass
 class Extracted:
     """Outcome of run_extract_only()."""
@@ -86,9 +73,11 @@ def run_full(
     of its own unless per_document=False, when order must put all lines in one order.
 
     Column names may be the layout's, its known translations or the document's headers.
-    The quantity column comes from the layout's rules. stage (see reliable_stage) may
+    The quantity column comes from the layout's rules. stage (see staging.staged) may
     keep the extracted lines, which both the checks and the merge read.
     """
+    if not per_document and list(order) == ["line_seq"]:
+        raise ValueError("documents that share a template need an order that tells their lines apart")
     chosen = registry.layout(layout)
     extracted = run_extract_only(source, layout, stage)
     fields = [chosen.field_of(name, headers) or name for name in source_cols]
@@ -98,12 +87,73 @@ def run_full(
         extracted.checked.clean, template, fields, target_cols, key="key", order=order, flags=flags,
         quantity=chosen.field_rules().get("qty"), increase=increase, decrease=decrease, per_document=per_document,
     )
-    stats = run_stats(extracted.lines, extracted.checked.rejects, flags, merged.stats)
+    stats = run_stats(extracted.lines, extracted.checked.rejects, flags, merged.stats, merged.plan)
     return FullRun(extracted.lines, extracted.checked, merged, stats)
 
 
-def split_names(names: str) -> list[str]:
-    return [n.strip() for n in names.split(",") if n.strip()]
+OK, UNKNOWN_PROFILE, UNKNOWN_LAYOUT = "ok", "unknown_profile", "unknown_layout"
+UNEQUAL_LISTS, NO_PAIR = "unequal_lists", "no_pair"
+
+
+def _names(text: str) -> Column:
+    """Comma-separated names; empty places stay, so that both lists of a mapping keep step."""
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), ","), strip)
+
+
+def _lookup(known: dict[str, object], name: Column, kind: str) -> Column:
+    if not known:
+        return F.lit(None).cast(kind)
+    entries = [x for k, v in known.items() for x in (F.lit(k), F.lit(v).cast(kind))]
+    return F.try_element_at(F.create_map(*entries), name)
+
+
+def _layout_fields() -> dict[str, str]:
+    """Layout and lower-cased header name, in all spellings, to the column of the order lines."""
+    found = {}
+    for name, layout in registry.layouts().items():
+        for headers in [order_lines.TEXT_COLUMNS, layout.headers, *layout.spellings]:
+            for header in headers:
+                found.setdefault(f"{name}/{header.lower()}", layout.field_of(header) or header)
+    return found
+
+
+def resolve_profiles(profiles: DataFrame, template: Template) -> DataFrame:
+    """Profiles with status, pairs, qty_field and the tolerances: what the names of each
+    mean, worked out once per profile. pairs is null where the status is not ok.
+
+    A pair with a name that does not exist is left out; a profile without any pair left,
+    with lists of unequal length or with an unknown layout is told by its status.
+    """
+    fields, quantities = _layout_fields(), {n: r.field_rules().get("qty") for n, r in registry.layouts().items()}
+    known = F.col("layout").isin(list(quantities))
+    pair = lambda source, target: F.struct(
+        _lookup(fields, F.concat(F.col("layout"), F.lit("/"), F.lower(source)), "string").alias("source"),
+        target.alias("target"), _lookup(template.positions, F.lower(target), "int").alias("position"),
+    )
+    lists = profiles.select(
+        "name", "layout", "qty_increase", "qty_decrease", _names("source_cols").alias("sources"), _names("target_cols").alias("targets")
+    )
+    paired = settle(lists, {"pairs": F.filter(
+        F.zip_with("sources", "targets", pair), lambda p: p["source"].isNotNull() & p["position"].isNotNull()
+    )})
+    status = (
+        F.when(~F.coalesce(known, F.lit(False)), UNKNOWN_LAYOUT).when(F.size("sources") != F.size("targets"), UNEQUAL_LISTS)
+        .when(F.size("pairs") == 0, NO_PAIR).otherwise(OK)
+    )
+    told = paired.withColumn("status", status)
+    return told.select(
+        "name", "status", F.when(F.col("status") == OK, F.col("pairs")).alias("pairs"),
+        _lookup({k: v for k, v in quantities.items() if v}, F.col("layout"), "string").alias("qty_field"),
+        "qty_increase", "qty_decrease",
+    )
+
+
+@dataclass
+class ProfileRuns:
+    """Outcome of run_profiles()."""
+
+    updates: DataFrame
+    status: DataFrame
 
 
 def run_profiles(
@@ -112,35 +162,25 @@ def run_profiles(
     profiles: DataFrame,
     template: Template,
     flags: DataFrame | None = None,
-    quantity: str = "quantity",
-) -> DataFrame:
-    """Updates of all documents, each merged by its saved profile.
+) -> ProfileRuns:
+    """All documents, each merged by its saved profile, and for every document whether
+    that could be done.
 
-    documents: doc_id and profile (a name); profiles as from read_profiles. Profiles that
-    map the same columns run as one merge, with their tolerances as columns of the lines;
-    so the number of merges is that of different mappings, not of documents or profiles.
+    documents: doc_id and profile (a name); profiles as from read_profiles. A profile is
+    data like any other: its resolved pairs travel with the lines, so any number of
+    profiles and mappings is one merge.
     """
-    rows = profiles.limit(MAX_PROFILES + 1).collect()
-    if len(rows) > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} profiles")
-    # Counted above, so it may be broadcast: a profile can hold most of the documents.
-    known = F.broadcast(profiles.sparkSession.createDataFrame(rows, profiles.schema)) if rows else profiles
-    mappings: dict[tuple, list[str]] = {}
-    for row in rows:
-        mappings.setdefault((row["layout"], row["source_cols"], row["target_cols"]), []).append(row["name"])
-    chosen = documents.select("doc_id", F.col("profile").alias("name")).join(
-        known.select("name", "qty_increase", "qty_decrease"), "name"
+    resolved = resolve_profiles(profiles, template)
+    chosen = documents.select("doc_id", lookup_value(F.col("profile")).alias("__name")).join(
+        resolved.withColumn("__name", lookup_value(F.col("name"))), "__name", "left"
+    ).drop("__name")
+    status = chosen.select("doc_id", F.coalesce("status", F.lit(UNKNOWN_PROFILE)).alias("status"))
+    ready = chosen.filter(F.col("status") == OK).select(
+        lookup_value(F.col("doc_id")).alias("__doc"), "pairs", "qty_field", "qty_increase", "qty_decrease"
+    )
+    told = lines.withColumn("__doc", lookup_value(F.col("doc_id"))).join(ready, "__doc").drop("__doc")
+    updates = M.merge_by_pairs(
+        told, template, order_lines.TEXT_COLUMNS, key="key", flags=flags,
+        increase=F.col("qty_increase"), decrease=F.col("qty_decrease"),
     )
-    chosen = chosen.select(lookup_value(F.col("doc_id")).alias("__doc"), "name", "qty_increase", "qty_decrease")
-    told = lines.withColumn("__doc", lookup_value(F.col("doc_id"))).join(chosen, "__doc").drop("__doc")
-    updates = None
-    for (layout, source_cols, target_cols), names in mappings.items():
-        fields = registry.layout(layout)
-        source = [fields.field_of(n) or n for n in split_names(source_cols)]
-        merged = M.merge_into_template(
-            told.filter(F.col("name").isin(names)), template, source, split_names(target_cols), key="key",
-            flags=flags, quantity=quantity, increase=F.col("qty_increase"), decrease=F.col("qty_decrease"),
-            per_document=True, carry=["qty_increase", "qty_decrease"],
-        )
-        updates = merged.updates if updates is None else updates.unionByName(merged.updates)
-    return updates
+    return ProfileRuns(updates, status)
