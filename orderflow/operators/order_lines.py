@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions import numbers as N
+from orderflow.functions.text import null_markers_to_null
 from orderflow.operators.columns import parse_number_columns, settle
 
 TEXT_COLUMNS = [
@@ -18,8 +19,8 @@ NUMBER_COLUMNS = ["quantity", "price", "amount"]
 RULES = {"qty": "quantity", "price": "price", "amount": "amount"}
 COLUMNS = ["doc_id", "page", "line_seq", "layout", *TEXT_COLUMNS, *[f"{c}_num" for c in NUMBER_COLUMNS]]
 
-# A line number on a page stays below this (page heights end at 14,400 points).
-LINES_PER_PAGE = 2**20
+# Line numbers are ints, so they stay below this, and pages leave room for the sign.
+LINES_PER_PAGE = 2**32
 
 
 def line_sequence(page: Column, line: Column) -> Column:
@@ -27,13 +28,18 @@ def line_sequence(page: Column, line: Column) -> Column:
     return page.cast("bigint") * LINES_PER_PAGE + line
 
 
+def _without_marker(cell: Column) -> Column:
+    """Null where the cell says 'missing'; an empty cell stays empty."""
+    return F.when((cell == "") | cell.isNull(), cell).otherwise(null_markers_to_null(cell))
+
+
 def to_order_lines(rows: DataFrame, layout: str, numeric: Sequence[str]) -> DataFrame:
     """Fill up to the canonical columns; numbers are parsed here, once, and their text
     is brought to canonical decimal form."""
     have = set(rows.columns)
     filled = rows.select(
         "doc_id", "page", "line_seq", F.lit(layout).alias("layout"),
-        *[F.col(c) if c in have else F.lit("").alias(c) for c in TEXT_COLUMNS],
+        *[_without_marker(F.col(c)).alias(c) if c in have else F.lit("").alias(c) for c in TEXT_COLUMNS],
     )
     parsed = parse_number_columns(filled, [c for c in TEXT_COLUMNS if c in numeric or c in NUMBER_COLUMNS])
     texts = {c: F.coalesce(N.number_text(F.col(f"{c}_num")), F.col(c)) for c in numeric}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,83 +17,62 @@ WORDS = ["doc_id", "page", "word_seq", "x0", "top", "text"]
 PAGES = ["doc_id", "page", "text"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that has fewer splits than there are cores, such as one file of
-    one row group. An input of enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def _files(spark: SparkSession, schema: str | None = None):
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return reader.schema(schema) if schema else reader
-
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the CSV files below path, the header too: doc_id (the file), n (their order) and cells.
 
-def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """First line of every CSV file below path: doc_id (the file), header_line.
-
-    Only the first block of a file is looked at; a header goes over one line.
+    The reader finds where a record ends, also with line breaks in quotes; to a schema of one
+    column a record of several is a misfit that it hands over as it stands. Its cells are
+    taken apart here, as many as there are, so that files may differ in width.
     """
-    lines = _files(spark).text(path).select(
-        F.col("_metadata.file_path").alias("doc_id"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("n"),
-    )
-    first = lines.filter("start = 0").groupBy("doc_id").agg(F.min_by("value", "n").alias("header_line"))
-    return first.withColumn("header_line", F.regexp_replace("header_line", "^﻿", ""))
+    rows = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema("only string, record string")
+        .option("columnNameOfCorruptRecord", "record").option("multiLine", True).option("escape", '"').csv(path)
+    ).select(F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("n"), "only", "record")
+    parts = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace("record", r"\A\x{FEFF}", "")), F.lit(CELL), F.lit(1))
+    plain = F.transform(parts, lambda c: F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, r'(?s)\A"(.*)"\z', "$1"), F.lit('""'), F.lit('"'))
+    ).otherwise(c))
+    single = F.array(F.regexp_replace("only", r"\A\x{FEFF}", ""))
+    return rows.select("doc_id", "n", F.when(F.col("record").isNull(), single).otherwise(plain).alias("cells"))
 
 
-def _positional_schema(width: int) -> str:
-    return ", ".join(f"c{i} string" for i in range(width))
+#: A cell with the comma before it: quoted, with doubled quotes inside, or without a comma.
+CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
 
-def header_columns(headers: DataFrame, width: int) -> DataFrame:
-    """Add headers, the column names of header_line, read as one CSV record."""
-    record = F.from_csv("header_line", F.lit(_positional_schema(width)), {"escape": '"'})
-    return headers.withColumn("h", record).select(
-        "doc_id", "header_line",
-        F.array_compact(F.array(*[F.col(f"h.c{i}") for i in range(width)])).alias("headers"),
-    )
+def table_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Per CSV file below path its headers, and whether a name stands there twice, which makes names ambiguous."""
+    return _headers(_records(spark, path))
 
 
-def table_width(headers: DataFrame) -> int:
-    """Greatest possible number of columns: one number comes to the driver."""
-    row = headers.agg(F.max(F.size(F.split("header_line", ","))).alias("n")).first()
-    return row["n"] or 1
+def _headers(records: DataFrame) -> DataFrame:
+    first = records.groupBy("doc_id").agg(F.min_by("cells", "n").alias("headers"), F.min("n").alias("header_n"))
+    lowered = F.transform("headers", lambda h: F.lower(h))
+    return first.withColumn("duplicate", F.size(lowered) > F.size(F.array_distinct(lowered)))
 
 
 def read_order_tables(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files below path in one scan: doc_id, line_seq, headers, cells.
+    """All CSV files below path: doc_id, line_seq, headers, cells, surplus.
 
-    Files may differ in columns and language. They are read by position, each file's own
-    header skipped by the reader, and their header comes back as data next to the cells;
-    reading them by the names of one file would misplace the columns of the others.
-    Line breaks in quotes are kept, cells that mean 'missing' become null. line_seq
-    orders the lines of a file.
+    Files may differ in columns and language: a row's cells come by position, with the
+    headers of its file next to them. Cells beyond the headers are kept apart in surplus,
+    missing ones are null, and cells that mean 'missing' become null. line_seq orders the
+    lines of a file. Files with a header name twice are not read; table_headers tells them.
     """
-    lines = header_lines(spark, path)
-    width = table_width(lines)
-    body = (
-        _files(spark, _positional_schema(width))
-        .option("header", True).option("enforceSchema", True)
-        .option("multiLine", True).option("escape", '"')
-        .csv(path)
-        .select(
-            F.col("_metadata.file_path").alias("doc_id"),
-            F.monotonically_increasing_id().alias("line_seq"),
-            F.array(*[null_markers_to_null(F.col(f"c{i}")) for i in range(width)]).alias("cells"),
-        )
+    records = _records(spark, path)
+    headers = _headers(records).filter("not duplicate").select(lookup_value(F.col("doc_id")).alias("__file"), "headers", "header_n")
+    body = records.withColumn("__file", lookup_value(F.col("doc_id"))).join(headers, "__file").filter("n > header_n")
+    width = F.size("headers")
+    filled = F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), width - F.size("cells"))))
+    return body.select(
+        "doc_id", F.col("n").alias("line_seq"), "headers", F.transform(F.slice(filled, 1, width), null_markers_to_null).alias("cells"),
+        F.filter(F.slice(filled, width + 1, F.greatest(F.lit(0), F.size("cells") - width)), lambda c: c != "").alias("surplus"),
     )
-    headers = header_columns(lines, width).select(lookup_value(F.col("doc_id")).alias("__file"), "headers")
-    joined = body.withColumn("__file", lookup_value(F.col("doc_id"))).join(headers, "__file")
-    return joined.select("doc_id", "line_seq", "headers", F.slice("cells", 1, F.size("headers")).alias("cells"))
 
 
-def duplicate_headers(tables: DataFrame) -> DataFrame:
-    """Tables that use a column name twice, which makes names ambiguous."""
-    lowered = F.transform("headers", lambda h: F.lower(h))
-    return tables.filter(F.size(lowered) > F.size(F.array_distinct(lowered)))
+def surplus_cells(tables: DataFrame) -> DataFrame:
+    """Rows of read_order_tables with more cells than their header: doc_id, line_seq, surplus."""
+    return tables.filter(F.size("surplus") > 0).select("doc_id", "line_seq", "surplus")
 
 
 def conform_tables(tables: DataFrame, layout: str | None = None) -> DataFrame:
@@ -138,18 +119,38 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 PROFILE = (
-    "name string, converter string, pdf_cols string, excel_cols string, "
+    "name string, converter string, excel_template string, pdf_cols string, excel_cols string, "
     "qty_increase string, qty_decrease string"
 )
 DEFAULT_TOLERANCE = "5%"
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Saved merge profiles (a JSON list), tolerances defaulting to 5 %."""
+def read_tools(spark: SparkSession, path: str) -> DataFrame:
+    """Extraction tools (a JSON list): name and script."""
+    return spark.read.schema("name string, script string").option("multiLine", True).json(path)
+
+
+def read_profiles(
+    spark: SparkSession, path: str, tools: DataFrame | None = None, scripts: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Saved merge profiles (a JSON list), tolerances defaulting to 5 %.
+
+    A profile names its layout, or a tool: then tools (see read_tools) tells the script
+    of that name, and scripts the layout that the script reads.
+    """
     raw = spark.read.schema(PROFILE).option("multiLine", True).json(path)
+    layout = F.col("converter")
+    if tools is not None and scripts:
+        entries = [x for script, name in scripts.items() for x in (F.lit(script), F.lit(name))]
+        named = tools.select(
+            lookup_value(F.col("name")).alias("__tool"), F.try_element_at(F.create_map(*entries), F.col("script")).alias("__layout")
+        )
+        raw = raw.withColumn("__tool", lookup_value(F.col("converter"))).join(named, "__tool", "left")
+        layout = F.coalesce("__layout", "converter")
     return raw.select(
         "name",
-        F.col("converter").alias("layout"),
+        layout.alias("layout"),
+        F.col("excel_template").alias("template"),
         F.col("pdf_cols").alias("source_cols"),
         F.col("excel_cols").alias("target_cols"),
         F.coalesce("qty_increase", F.lit(DEFAULT_TOLERANCE)).alias("qty_increase"),

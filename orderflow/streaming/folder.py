@@ -26,9 +26,10 @@ def ingest_new(spark: SparkSession, path: str, layout: str, out: str, progress:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        lines, outcome = ingest(batch, layout)
+        lines, _ = ingest(batch, layout)
         lines.write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
-        outcome.write.mode("overwrite").parquet(f"{out}/outcome/batch={number}")
+        written = spark.read.schema(lines.schema).parquet(f"{out}/lines/batch={number}")
+        extraction_outcome(batch, written).write.mode("overwrite").parquet(f"{out}/outcome/batch={number}")
 
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path)
     query = (
