@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.operators.columns import settle
+
 PAGE = ["doc_id", "page"]
 LINE_TOLERANCE = 3
 
@@ -18,54 +20,66 @@ WORD_ORDERS = {
 }
 
 
-def _placed(words: DataFrame) -> DataFrame:
-    """Words with their whole-number top; a word without a place is on no line."""
-    placed = words.withColumn("top_key", F.col("top").try_cast("int"))
-    return placed.filter(" and ".join(f"{c} is not null" for c in [*PAGE, "top_key"]))
+def _is_placed() -> Column:
+    known = [F.col(c).isNotNull() for c in (*PAGE, "top_key")]
+    return known[0] & known[1] & known[2]
+
+
+def _with_top(words: DataFrame) -> DataFrame:
+    return words.withColumn("top_key", F.col("top").try_cast("int"))
+
+
+def unplaced_words(words: DataFrame) -> DataFrame:
+    """Per document the words without a page or a top, which are on no line."""
+    return _with_top(words).groupBy("doc_id").agg(F.count_if(~_is_placed()).alias("unplaced_words")).filter("unplaced_words > 0")
 
 
 def _order(kind: str) -> Column:
-    """Sort value of a word; a plain column where one is enough, so that its minimum
-    is kept in a hash aggregate."""
+    """Sort value of a word; a plain column where one is enough."""
     columns = WORD_ORDERS[kind]()
     return columns[0] if len(columns) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
 
 
-def line_keys(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
-    """(doc_id, page, top_key) to line_key.
+def _pages(words: DataFrame, keep: Column, order: str, tolerance: int) -> DataFrame:
+    """Pages with their words, and the line of each distinct top. keep: what of a word is needed.
 
     A word joins the first line opened whose anchor is less than the tolerance away from
     its whole-number top, else it opens a line there. Which line that is depends on the
     top alone: a top that opened a line finds it again, and one that joined a line keeps
-    joining it, as later lines come later in the search. So the words are first cut down
-    to the first appearance of each top per page (combined before the shuffle), and only
-    the distinct tops of a page, bounded by its height, are folded in order.
+    joining it, as later lines come later in the search. So the anchors are found from the
+    distinct tops of a page, in the order of their first words. The words are shuffled
+    once, by page, which is as much as one sheet holds.
     """
-    tops = _placed(words).groupBy(*PAGE, "top_key").agg(F.min(_order(order)).alias("first"))
-    pages = tops.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("first", "top_key"))).alias("tops"))
+    entry = F.struct(_order(order).alias("first"), "top_key", keep.alias("word"))
+    pages = _with_top(words).filter(_is_placed()).groupBy(*PAGE).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    near = lambda anchor, top: F.abs(anchor - top) < tolerance
+    with_tops = settle(pages, {"tops": F.array_distinct(F.transform("entries", lambda e: e["top_key"]))})
+    anchors = F.aggregate(
+        "tops", F.array().cast("array<int>"),
+        lambda done, top: F.when(F.exists(done, lambda a: near(a, top)), done).otherwise(F.concat(done, F.array(top))),
+    )
+    with_anchors = settle(with_tops, {"anchors": anchors})
+    return settle(with_anchors, {"keys": F.transform("tops", lambda top: F.get(F.filter("anchors", lambda a: near(a, top)), F.lit(0)))})
 
-    def assign(done: Column, item: Column) -> Column:
-        top = item["top_key"]
-        near = F.filter(
-            done,
-            lambda a: (a["top_key"] == a["line_key"]) & (F.abs(a["line_key"] - top) < tolerance),
-        )
-        line = F.coalesce(F.get(near, F.lit(0))["line_key"], top)
-        return F.concat(done, F.array(F.struct(top.alias("top_key"), line.alias("line_key"))))
 
-    folded = F.aggregate("tops", F.array().cast("array<struct<top_key:int,line_key:int>>"), assign)
-    return pages.select(*PAGE, F.inline(folded))
+def _words_on_lines(words: DataFrame, keep: Column, order: str, tolerance: int) -> DataFrame:
+    """One row per word: page, line_key and what is kept of it."""
+    found = _pages(words, keep, order, tolerance).select(*PAGE, "tops", "keys", F.explode("entries").alias("e"))
+    line = F.get(F.col("keys"), (F.array_position("tops", F.col("e.top_key")) - 1).cast("int"))
+    return found.select(*PAGE, line.alias("line_key"), "e.first", "e.word")
 
 
 def cluster_lines(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
     """Every word with the key of its visual line."""
-    return _placed(words).join(line_keys(words, order, tolerance), [*PAGE, "top_key"]).drop("top_key")
+    others = [c for c in words.columns if c not in PAGE]
+    found = _words_on_lines(words, F.struct(*others), order, tolerance)
+    return found.select(*PAGE, *[F.col(f"word.{c}").alias(c) for c in others], "line_key")
 
 
 def assemble_lines(words: DataFrame, order: str = "extraction", tolerance: int = LINE_TOLERANCE) -> DataFrame:
     """Visual lines: words(array by x0) and line_text. A line is as long as a page is wide."""
-    entry = F.struct("x0", _order(order).alias("tie"), "text")
-    lines = cluster_lines(words, order, tolerance).groupBy(*PAGE, "line_key").agg(
+    entry = F.struct("word.x0", F.col("first").alias("tie"), "word.text")
+    lines = _words_on_lines(words, F.struct("x0", "text"), order, tolerance).groupBy(*PAGE, "line_key").agg(
         F.sort_array(F.collect_list(entry)).alias("sorted")
     )
     return lines.select(

@@ -188,12 +188,25 @@ def validation_report(
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per document: rows, rows set aside, flagged cells. All documents in one job."""
-    result = validate(df, rules, key, doc, columns)
-    rows = with_reject_reasons(df, rules).groupBy(F.col(doc).alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("rows_in"),
-        F.count_if(F.size("reject_reasons") > 0).alias("rows_removed"),
+    key = key or next(c for c in df.columns if c != doc)
+    columns = columns if columns is not None else text_columns(df, skip=[doc])
+    checked = with_reject_reasons(df, rules)
+    rejected = F.size("reject_reasons") > 0
+    found = _character_flags(columns)
+    totals = _total_flags(checked, rules)
+    if totals is not None:
+        found = F.concat(totals, found)
+    # a row is one entry of its own, and one for each of its marks if it is kept
+    row = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("reason")))
+    entries = checked.select(
+        F.col(doc).alias("doc_id"), X.strip(F.col(f"`{key}`")).alias("key"), rejected.alias("rejected"),
+        F.explode(F.when(rejected, row).otherwise(F.concat(row, found))).alias("f"),
+    )
+    is_row = F.col("f.reason").isNull()
+    cells = entries.groupBy("doc_id", F.when(~is_row, F.col("key")).alias("key"), F.col("f.column").alias("column")).agg(
+        F.count_if(is_row).alias("rows_in"), F.count_if(is_row & F.col("rejected")).alias("rows_removed"),
+        F.max((~is_row).cast("bigint")).alias("cell"),
     )
-    flags = result.flags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells_flagged"))
-    return rows.join(flags, "doc_id", "left").withColumn(
-        "cells_flagged", F.coalesce("cells_flagged", F.lit(0).cast("bigint"))
+    return cells.groupBy("doc_id").agg(
+        F.sum("rows_in").alias("rows_in"), F.sum("rows_removed").alias("rows_removed"), F.sum("cell").alias("cells_flagged")
     )
