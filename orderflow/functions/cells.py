@@ -122,7 +122,3 @@ def class_of(value: Column, text_number: Column) -> Column:
 
 def same_class(a: Column, b: Column) -> Column:
     return a["num"].eqNullSafe(b["num"]) & a["txt"].eqNullSafe(b["txt"])
-
-
-def values_equal(a: Column, b: Column) -> Column:
-    return same_class(compare_class(a), compare_class(b))

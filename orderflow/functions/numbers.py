@@ -73,6 +73,31 @@ def is_integral(d: Column) -> Column:
 _TWO_62 = 2.0**62
 
 
+def _all_digits(d: Column) -> Column:
+    """Digits of an integral double from 2**120 on: by exact halvings it becomes a whole
+    number below 2**54, which is then doubled as often, in groups of nine digits."""
+    size = F.abs(d)
+    doublings = F.floor(F.log2(size)).cast("int") - 53
+    start = F.floor(size / F.pow(F.lit(2.0), doublings.cast("double"))).cast("bigint")
+    group = F.lit(10**9).cast("bigint")
+    groups = F.array(start % group, F.floor(start / group) % group)
+
+    def doubled(number: Column, _: Column) -> Column:
+        carried = F.aggregate(
+            number, F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry")),
+            lambda s, g: F.struct(
+                F.concat(s["done"], F.array((g * 2 + s["carry"]) % group)).alias("done"),
+                F.when(g * 2 + s["carry"] >= group, 1).otherwise(0).cast("bigint").alias("carry"),
+            ),
+            lambda s: F.when(s["carry"] > 0, F.concat(s["done"], F.array(s["carry"]))).otherwise(s["done"]),
+        )
+        return carried
+
+    number = F.aggregate(F.sequence(F.lit(1), doublings), groups, doubled)
+    text = F.array_join(F.transform(F.reverse(number), lambda g: F.lpad(g.cast("string"), 9, "0")), "")
+    return F.concat(F.when(d < 0, "-").otherwise(""), F.ltrim(text, F.lit("0")))
+
+
 def integer_text(d: Column) -> Column:
     """All digits of an integral double. Beyond 2**62 the high and low half are
     converted apart, because double to decimal goes through the short form."""
@@ -82,6 +107,7 @@ def integer_text(d: Column) -> Column:
     return (
         F.when(F.abs(d) < _TWO_62, d.try_cast("bigint").cast("string"))
         .when(F.abs(d) < 2.0**120, F.concat(F.when(d < 0, "-").otherwise(""), wide))
+        .when(F.abs(d) < float("inf"), _all_digits(d))
         .otherwise(d.cast("string"))
     )
 
@@ -125,8 +151,3 @@ def float_text(d: Column) -> Column:
         .when(is_integral(d), _scientific_text(d))
         .otherwise(fraction_text(d))
     )
-
-
-def normalize_number_text(c: Column) -> Column:
-    """Canonical decimal text of a localised number; unreadable text stays as it is."""
-    return F.coalesce(number_text(parse_number(c)), c)

@@ -64,22 +64,38 @@ def _first_fit(first: Column, last: Column, ctn: Column, plt: Column, low: Colum
     )
 
 
+BLOCK = 2**14
+
+
+def _common_divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two whole numbers below 2**63, which take at most 91 steps."""
+    start = F.struct(a.alias("a"), b.alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(91)), start, step, lambda s: s["a"])
+
+
 def mixed_packing(ctn: Column, plt: Column, low: Column, high: Column) -> Column:
     """Most pallets first, then the fewest cartons that reach the range; null if none fits.
 
     What a pallet count below the range adds up to depends only on its remainder by the
-    carton size, so no more than ctn counts can differ. They are tried in growing blocks:
-    a block is only evaluated when the ones before found nothing.
+    carton size, and multiples of a pallet have ctn / gcd(ctn, plt) remainders; so no more
+    counts than that can differ. The first 32 are tried at once, the others in blocks, one
+    after the other, until one fits; a block is all that is held at a time.
     """
     top = F.floor(high / plt).cast("bigint")
-    bottom = F.greatest(F.lit(0).cast("bigint"), top - ctn)
-    attempts, start = [], top
-    for size in (32, 2048, 131072):
-        stop = F.greatest(bottom, start - (size - 1))
-        attempts.append(_first_fit(start, stop, ctn, plt, low, high))
-        start = start - size
-    attempts.append(_first_fit(start, bottom, ctn, plt, low, high))
-    return F.when(top >= 0, F.coalesce(*attempts)).cast("bigint")
+    near = F.greatest(F.lit(0).cast("bigint"), top - F.least(ctn, F.lit(31)).cast("bigint"))
+    different = F.expr("cast(0 as bigint)") + F.floor(ctn / _common_divisor(ctn.cast("bigint"), plt.cast("bigint"))).cast("bigint")
+    bottom = F.greatest(F.lit(0).cast("bigint"), top - different)
+    blocks = F.when(top - 32 >= bottom, F.sequence(F.lit(0).cast("bigint"), F.floor((top - 32 - bottom) / BLOCK).cast("bigint")))
+
+    def block(found: Column, number: Column) -> Column:
+        first = top - 32 - number * BLOCK
+        return F.when(found.isNotNull(), found).otherwise(
+            _first_fit(first, F.greatest(bottom, first - (BLOCK - 1)), ctn, plt, low, high).cast("bigint")
+        )
+
+    rest = F.aggregate(blocks, F.lit(None).cast("bigint"), block)
+    return F.when(top >= 0, F.coalesce(_first_fit(top, near, ctn, plt, low, high).cast("bigint"), rest)).cast("bigint")
 
 
 def planned_value(original: Column, plan: Column, planned: Column) -> Column:

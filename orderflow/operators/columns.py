@@ -59,10 +59,6 @@ def resolve_by_position(name: str | None, headers: Sequence[str], columns_meta:
     return headers[position] if position is not None and position < len(headers) else name
 
 
-def resolve_rules(rules: dict, headers: Sequence[str], columns_meta: Sequence[str] | None) -> dict:
-    return {role: resolve_by_position(name, headers, columns_meta) for role, name in (rules or {}).items()}
-
-
 def rename_by_position(df: DataFrame, columns_meta: Sequence[str]) -> DataFrame:
     """Localised headers to canonical names; columns beyond the list keep theirs."""
     source = {name: resolve_by_position(name, df.columns, columns_meta) for name in columns_meta}
