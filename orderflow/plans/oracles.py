@@ -167,11 +167,12 @@ ITEMS = f"""items AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS doc_id,
     strftime(o_orderdate, '%d/%m/%Y') AS date, CAST(1 + (i - 1) // 2 AS INTEGER) AS page
   FROM (SELECT *, unnest(range(1, 2 + o_orderkey % 3)) AS i FROM orders)),
 columns_ AS (SELECT doc_id, o_orderkey, o_orderpriority, i, page, CAST(100 + 20 * i AS INTEGER) AS line_key,
-    page::BIGINT * 1048576 + 100 + 20 * i AS line_seq, 'P-' || lpad(CAST(part AS VARCHAR), 10, '0') AS key,
+    page::BIGINT * 4294967296 + 100 + 20 * i AS line_seq, 'P-' || lpad(CAST(part AS VARCHAR), 10, '0') AS key,
     'Part ' || o_orderstatus AS description, qty || ',00' AS quantity, {eu('unit')} AS price,
-    CASE WHEN o_orderkey % 17 = 5 AND i = 1 THEN 'Total' ELSE {eu('total')} END AS amount, date AS delivery, qty
+    CASE WHEN o_orderkey % 17 = 5 AND i = 1 THEN 'Total' WHEN o_orderkey % 19 = 7 AND i = 1 THEN 'N/A' ELSE {eu('total')} END AS amount, date AS delivery, qty
   FROM items),
-columns_num AS (SELECT *, {parse('quantity')} AS q, {parse('price')} AS p, {parse('amount')} AS a FROM columns_)"""
+columns_num AS (SELECT *, {parse('quantity')} AS q, {parse('price')} AS p, {parse('amount')} AS a
+  FROM (SELECT * REPLACE (nullif(amount, 'N/A') AS amount) FROM columns_))"""
 MARKER = f"""marker_ AS (SELECT doc_id, page, i, CAST(100 + 40 * i AS INTEGER) AS line_key, 'OP' || part AS key,
     qty || ',00' AS quantity, 'YP ' || o_orderstatus AS other_part_no,
     CASE WHEN o_orderkey % 4 <> 0 THEN date ELSE '' END AS delivery,
@@ -194,7 +195,7 @@ words AS (SELECT doc_id, CAST(line // 50 AS INTEGER) AS page, line, unnest(ws) A
 placed AS (SELECT *, CAST(line % 50 * 12 + CASE WHEN pos % 5 >= 3 THEN 3 ELSE 0 END AS INTEGER) AS line_key FROM words)"""
 
 RUN = f"""{ITEMS}, {template('P-')},
-clean AS (SELECT * FROM columns_num WHERE a IS NOT NULL),
+clean AS (SELECT * FROM columns_num WHERE a IS NOT NULL OR amount IS NULL),
 flagged AS (SELECT doc_id, key FROM clean WHERE abs(q * p - a) > 1.0 AND abs(q * p - a) > a * 0.01),
 found AS (SELECT c.*, tt.n, tt."Qty" AS old_qty, CAST(q AS BIGINT) AS qi, CAST("Pcs/Ctn" AS BIGINT) AS ctn, CAST("Pcs/Plt" AS BIGINT) AS plt,
   {low_high('CAST(q AS BIGINT)', '(5.0/100.0::DOUBLE)', '(5.0/100.0::DOUBLE)')} FROM clean c LEFT JOIN tt ON c.key = tt."Item"),
@@ -296,6 +297,11 @@ ORACLES = {
           UNION ALL SELECT n + 1, 2, 'num', "Price", NULL FROM tt)
         SELECT coalesce(c.row_idx, f.row_idx) AS row_idx, coalesce(c.col_idx, f.col_idx) AS col_idx, coalesce(c.kind, 'num') AS kind,
           coalesce(f.v, c.num) AS num, c.txt, f.outcome FROM cells c FULL JOIN fin f ON c.row_idx = f.row_idx AND c.col_idx = f.col_idx""",
+    "apply_updates_per_document": f"""WITH {updates(False, True)},
+        fin AS (SELECT doc_id, n, arg_max(num, ({TIES}, map_order)) FILTER (col_idx = 1) AS qv, arg_max(num, ({TIES}, map_order)) FILTER (col_idx = 2) AS pv
+          FROM upd WHERE outcome <> 'skipped' GROUP BY 1, 2)
+        SELECT fin.doc_id, tt.n, "Item", {numtext('coalesce(qv, "Qty")')} AS "Qty", {numtext('coalesce(pv, "Price")')} AS "Price", "Pcs/Ctn", "Pcs/Plt"
+        FROM tt JOIN fin ON tt.n = fin.n""",
     "change_log_per_document": f"""WITH {updates(False, True)} SELECT doc_id, line_seq, l_suppkey, key, source_column, outcome, {SHOWN}
         FROM upd WHERE outcome <> 'skipped'""",
     "merge_stats": f"""WITH {updates(True)}, per AS (SELECT doc_id, {STATS} FROM found GROUP BY 1),
@@ -320,7 +326,7 @@ ORACLES = {
           ELSE 'Item|Description|Quantity|Price|Amount|Delivery' END AS headers FROM orders""",
     "bucket_lines": f"WITH {ITEMS} SELECT doc_id, page, line_key, key, description, quantity, price, amount, delivery FROM columns_",
     "order_lines_columns": f"""WITH {ITEMS} SELECT doc_id, page, key, description, {normal('quantity')} AS quantity, {normal('price')} AS price,
-        {normal('amount')} AS amount, delivery, q AS quantity_num, p AS price_num, a AS amount_num FROM columns_num""",
+        {normal('amount')} AS amount, delivery, q AS quantity_num, p AS price_num, a AS amount_num, line_seq FROM columns_num""",
     "marker_lines": f"WITH {ITEMS}, {MARKER} SELECT doc_id, page, line_key, key, quantity, other_part_no, delivery, bucket_price, price FROM marker_",
     "next_line_description": f"""WITH {ITEMS}, {MARKER} SELECT doc_id, page, line_key, description FROM marker_
         UNION ALL SELECT doc_id, page, line_key + 15, '' FROM marker_""",
@@ -340,27 +346,32 @@ ORACLES = {
         1 + o_orderkey % 3 AS "rows" FROM orders""",
     "extract_only": f"WITH {TAIL} {gathered(total_flags('tail_num'))}",
     "full_run": f"WITH {RUN} SELECT doc_id, line_seq, key, planned, outcome, new_kind, new_num, new_txt FROM run",
-    "run_stats": f"""WITH {RUN}, ex AS (SELECT doc_id, count(*) AS rows_extracted, count(*) - count(a) AS rows_removed FROM columns_num GROUP BY 1),
+    "run_stats": f"""WITH {RUN}, ex AS (SELECT doc_id, count(*) AS rows_extracted, count(*) FILTER (a IS NULL AND amount IS NOT NULL) AS rows_removed FROM columns_num GROUP BY 1),
         fl AS (SELECT doc_id, 3 * count(*) AS cells_flagged FROM flagged GROUP BY 1),
         mg AS (SELECT doc_id, {STATS}, count(*) FILTER (outcome = 'modified') AS red_cells, count(*) FILTER (outcome = 'flagged') AS yellow_cells,
           count(*) FILTER (outcome = 'skipped') AS skipped_cells FROM run GROUP BY 1)
         SELECT ex.*, coalesce(cells_flagged, 0) AS cells_flagged, coalesce(total_csv_rows, 0) AS total_csv_rows, coalesce(rows_matched, 0) AS rows_matched,
           coalesce(rows_not_found, 0) AS rows_not_found, coalesce(rows_blank_key, 0) AS rows_blank_key, coalesce(red_cells, 0) AS red_cells,
-          coalesce(yellow_cells, 0) AS yellow_cells, coalesce(skipped_cells, 0) AS skipped_cells
+          coalesce(yellow_cells, 0) AS yellow_cells, coalesce(skipped_cells, 0) AS skipped_cells,
+          '' AS missing_columns, false AS qty_recalc_disabled
         FROM ex LEFT JOIN fl ON ex.doc_id = fl.doc_id LEFT JOIN mg ON ex.doc_id = mg.doc_id""",
+    "profile_status": """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id,
+        CASE WHEN o_orderpriority < '4' THEN 'ok' WHEN o_orderpriority < '5' THEN 'unknown_layout' ELSE 'unknown_profile' END AS status FROM orders""",
     "profile_runs": f"""WITH {ITEMS}, {template('P-')},
-        clean AS (SELECT *, o_orderpriority AS name FROM columns_num WHERE a IS NOT NULL),
-        found AS (SELECT c.*, tt.n, tt."Qty" AS old_qty, tt."Price" AS old_price, CAST(q AS BIGINT) AS qi, CAST("Pcs/Ctn" AS BIGINT) AS ctn, CAST("Pcs/Plt" AS BIGINT) AS plt,
+        clean AS (SELECT *, o_orderpriority AS name FROM columns_num WHERE a IS NOT NULL OR amount IS NULL),
+        flagged AS (SELECT DISTINCT doc_id, key FROM clean WHERE abs(q * p - a) > 1.0 AND abs(q * p - a) > a * 0.01),
+        found AS (SELECT c.*, f.key IS NOT NULL AS marked, tt.n, tt."Qty" AS old_qty, tt."Price" AS old_price, CAST(q AS BIGINT) AS qi,
+          CAST("Pcs/Ctn" AS BIGINT) AS ctn, CAST("Pcs/Plt" AS BIGINT) AS plt,
           CASE WHEN name < '2' THEN 15.0::DOUBLE / 100.0 ELSE 5.0::DOUBLE / 100.0 END AS ir,
-          CASE WHEN name < '4' THEN 5.0::DOUBLE / 100.0 ELSE 0.0::DOUBLE END AS dr, {low_high('qi', 'ir', 'dr')}
-          FROM clean c LEFT JOIN tt ON c.key = tt."Item"),
+          CASE WHEN name < '3' THEN 5.0::DOUBLE / 100.0 ELSE 0.0::DOUBLE END AS dr, {low_high('qi', 'ir', 'dr')}
+          FROM clean c LEFT JOIN tt ON c.key = tt."Item" LEFT JOIN flagged f ON c.doc_id = f.doc_id AND c.key = f.key WHERE name < '4'),
         planned AS (SELECT *, CASE WHEN n IS NOT NULL THEN {PLAN} END AS planned, n IS NOT NULL AND (planned IS NULL OR planned <> q) AS changed FROM found)
         SELECT doc_id, key, CASE WHEN n IS NOT NULL THEN 'quantity' END AS source_column, planned,
           CASE WHEN n IS NULL THEN 'unmatched' WHEN NOT changed AND old_qty IS NOT DISTINCT FROM q THEN 'skipped'
-            WHEN changed THEN 'modified' ELSE 'written' END AS outcome,
+            WHEN marked THEN 'flagged' WHEN changed THEN 'modified' ELSE 'written' END AS outcome,
           CASE WHEN n IS NULL THEN NULL WHEN changed THEN 'txt' ELSE 'num' END AS new_kind,
           CASE WHEN n IS NOT NULL AND NOT changed THEN q END AS new_num,
           CASE WHEN changed THEN CAST(q AS VARCHAR) || '/' || coalesce(CAST(planned AS VARCHAR), 'N·A') END AS new_txt FROM planned
-        UNION ALL SELECT doc_id, key, 'price', NULL, CASE WHEN old_price = p THEN 'skipped' ELSE 'written' END, 'num', p, NULL
-          FROM planned WHERE n IS NOT NULL AND name >= '3'""",
+        UNION ALL SELECT doc_id, key, 'price', NULL, CASE WHEN old_price = p THEN 'skipped' WHEN marked THEN 'flagged' ELSE 'written' END, 'num', p, NULL
+          FROM planned WHERE n IS NOT NULL AND name >= '2'""",
 }

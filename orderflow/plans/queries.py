@@ -18,6 +18,7 @@ from orderflow.operators.packing import plan_packing
 from orderflow.plans import registry, runs
 from orderflow.plans import rendering as R
 from orderflow.sources import readers
+from orderflow.staging import staged
 
 RULES = {"qty": "quantity", "price": "price", "amount": "amount"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +315,13 @@ def apply_updates_to_grid(spark, sf):
     return T.apply_to_grid(cells, shifted)
 
 
+@query
+def apply_updates_per_document(spark, sf):
+    """Every document's own template, as far as it touches it."""
+    merged = _merged(spark, sf, per_document=True)
+    return T.apply_to_table(R.template_table(spark, sf), "n", {"Qty": 1, "Price": 2}, merged.final)
+
+
 @query
 def change_log_per_document(spark, sf):
     merged = _merged(spark, sf, per_document=True)
@@ -424,7 +432,7 @@ def bucket_lines(spark, sf):
 def order_lines_columns(spark, sf):
     found = layout_columns.extract(R.column_words(spark, sf))
     return found.select("doc_id", "page", "key", "description", "quantity", "price", "amount", "delivery",
-                        "quantity_num", "price_num", "amount_num")
+                        "quantity_num", "price_num", "amount_num", "line_seq")
 
 
 @query
@@ -503,7 +511,7 @@ def _run(spark, sf):
     template = T.template_from_table(R.template_table(spark, sf, "P-"), "Item", ["Qty"], "n")
     return runs.run_full(
         R.column_words(spark, sf), "columns", template, ["Cantidad"], ["Qty"], increase="5%", decrease="5%",
-        stage=runs.reliable_stage,
+        stage=staged,
     )
 
 
@@ -514,22 +522,34 @@ def full_run(spark, sf):
 
 @query
 def run_stats(spark, sf):
-    return _run(spark, sf).stats
+    stats = _run(spark, sf).stats
+    return stats.withColumn("missing_columns", F.array_join("missing_columns", ","))
 
 
-@query
-def profile_runs(spark, sf):
-    """One profile per order priority, two different column mappings among them."""
+def _profiles(spark, sf):
+    """One profile per order priority, with two column mappings, an empty place in one of
+    them, and two profiles that cannot be used; the documents of one have no profile."""
     orders = R.table(spark, sf, "orders")
-    profiles = orders.select(F.col("o_orderpriority").alias("name")).distinct().select(
-        "name", F.lit("columns").alias("layout"),
-        F.when(F.col("name") < "3", "Cantidad").otherwise("quantity , Price").alias("source_cols"),
-        F.when(F.col("name") < "3", "Qty").otherwise("QTY,Price").alias("target_cols"),
+    name = F.col("o_orderpriority")
+    profiles = orders.select(name.alias("name")).distinct().filter("name < '5'").select(
+        "name", F.when(F.col("name") < "4", "columns").otherwise("nowhere").alias("layout"),
+        F.when(F.col("name") < "2", "Cantidad").otherwise("quantity ,, Price").alias("source_cols"),
+        F.when(F.col("name") < "2", "Qty").when(F.col("name") < "3", "QTY,Nope,Price").otherwise("Qty,,Price").alias("target_cols"),
         F.when(F.col("name") < "2", "15%").otherwise("5%").alias("qty_increase"),
-        F.when(F.col("name") < "4", "5%").otherwise("0").alias("qty_decrease"),
+        F.when(F.col("name") < "3", "5%").otherwise("0").alias("qty_decrease"),
     )
-    documents = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("profile"))
+    documents = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), name.alias("profile"))
     template = T.template_from_table(R.template_table(spark, sf, "P-"), "Item", ["Qty", "Price"], "n")
-    found = runs.reliable_stage(layout_columns.extract(R.column_words(spark, sf)))
-    updates = runs.run_profiles(runs.check_lines(found, "columns").clean, documents, profiles, template)
-    return updates.select("doc_id", "key", "source_column", "planned", "outcome", *_shown("new"))
+    checked = runs.check_lines(staged(layout_columns.extract(R.column_words(spark, sf))), "columns")
+    return runs.run_profiles(checked.clean, documents, profiles, template, checked.flags)
+
+
+@query
+def profile_runs(spark, sf):
+    found = _profiles(spark, sf).updates
+    return found.select("doc_id", "key", "source_column", "planned", "outcome", *_shown("new"))
+
+
+@query
+def profile_status(spark, sf):
+    return _profiles(spark, sf).status

@@ -6,14 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.sources.readers import spread
-
 HEADERS_ES = ["Artículo", "Descripcion", "Cantidad", "Precio", "Importe", "Entrega"]
 HEADERS_EN = ["Item", "Description", "Quantity", "Price", "Amount", "Delivery"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def us_money(cents: Column) -> Column:
@@ -120,7 +118,8 @@ def column_words(spark: SparkSession, sf: str) -> DataFrame:
     """orders as pages of words in the column layout: two items per page, the words of a
     line up to two points apart, a header in Spanish, English or none."""
     items = order_items(spark, sf).withColumn("page", F.expr("cast(1 + (i - 1) div 2 as int)"))
-    total = F.when((F.col("o_orderkey") % 17 == 5) & (F.col("i") == 1), "Total").otherwise(eu_money(F.col("total")))
+    odd = lambda n, rest: (F.col("o_orderkey") % n == rest) & (F.col("i") == 1)
+    total = F.when(odd(17, 5), "Total").when(odd(19, 7), "N/A").otherwise(eu_money(F.col("total")))
     lines = _words(
         items, F.lit(100) + 20 * F.col("i"),
         [
