@@ -43,12 +43,17 @@ def test_normalize_number_text(spark):
         "12345678901234567890": "12345678901234567168", "-3,50": "-3.5", "": "",
         "-12345678901234567890": "-12345678901234567168",
     }
-    got = apply(spark, list(cases), N.normalize_number_text)
+    got = apply(spark, list(cases), lambda c: F.coalesce(N.number_text(N.parse_number(c)), c))
     want = dict(cases)
     want["123456789012345678"] = str(int(float("123456789012345678")))
     assert got == list(want.values())
 
 
+def test_digits_of_large_integers(spark):
+    values = [2.0**120, -(2.0**121), 1.5 * 2.0**200, 1.7976931348623157e308, 1e40, 2.0**1000, -1e22]
+    assert apply(spark, values, N.number_text, "double") == [str(int(v)) for v in values]
+
+
 def test_number_text_against_python(spark):
     import random
 
@@ -119,7 +124,7 @@ def test_values_equal(spark):
         (("Hello", "hello"), False), ((True, 1), True),
     ]
     df = cells_frame(spark, [c for c, _ in cases])
-    got = [r[0] for r in df.orderBy("i").select(C.values_equal(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(C.same_class(C.compare_class(F.col("a")), C.compare_class(F.col("b")))).collect()]
     assert got == [w for _, w in cases]
 
 
@@ -195,3 +200,27 @@ def test_planned_value(spark):
         ("txt", None, "90.0/100", True), ("num", 100.0, None, False),
         ("txt", None, "99.0/N·A", True), ("txt", None, "90.7/90", True),
     ]
+
+
+def test_mixed_packing_against_a_loop(spark):
+    import math
+    import random
+
+    from orderflow.functions import packing as K
+
+    def plain(ctn, plt, low, high):
+        for n in range(math.floor(high / plt), -1, -1):
+            total = n * plt + math.ceil(max(0.0, low - n * plt) / ctn) * ctn
+            if low <= total <= high:
+                return total
+        return None
+
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(300):
+        low = rnd.uniform(0, 3000)
+        rows.append((rnd.randint(1, 400), rnd.randint(1, 600), low, low + rnd.choice([0.2, 1.5, 10.0])))
+    rows += [(997, 991, 200000.5, 200000.9), (70, 35, 100001.0, 100004.0), (100_003, 2, 900_000.2, 900_000.8)]
+    df = spark.createDataFrame(rows, "ctn long, plt long, low double, high double")
+    got = [r[0] for r in df.select(K.mixed_packing(*[F.col(c) for c in ("ctn", "plt", "low", "high")])).collect()]
+    assert got == [plain(*r) for r in rows]

@@ -58,7 +58,7 @@ def test_cluster_lines_greedy(spark):
 
 def test_cluster_no_chaining(spark):
     df = words_frame(spark, [(1, t, [(t, "w")]) for t in (10, 11, 12, 13, 14, 20, 22, 25)])
-    keys = sorted({r.line_key for r in lines.line_keys(df).collect()})
+    keys = sorted({r.line_key for r in lines.cluster_lines(df).collect()})
     assert keys == [10, 13, 20, 25]
 
 
@@ -209,3 +209,33 @@ def test_classify_layouts(spark):
         1: ("columns_es", False, "Cantidad", "Importe"), 2: ("columns", True, "Quantity", "Amount"),
         3: ("marker", False, "Quantity", None), 4: ("tail", False, "Quantity", "Amount"),
         5: ("marker", True, "Quantity", None)}
+
+
+def test_lines_take_one_shuffle_of_the_words(spark):
+    df = words_frame(spark, [(1, 10, [(1.0, "w")])])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (lines.assemble_lines(df), layout_columns.extract(df), layout_marker.extract(df)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Join" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_words_without_a_place_are_counted(spark):
+    rows = [("a", 1, 0, 1.0, 10.0, "x"), ("a", None, 1, 1.0, 10.0, "y"), ("a", 1, 2, 1.0, None, "z"), ("b", 1, 0, 1.0, 1.0, "x")]
+    df = spark.createDataFrame(rows, WORDS)
+    assert [tuple(r) for r in lines.unplaced_words(df).collect()] == [("a", 2)]
+
+
+def test_order_of_long_pages(spark):
+    """Text has no height: lines of a page beyond 2**20 still come before the next page."""
+    from orderflow.operators.order_lines import line_sequence
+
+    rows = [(1, 2**21), (2, 0), (1, 2**31 - 1), (2**31 - 1, 2**31 - 1)]
+    df = spark.createDataFrame(rows, "page int, line int").select(line_sequence(F.col("page"), F.col("line")).alias("s"))
+    a, b, c, d = (r.s for r in df.collect())
+    assert a < c < b < d < 2**63

@@ -249,6 +249,20 @@ def test_hot_key_join_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_a_cell_on_every_page_is_not_one_task(spark):
+    """One key on every page of a long document: the only window over the updates is by chunk."""
+    df = spark.range(40).select(
+        F.lit("d").alias("doc_id"), (F.col("id") * 2**32).alias("line_seq"), F.lit("k").alias("Item"),
+        ((F.col("id") / 2).cast("int")).cast("string").alias("Quantity"))
+    parts = spark.createDataFrame([(0, "k", 0.0)], "n long, part string, Qty double")
+    merged = M.merge_into_template(df, T.template_from_table(parts, "part", ["Qty"], "n"), ["Quantity"], ["Qty"], key="Item")
+    got = [r.outcome for r in merged.updates.orderBy("line_seq").collect()]
+    assert got == ["skipped", "skipped"] + ["written", "skipped"] * 19
+    plan = merged.updates._jdf.queryExecution().optimizedPlan().toString()
+    over_updates = [line for line in plan.splitlines() if "Window [" in line and "__before" in line]
+    assert len(over_updates) == 1 and "__part" in over_updates[0]
+
+
 def test_counts_add_up(spark):
     rnd = random.Random(9)
     rows = [(rnd.choice(["a", "b", "zz", "", None]), str(rnd.randint(1, 3)), rnd.choice(["1", "x"])) for _ in range(150)]

