@@ -83,4 +83,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": urls,
 }
 
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_L = license_scan
+
+
+def _template_rows() -> str:
+    rows = []
+    for number, t in enumerate(_L.BASE + _L.ADDED):
+        k = _L.NOTICE_RUN if t.kind == "notice" else _L.PHRASE_RUN
+        for at in range(len(t.words) - k + 1):
+            run = [f"'{w}'" for w in t.words[at : at + k]] + ["NULL"] * (_L.NOTICE_RUN - k)
+            rows.append(f"({number}, '{t.label}', '{t.kind}', {len(t.words)}, {k}, {at}, {', '.join(run)})")
+    return ", ".join(rows)
+
+
+_WORD, _SPACES, _SYMBOLS = quality_rules.SPACED_WORD, quality_rules.SPACES, quality_rules.SYMBOLS
+_R = quality_rules
+
+ORACLES: dict[str, str] = {
+    "op1_license_scans": f"""WITH texts AS (SELECT doc_id, row_number() OVER () AS r,
+          regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_L.WORD}') AS ws FROM documents),
+        words AS (SELECT r, ws[i] AS w0, ws[i + 1] AS w1, ws[i + 2] AS w2, i - 1 AS p FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM texts)),
+        runs(template, label, kind, size, k, "at", t0, t1, t2) AS (VALUES {_template_rows()}),
+        diagonals AS (SELECT r, template, label, kind, size, k, p - "at" AS diagonal, list(DISTINCT "at") AS ats
+          FROM words JOIN runs ON w0 = t0 AND w1 = t1 AND (t2 IS NULL OR w2 = t2) GROUP BY ALL),
+        phrases AS (SELECT r, label, kind, 1.0::DOUBLE AS share, diagonal AS place FROM diagonals WHERE kind <> 'notice' AND len(ats) = size - k + 1),
+        gaps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {_L.NEIGHBOURS} THEN 0 ELSE 1 END AS apart
+          FROM diagonals WHERE kind = 'notice'),
+        parts AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS part FROM gaps),
+        merged AS (SELECT r, label, kind, size, list_distinct(flatten(list(ats))) AS ats, min(diagonal + list_min(ats)) AS first, max(diagonal + list_max(ats)) AS last
+          FROM parts GROUP BY r, template, label, kind, size, part),
+        notices AS (SELECT r, label, kind, len(list_distinct(flatten(list_transform(ats, lambda a: [a, a + 1, a + 2])))) / size AS share, first, last, size FROM merged),
+        found AS (SELECT r, count(*) FILTER (kind = 'base') AS n_base, min(place) FILTER (kind = 'base') AS first_word, max(place) FILTER (kind = 'base') AS last_word,
+          array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+          max(share) AS score FROM (SELECT * FROM phrases UNION ALL SELECT r, label, kind, share, first FROM notices
+            WHERE share >= {_L.LEAST_COVERED} AND last + {_L.NOTICE_RUN} - first <= {_L.LONGEST_SPAN} * size) GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+          coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM texts LEFT JOIN found USING (r)""",
+    "op3_quality_rules": f"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+        split AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS ws,
+          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls,
+          length(regexp_replace(text, '{_SPACES}', '', 'g')) AS word_chars, len(regexp_extract_all(text, '{_SYMBOLS}')) AS n_symbols FROM texts),
+        triples AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM split)),
+        repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p
+          FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM triples) WHERE c > 1) GROUP BY 1),
+        measured AS (SELECT t.doc_id, t.source, len(ws) AS n_words, word_chars, n_symbols, len(ls) AS n_lines,
+          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+          FROM texts t JOIN split USING (r) LEFT JOIN repeated USING (r)),
+        judged AS (SELECT *, n_words < {_R.LEAST_WORDS} OR 100 * n_repeat_words > {_R.MOST_REPEATED} * n_words AS base_failed,
+          100 * n_symbols > {_R.MOST_SYMBOLS} * n_words OR 100 * n_dup_lines > {_R.MOST_DUP_LINES} * n_lines
+          OR word_chars < {_R.SHORTEST_MEAN} * n_words OR word_chars > {_R.LONGEST_MEAN} * n_words AS soft_failed FROM measured),
+        hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM judged GROUP BY 1),
+        prior AS (SELECT avg(bad / n) AS m, CASE WHEN var_pop(bad / n) > 1e-12 THEN greatest(avg(bad / n) * (1 - avg(bad / n)) / var_pop(bad / n) - 1, 1.0)
+          ELSE {_R.FLAT_PRIOR} END AS w FROM hosts),
+        verdicts AS (SELECT source, (bad + m * w) / (n + w) > {_R.MOST_FAILING} AS host_failed FROM hosts, prior)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_failed,
+          NOT base_failed AND NOT (host_failed AND soft_failed) AS kept
+        FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source""",
+    "op10_url_filters": f"""WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+        split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM pages),
+        fits AS (SELECT s.n, arg_max(r.host || r.path, length(r.host || r.path) * 10000 + length(r.host)) AS rule,
+          arg_max(r.verdict, length(r.host || r.path) * 10000 + length(r.host)) AS verdict
+          FROM split s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY 1)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fits USING (n)""",
+}
