@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +26,17 @@ ROLES = ("qty", "price", "amount")
 
 @dataclass
 class Validated:
-    """Outcome of validate(): rows kept, rows set aside with reasons, flagged cells."""
+    """Outcome of validate(): rows kept, rows set aside with reasons, flagged cells.
+
+    checked holds all rows with their reasons, which everything else is derived from; derive
+    makes the outcome of such rows, wherever they have been kept.
+    """
 
     clean: DataFrame
     rejects: DataFrame
     flags: DataFrame
+    checked: DataFrame | None = None
+    derive: Callable[[DataFrame], Validated] | None = None
 
 
 def rule_columns(df: DataFrame, rules: Rules) -> list[str]:
@@ -170,14 +176,19 @@ def validate(
     """
     key = key or next(c for c in df.columns if c != doc)
     columns = columns if columns is not None else text_columns(df, skip=[doc])
-    numbered = with_numbers(df, rules)
-    clean, rejects = split_invalid_numeric(numbered, rules)
-    found = _character_flags(columns)
-    totals = _total_flags(clean, rules)
-    if totals is not None:
-        found = F.concat(totals, found)
-    flags = flag_union(_explode_flags(clean, found, key, doc))
-    return Validated(clean.select(*df.columns), rejects.select(*df.columns, "reject_reasons"), flags)
+    names = df.columns
+
+    def derive(checked: DataFrame) -> Validated:
+        clean = checked.filter(F.size("reject_reasons") == 0)
+        rejects = checked.filter(F.size("reject_reasons") > 0)
+        found = _character_flags(columns)
+        totals = _total_flags(clean, rules)
+        if totals is not None:
+            found = F.concat(totals, found)
+        flags = flag_union(_explode_flags(clean, found, key, doc))
+        return Validated(clean.select(*names), rejects.select(*names, "reject_reasons"), flags, checked, derive)
+
+    return derive(with_reject_reasons(df, rules))
 
 
 def validation_report(

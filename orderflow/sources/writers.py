@@ -11,10 +11,12 @@ from orderflow.operators.quality import Validated
 
 
 def write_clean(result: Validated, path: str, mode: str = "errorifexists") -> None:
-    """Clean rows, the rows set aside with their reasons, and the flags, as three tables."""
-    result.clean.write.mode(mode).parquet(f"{path}/clean")
-    result.rejects.write.mode(mode).parquet(f"{path}/rejects")
-    result.flags.write.mode(mode).parquet(f"{path}/flags")
+    """All rows with their reasons once, and from them the clean rows, the rows set aside and the flags, as tables."""
+    result.checked.write.mode(mode).parquet(f"{path}/checked")
+    kept = result.derive(result.checked.sparkSession.read.schema(result.checked.schema).parquet(f"{path}/checked"))
+    kept.clean.write.mode(mode).parquet(f"{path}/clean")
+    kept.rejects.write.mode(mode).parquet(f"{path}/rejects")
+    kept.flags.write.mode(mode).parquet(f"{path}/flags")
 
 
 def write_merged(
