@@ -52,3 +52,48 @@ def text_bytes(text: str | None) -> bytes:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PART = 1 << 20
+
+
+class ByteRuns:
+    """Hashes of the words of a text from sums over its bytes, without a Python object per word.
+
+    A word's hash is a polynomial of its bytes, the difference of two running sums,
+    brought back to the word's start by the inverse of the base.
+    """
+
+    def __init__(self) -> None:
+        self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_PART + 1, _BASE))])
+        self.inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_PART + 1, _INVERSE))])
+
+    def _part(self, data: bytes) -> np.ndarray:
+        array = np.frombuffer(data, np.uint8)
+        inside = np.empty(len(array) + 2, np.int8)
+        inside[0] = inside[-1] = 0
+        np.not_equal(array, 32, out=inside[1:-1].view(bool))
+        change = np.diff(inside)
+        starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        sums = np.zeros(len(array) + 1, np.uint64)
+        np.cumsum((array.astype(np.uint64) + np.uint64(1)) * self.powers[: len(array)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def of(self, data: bytes) -> np.ndarray:
+        """Hashes of the words of data, which spaces set apart."""
+        if len(data) <= _PART:
+            return self._part(data)
+        parts, start = [], 0
+        while start < len(data):
+            stop = len(data) if len(data) - start <= _PART else data.rfind(b" ", start, start + _PART)
+            if stop <= start:  # one word longer than a part
+                stop = data.find(b" ", start + _PART)
+                stop = len(data) if stop < 0 else stop
+                word = data[start:stop].strip()
+                parts.append(np.array([xxhash.xxh3_64_intdigest(word)] if word else [], np.uint64))
+            else:
+                parts.append(self._part(data[start:stop]))
+            start = stop + (stop < len(data))
+        return np.concatenate(parts)
