@@ -108,7 +108,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id and shingles of the documents that stand for a class in members (id)."""
+    """id and shingles of the documents that stand for a class in members (id).
+
+    Here and below joins with texts or sets are merge joins at every size, as their other sides grow with the documents.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -117,14 +120,14 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"id": part["doc_id"], "shingles": [signed(shingle_set(t, hashes)) for t in part["text"]]})
 
-    needed = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("id"), "left_semi")
+    needed = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
     return needed.mapInPandas(cut, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("u_id"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("id").alias("v_id"), F.col("shingles").alias("other"))
+    one = sets.select(F.col("id").alias("u_id"), F.col("shingles").alias("one")).hint("merge")
+    other = sets.select(F.col("id").alias("v_id"), F.col("shingles").alias("other")).hint("merge")
     both = pairs.join(one, F.col("u") == F.col("u_id")).select("u", "v", "one").join(other, F.col("v") == F.col("v_id"))
     shared = both.select("u", "v", F.size(F.array_intersect("one", "other")).alias("i"), (F.size("one") + F.size("other")).alias("s"))
     return shared.where(100 * F.col("i") >= threshold * (F.col("s") - F.col("i"))).select("u", "v")
@@ -181,7 +184,7 @@ def cross_links(groups: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     every = counted.select("group", "id", "component", F.lit(False).alias("rest"), own("of_all").alias("j"), F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)).alias("i"))
     rest = counted.where("rest").select("group", "id", "component", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"), own("of_rest").alias("i"))
     dealt = every.unionByName(rest)
-    full = dealt.join(sets.select(F.col("id").alias("of"), "shingles"), F.col("id") == F.col("of"))
+    full = dealt.join(sets.select(F.col("id").alias("of"), "shingles").hint("merge"), F.col("id") == F.col("of"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(block_links(part, threshold), columns=["u", "v"])
