@@ -256,3 +256,16 @@ def keep_first_of_group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFram
     """The rows of docs whose id stands for its component, with all their columns; rows that share an id stay or go together."""
     dropped = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def keep_one_of_group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of docs of every group of near duplicates, with all its columns: the first by doc_id and text hash.
+
+    Here every row is a document of its own, so repeated rows and rows without an id are copies like others, and texts
+    that only share an id are not. Rows without a word all stay.
+    """
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("__of"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash"), "__row")
+    firsts = rows.select("__row", place.alias("place")).join(found, F.col("__row") == F.col("__of")).groupBy("component_id").agg(F.min("place").alias("first"))
+    return rows.join(firsts.select(F.col("first.__row").alias("__first")), F.col("__row") == F.col("__first"), "left_semi").drop("__row")
