@@ -25,3 +25,13 @@ def test_repeated_rows_and_rows_without_an_id(spark):
     assert got == sorted(want, key=repr) and first[0] in (three, near)
     after = {r["text"] for r in substring_dedup.remove_repeats(left).collect()}
     assert {one, two, first[0]} <= after
+
+
+def test_copies_of_a_similarity_between_80_and_85(spark):
+    words = prose(110, 6).split()
+    changed = list(words)
+    changed[30], changed[70] = "other", "word"
+    one, other = " ".join(words), " ".join(changed)
+    a, b = plain_set(one), plain_set(other)
+    assert 0.8 < len(a & b) / len(a | b) < 0.85
+    assert [r["doc_id"] for r in staying(spark, [(1, one), (2, other)]).collect()] == [1]
