@@ -9,13 +9,18 @@ drawn from a hash of the document and a seed, is added to the log weights, and t
 largest are kept, which samples k documents without replacement in proportion to
 their weights.
 
+A few toxic words in good prose, or few words altogether, do not add up to much. So a
+document has its weight put far below the floor where one of its words is much more
+common in documents labelled toxic than in the target text (the lower end of the log
+ratio of the shares of documents that hold it), or where its mean log ratio is low.
+
 k is the number of documents whose weight is above the floor: those that the
 evidence of their n-grams does not speak clearly against. The k-th largest key is
 found exactly by counting its digits, sixteen bits at a time, so no list of documents
 is gathered anywhere.
 
 Raw counts cover all documents; target counts come from at most TARGET_ROWS labelled
-rows, chosen by a hash of the id.
+rows, chosen by a hash of the id; so do those of toxic text.
 
 Results: a null text, or one without words or signs, has no weight and is not kept.
 Rows that are equal in id and text get the same key and the same verdict; where they
@@ -55,6 +60,12 @@ DOUBT = 50.0
 #: Documents with a log weight above this are as many as are kept. The evidence of a bad text adds up with its length to far
 #: below it, while a few odd tokens (an address, a number) in a short good one do not reach it.
 FLOOR = -20.0
+
+#: A text with a lower mean log ratio fails at any length; what a failing text is put below the floor by, more than any noise.
+LEAST_MEAN, FAILED = -0.25, 60.0
+
+#: Buckets of words told apart for toxic text, toxic documents that have to hold one, and the log ratio above which it tells.
+TOXIC_BUCKETS, TOXIC_DOCUMENTS, MOST_TOXIC = 1 << 20, 5, 2.5
 SEED = 17
 
 #: Tokens a process remembers, and tokens worked on together.
@@ -87,9 +98,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def text_buckets(text: str, codes: TokenCodes) -> Iterator[np.ndarray]:
     """The buckets of all n-grams of a text, block by block."""
+    return (found for found, _ in text_parts(text, codes))
+
+
+def text_parts(text: str, codes: TokenCodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of all n-grams of a text and the toxic model's of its tokens, block by block."""
     tokens, before = [], []
 
-    def buckets(tokens: list[str], before: list[str]) -> np.ndarray:
+    def buckets(tokens: list[str], before: list[str]) -> tuple[np.ndarray, np.ndarray]:
         row = np.fromiter(map(codes.__getitem__, before + tokens), np.uint64, len(before) + len(tokens))
         own = row[len(before) :] >> np.uint64(4)
         hashes, kinds = row >> np.uint64(4), (row & np.uint64(15)).astype(np.int64)
@@ -99,7 +115,7 @@ def text_buckets(text: str, codes: TokenCodes) -> Iterator[np.ndarray]:
             (own % np.uint64(TOKEN_BUCKETS)).astype(np.int64),
             (pairs % np.uint64(PAIR_BUCKETS)).astype(np.int64) + TOKEN_BUCKETS,
             (kinds[:-1] * KINDS + kinds[1:]) * 2 + same + TOKEN_BUCKETS + PAIR_BUCKETS,
-        ])
+        ]), (own % np.uint64(TOXIC_BUCKETS)).astype(np.int64)
 
     for match in TOKEN.finditer(text) if len(text) > 4 * BLOCK else ():
         tokens.append(match.group())
@@ -144,6 +160,31 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return ratios
 
 
+def toxic_ratios(rows: DataFrame) -> np.ndarray | None:
+    """The lower end of the log ratio of toxic to target documents that hold a word of each bucket. Rows have text, is_target and is_toxic."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, totals = TokenCodes(), np.zeros((2, TOXIC_BUCKETS + 1), np.int64)  # the last are the documents
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["is_toxic"]):
+                held = [own for _, own in text_parts(text or "", codes)]
+                totals[int(toxic), np.unique(np.concatenate([*held, [TOXIC_BUCKETS]]).astype(np.int64))] += 1
+        used = np.flatnonzero(totals.sum(0))
+        yield pd.DataFrame({"bucket": used, "target": totals[0][used], "toxic": totals[1][used]})
+
+    labelled = rows.where("is_target or is_toxic").select("text", "is_toxic")
+    counts = labelled.mapInPandas(count, "bucket long, target long, toxic long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("toxic").alias("toxic"))
+    found = staged(counts.where((F.col("toxic") >= TOXIC_DOCUMENTS) | (F.col("bucket") == TOXIC_BUCKETS))).collect()  # at most one row per bucket
+    target, toxic = np.zeros(TOXIC_BUCKETS + 1), np.zeros(TOXIC_BUCKETS + 1)
+    for r in found:
+        target[r["bucket"]], toxic[r["bucket"]] = r["target"], r["toxic"]
+    if not toxic[-1] or not target[-1]:
+        return None
+    t, c = toxic[:-1] + 0.5, target[:-1] + 0.5
+    ratios = np.log(t / (toxic[-1] + 1)) - np.log(c / (target[-1] + 1)) - np.sqrt(1 / t + 1 / c)
+    return np.where(toxic[:-1] >= TOXIC_DOCUMENTS, ratios, 0.0).astype(np.float32)
+
+
 def gumbel(doc_id: object, text: str, seed: int) -> float:
     """Standard Gumbel noise that only the document and the seed decide."""
     data = repr((None if pd.isna(doc_id) else int(doc_id), seed)).encode() + text.encode("utf-8", "surrogatepass")
@@ -151,19 +192,24 @@ def gumbel(doc_id: object, text: str, seed: int) -> float:
     return float(-np.log(-np.log(min(max(uniform, 1e-18), 1 - 1e-16))))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
+def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, floor: float, seed: int) -> DataFrame:
     """doc_id, text_hash, log_weight, key and a whole number in the order of the keys, for every document."""
-    model = docs.sparkSession.sparkContext.broadcast(ratios)
+    model = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, ratio = TokenCodes(), model.value
+        codes, (ratio, toxic) = TokenCodes(), model.value
         for batch in batches:
             weights = np.full(len(batch), np.nan)
             keys = np.zeros(len(batch))
             for i, (doc_id, text) in enumerate(zip(batch["id"], batch["text"])):
-                parts = [ratio[found].sum() for found in text_buckets(text or "", codes)]
+                parts = [
+                    (ratio[found].sum(), len(found), 0.0 if toxic is None else toxic[own].max()) for found, own in text_parts(text or "", codes)
+                ]
                 if parts:
-                    weights[i] = sum(parts)
+                    sums, sizes, worst = zip(*parts)
+                    weights[i] = sum(sums)
+                    if max(worst) > MOST_TOXIC or weights[i] < LEAST_MEAN * sum(sizes):
+                        weights[i] = min(weights[i], floor) - FAILED
                     keys[i] = weights[i] + gumbel(doc_id, text, seed)
             none = np.isnan(weights)
             yield pd.DataFrame({
@@ -197,21 +243,25 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
+def _some(ids: DataFrame, most: int) -> DataFrame:
+    """At most about so many rows with a doc_id, chosen by its hash."""
+    there, parts = ids.count(), 1 << 40
+    return ids if there <= most else ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * most / there))
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id, text_hash, log_weight, key and kept of every row of docs.
 
     docs has doc_id and text, labels has doc_id, quality and toxic.
     """
     good = labels.where((F.col("quality") == 1) & ~(F.coalesce("toxic", F.lit(0)) == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    there = good.count()
-    if there > target_rows:
-        parts = 1 << 40
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * target_rows / there))
-    target = F.broadcast(good.distinct().select(F.col("doc_id").alias("good_id")))  # at most about target_rows ids
-    flagged = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("good_id"), "left").select(
-        "text", F.col("good_id").isNotNull().alias("is_target")
+    bad = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    target, toxic = (F.broadcast(_some(ids, target_rows).distinct().select(F.col("doc_id").alias(name))) for ids, name in ((good, "good_id"), (bad, "bad_id")))
+    flagged = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("good_id"), "left").join(toxic, F.col("doc_id") == F.col("bad_id"), "left").select(
+        "text", (F.col("good_id").isNotNull() & F.col("bad_id").isNull()).alias("is_target"), F.col("bad_id").isNotNull().alias("is_toxic")
     )
-    weights = staged(weighted(docs.select("doc_id", "text"), log_ratios(staged(model_counts(flagged))), seed))
+    ratios = log_ratios(staged(model_counts(flagged.select("text", "is_target"))))
+    weights = staged(weighted(docs.select("doc_id", "text"), ratios, toxic_ratios(flagged), floor, seed))
     k = weights.where(F.col("log_weight") > floor).count()
     limit = kth_largest(weights, "key_order", k) if k else None
     kept = F.coalesce(F.col("key_order") >= limit, F.lit(False)) if k else F.lit(False)
