@@ -12,7 +12,7 @@ Up to seven languages use the exhaustive code (each split of the languages once)
 more use seeded random words that differ in at least a quarter of the bits.
 
 Counts come from at most TRAINING_ROWS rows that may be learned from, chosen by a hash
-of the id; their n-grams are counted in parallel, and what reaches the driver is one
+of the id and the text; each language has an equal bound, and what is rarer is learned whole. Their n-grams are counted in parallel, and what reaches the driver is one
 count per language and bucket.
 
 Results: a null text, an empty one or one without a letter gets "und", score 0, and
@@ -35,6 +35,9 @@ from orderflow.llm.common import staged
 
 BUCKETS = 1 << 15
 TRAINING_ROWS = 20_000
+
+#: Rows that every language may have, if it has them, however many languages there are.
+LEAST_ROWS = 100
 SMOOTHING = 0.5
 
 #: Bytes of a text that are looked at together.
@@ -134,13 +137,26 @@ class CodeModel:
         return self.languages[best], float(chances[best]), bool(chances[best] - np.partition(chances, -2)[-2] < AMBIGUOUS_LEAD)
 
 
+def rows_per_language(sizes: list[int], most_rows: int) -> int:
+    """The rows that a language has at most, so that all have most_rows together; smaller languages leave theirs to larger ones."""
+    left = most_rows
+    for n, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - n)
+        if size > share:
+            return max(share, LEAST_ROWS)
+        left -= size
+    return max(sizes)
+
+
 def fit_languages(rows: DataFrame, may_learn: Column, most_rows: int = TRAINING_ROWS) -> CodeModel:
-    """Fit on at most about most_rows rows of the columns doc_id, text and lang."""
+    """Fit on at most about most_rows rows of the columns doc_id, text and lang, or LEAST_ROWS of each language where that is more."""
     eligible = rows.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    there = eligible.count()
-    if there > most_rows:
-        parts = 1 << 40
-        eligible = eligible.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * most_rows / there))
+    sizes = {r["lang"]: r["n"] for r in eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > most_rows:
+        most, parts = rows_per_language(list(sizes.values()), most_rows), 1 << 40
+        limits = eligible.sparkSession.createDataFrame([(lang, min(parts, int(parts * most / n))) for lang, n in sizes.items()], "of string, below long")
+        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+        eligible = eligible.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(place < F.col("below")).drop("of", "below")
     counts = staged(counted_ngrams(eligible))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     table = np.zeros((len(languages), BUCKETS))
