@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import decontamination, language_id, license_scan, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
+from orderflow.llm import decontamination, exact_dedup, language_id, license_scan, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 
 SHARDS = 16
 
@@ -70,6 +70,10 @@ def urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES)
 
 
+def copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.mark_copies(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op2_sharding": shards,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": near_duplicates,
     "op9_language_id": languages,
     "op10_url_filters": urls,
+    "op11_exact_dedup": copies,
 }
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
@@ -149,4 +154,7 @@ ORACLES: dict[str, str] = {
           arg_max(r.verdict, length(r.host || r.path) * 10000 + length(r.host)) AS verdict
           FROM split s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY 1)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fits USING (n)""",
+    "op11_exact_dedup": f"""WITH texts AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+          row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM texts""",
 }
