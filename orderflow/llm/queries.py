@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import decontamination, exact_dedup, language_id, license_scan, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
+from orderflow.llm import decontamination, exact_dedup, language_id, license_scan, merkle, minhash, packing, quality_classifier, quality_rules, ranked_search, sharding, substring_dedup, url_filter
 
 SHARDS = 16
 
@@ -74,6 +74,14 @@ def copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(_documents(spark, folder))
 
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.build_manifest(_documents(spark, folder), merkle.tampered_leaf()))
+
+
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": license_scans,
     "op2_sharding": shards,
@@ -86,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": languages,
     "op10_url_filters": urls,
     "op11_exact_dedup": copies,
+    "op12_merkle_manifest": manifest,
+    "op13_ranked_search": ranked,
 }
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
@@ -104,6 +114,17 @@ def _template_rows() -> str:
     return ", ".join(rows)
 
 
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"CAST({n_chars if f == 'n_chars' else f} AS VARCHAR)" for f in merkle.FIELDS]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+#: CRC-32 of the digits of doc_id: a byte is taken in, then eight times a bit is shifted out.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+          lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384::BIGINT * (d & 1)))), 4294967295::BIGINT)"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _WORD, _SPACES, _SYMBOLS = quality_rules.SPACED_WORD, quality_rules.SPACES, quality_rules.SYMBOLS
 _R = quality_rules
 
@@ -157,4 +178,34 @@ ORACLES: dict[str, str] = {
     "op11_exact_dedup": f"""WITH texts AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
           row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM texts""",
+    "op12_merkle_manifest": f"""WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+          CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS found FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        low AS (SELECT 0 AS level, lang, p, leaf AS node, n FROM placed
+          UNION ALL SELECT level + 1, lang, p // 2, sha256(string_agg(node, '' ORDER BY p)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY level, lang, p // 2, n),
+        tops AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1),
+        high AS (SELECT 0 AS level, p, node, n FROM tops
+          UNION ALL SELECT level + 1, p // 2, sha256(string_agg(node, '' ORDER BY p)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, p // 2, n),
+        climb AS (SELECT row_number() OVER () AS r, doc_id, lang, leaf, p, n, 0 AS level, found AS node, '' AS proof FROM placed
+          UNION ALL SELECT r, doc_id, c.lang, leaf, c.p // 2, (c.n + 1) // 2, c.level + 1,
+            sha256(CASE WHEN s.node IS NULL THEN c.node WHEN c.p % 2 = 0 THEN c.node || s.node ELSE s.node || c.node END), proof || coalesce(s.node, '')
+          FROM climb c LEFT JOIN low s ON s.level = c.level AND s.lang IS NOT DISTINCT FROM c.lang AND s.p = xor(c.p, 1) WHERE c.n > 1),
+        peak AS (SELECT r, doc_id, leaf, t.node AS subroot, t.p, t.n, 0 AS level, c.node, proof FROM climb c JOIN tops t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+          UNION ALL SELECT r, doc_id, leaf, subroot, k.p // 2, (k.n + 1) // 2, k.level + 1,
+            sha256(CASE WHEN s.node IS NULL THEN k.node WHEN k.p % 2 = 0 THEN k.node || s.node ELSE s.node || k.node END), proof || coalesce(s.node, '')
+          FROM peak k LEFT JOIN high s ON s.level = k.level AND s.p = xor(k.p, 1) WHERE k.n > 1)
+        SELECT doc_id, leaf, subroot, high.node AS root, sha256(proof) AS proof_sha256, peak.node AS folded_root, peak.node = high.node AS verified
+        FROM peak, high WHERE peak.n = 1 AND high.n = 1""",
+    "op13_ranked_search": f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS ts FROM documents),
+        sized AS (SELECT r, doc_id, len(ts) AS n FROM texts WHERE len(ts) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+        counts AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM texts) GROUP BY ALL),
+        weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+          FROM (SELECT t, count(*) AS df FROM counts GROUP BY t), total),
+        items AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+        asked AS (SELECT i, item_id, t, count(*) AS c FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM items) GROUP BY ALL),
+        scored AS (SELECT i, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM asked JOIN counts USING (t) JOIN weights USING (t) JOIN sized USING (r), total GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= {ranked_search.BEST}""",
 }
