@@ -14,10 +14,11 @@ from orderflow.functions import packing as K
 from orderflow.functions.text import strip
 from orderflow.operators.columns import find_name, parse_number_columns, settle
 from orderflow.operators.packing import plan_packing
-from orderflow.operators.template import PER_CARTON, PER_PALLET, Template, lookup_value
+from orderflow.operators.template import PER_CARTON, PER_PALLET, Template, Templates, lookup_value
+from orderflow.staging import staged
 
-#: Line numbers of a chunk, chunks of a stretch, and how often stretches are cut.
-CHUNK, STRETCH, LEVELS = 2**18, 2**24, 1
+#: A cell with more updates than this is not left to one task, and so many updates of such cells are a part.
+CROWD, PART = 2**18, 2**17
 
 SKIPPED, FLAGGED, MODIFIED, WRITTEN = "skipped", "flagged", "modified", "written"
 UNMATCHED, BLANK_KEY = "unmatched", "blank_key"
@@ -167,53 +168,90 @@ def to_cell_updates(
     return exploded.select(*keep, "u.*")
 
 
-def _carried(ends: DataFrame, cell: Sequence[str], level: int = 0) -> DataFrame:
-    """For the parts of every cell the last class of the part before. ends: cell, __part, __last.
+def crowded_keys(lines: DataFrame, key: str, by: Sequence[str] = (), crowd: int | None = CROWD) -> DataFrame | None:
+    """The keys that more than so many lines ask for, with the columns by; None if there are none.
 
-    One row per part, so this is small. A cell with very many parts is cut once more: the
-    last class of a stretch of parts goes to the first part of the next stretch.
+    A cell gets at most one update from a line and column pair, so the keys are counted
+    before anything is joined; that reads the key alone. by: the document, where each has a template of
+    its own; then only the lines of documents with enough of them are counted by key. There are at most as many
+    such keys as lines divided by crowd. crowd: None says that there are none; then nothing is read.
     """
-    if level == LEVELS:
-        order = W.partitionBy(*cell).orderBy("__part")
-        return ends.select(*cell, "__part", F.lag("__last").over(order).alias("__carried"))
-    stretch = ends.withColumn("__up", F.expr(f"__part div {STRETCH}"))
-    order = W.partitionBy(*cell, "__up").orderBy("__part")
-    inside = stretch.withColumn("__inside", F.lag("__last").over(order))
-    last = stretch.groupBy(*cell, F.col("__up").alias("__part")).agg(F.max_by("__last", "__part").alias("__last"))
-    above = _carried(last, cell, level + 1).withColumnRenamed("__part", "__up")
-    same = [inside[c].eqNullSafe(above[c]) for c in [*cell, "__up"]]
-    joined = inside.join(above, same, "left")
-    return joined.select(*[inside[c] for c in cell], inside["__part"], F.coalesce("__inside", "__carried").alias("__carried"))
+    if crowd is None:
+        return None
+    counted = lines.select(*by, strip(C.canonical_key_of(lines, key)).alias("__key")).where("__key <> ''")
+    many = F.col("n") > crowd
+    if by:
+        large = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(many).select(lookup_value(*map(F.col, by)).alias("__of"))
+        if large.isEmpty():
+            return None
+        counted = counted.withColumn("__by", lookup_value(*map(F.col, by))).join(staged(large), F.col("__by") == F.col("__of"), "left_semi")
+    found = counted.groupBy(*by, F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n")).where(many).drop("n")
+    return None if found.isEmpty() else staged(found)
+
+
+def mark_crowded(found: DataFrame, keys: DataFrame | None, rows: DataFrame, by: Sequence[str], doc: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Lines that know their template row with __crowded, whether a crowded key leads to that row, and this
+    column's name; without crowded keys the lines as they are and no name.
+
+    A row that several keys lead to is crowded for all of them. rows: of the template, by: the columns that
+    tell the template of a key there, doc: those that tell whose row it is.
+    """
+    if keys is None:
+        return found, []
+    asked = keys.withColumn("__at", lookup_value(*map(F.col, by), F.col("key"))).drop("key", *[c for c in by if c not in doc])
+    led = rows.select(lookup_value(*map(F.col, by), F.col("key")).alias("__of"), "row_idx")
+    crowded = staged(asked.join(led, F.col("__at") == F.col("__of")).select(lookup_value(*map(F.col, doc), F.col("row_idx")).alias("__row")).distinct())
+    marks = crowded.withColumn("__many", F.lit(True))
+    told = found.withColumn("__at", lookup_value(*map(F.col, doc), F.col("row_idx"))).join(marks, F.col("__at") == F.col("__row"), "left")
+    return told.withColumn("__crowded", F.coalesce("__many", F.lit(False))).drop("__at", "__row", "__many"), ["__crowded"]
+
+
+def _before_in_parts(updates: DataFrame, cell: Sequence[str], order: Sequence[str], part: int) -> DataFrame:
+    """Add __before to the updates of crowded cells: the class that the update before wrote.
+
+    The updates are dealt out by ranges of cell and order, so a cell goes over as many parts as
+    it has updates for, each in order. Inside a part the update before is the row
+    before; the first row of a part gets it from the ends of the parts, one row each.
+    """
+    parts = max(1, -(-updates.count() // part))
+    dealt = staged(updates.repartitionByRange(parts, *cell, *order).withColumn("__part", F.spark_partition_id()))
+    own, place = F.struct(*cell), F.struct(*cell, *order)
+    inside = W.partitionBy("__part").orderBy(*cell, *order)
+    ends = dealt.groupBy("__part").agg(F.max_by(F.struct(own.alias("cell"), F.col("__new").alias("last")), place).alias("__end"))
+    before = W.orderBy("__part")  # of the parts, not of the updates
+    carried = staged(ends.select(F.col("__part").alias("__to"), F.lag("__end").over(before).alias("__carried")).where("__carried is not null"))
+    looked = dealt.withColumn("__row_before", F.lag(F.struct(own.alias("cell"), F.col("__new").alias("last"))).over(inside))
+    joined = looked.join(carried, F.col("__part") == F.col("__to"), "left")
+    found = F.coalesce("__row_before", "__carried")
+    same = found["cell"].eqNullSafe(own)
+    return joined.withColumn("__before", F.when(same, found["last"])).select(*updates.columns, "__before")
 
 
 def sequence_updates(
-    updates: DataFrame, cell: Sequence[str], order: Sequence[str], chunk: int = CHUNK
+    updates: DataFrame, cell: Sequence[str], order: Sequence[str], crowded: bool = False, part: int = PART
 ) -> DataFrame:
     """Add previous: the compare class of what stands in the cell just before a row.
 
     Updates of one cell apply in order; as equality is an equivalence, what a row finds
-    is the class of the row before it, or of the template's cell for the first one. One
-    cell may get a large part of all updates, so the order is cut into chunks by its
-    first, whole-number column. The one window over the updates looks back inside a
-    chunk. The last class of each chunk, a small table that is grouped the same way, is
-    carried to the next one and joined back. Rows without a cell have nothing to wait
-    for and stay out of all that.
+    is the class of the row before it, or of the template's cell for the first one. So
+    this is one exchange of the updates, by cell, and a look at the row before. Rows
+    without a cell have nothing to wait for; they are spread by their own order.
+
+    crowded: there are rows whose column __crowded is true (see mark_crowded), all rows of their cells. The updates are
+    then written once, and those of crowded cells are dealt out by cell and order.
     """
-    old = C.class_of(F.col("old"), F.col("old.read"))
-    part = F.expr(f"`{order[0]}` div {int(chunk)}")
-    # a line without a cell is spread by its own order, so that such lines do not gather
     spread = F.when(F.col("row_idx").isNull(), F.xxhash64(*order)).otherwise(F.lit(0))
-    keyed = updates.withColumns({"__part": part, "__spread": spread, "__new": C.written_class(F.col("new")), "__old": old})
-    group = [*cell, "__spread", "__part"]
-    looked = keyed.withColumn("__before", F.lag("__new").over(W.partitionBy(*group).orderBy(*order)))
-    ends = keyed.filter("row_idx is not null").groupBy(*group).agg(F.max_by("__new", F.struct(*order)).alias("__last"))
-    carried = _carried(ends.select(*cell, "__part", "__last"), cell).withColumn("__spread", F.lit(0).cast("bigint"))
-    renamed = carried.select(*[F.col(c).alias(f"c_{c}") for c in group], "__carried")
-    joined = looked.join(renamed, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in group], "left")
-    previous = F.coalesce("__before", "__carried", "__old")
-    return joined.withColumn("previous", previous).drop(
-        "__part", "__spread", "__before", "__carried", "__old", *[f"c_{c}" for c in group]
-    )
+    keyed = updates.withColumns({
+        "__spread": spread, "__new": C.written_class(F.col("new")), "__old": C.class_of(F.col("old"), F.col("old.read")),
+    })
+    before = F.lag("__new").over(W.partitionBy(*cell, "__spread").orderBy(*order))
+    if not crowded:
+        looked = keyed.withColumn("__before", before)
+    else:
+        kept = staged(keyed)
+        many = F.col("__crowded") & F.col("row_idx").isNotNull()
+        looked = kept.where(~many).withColumn("__before", before).unionByName(_before_in_parts(kept.where(many), cell, order, part))
+    return looked.withColumn("previous", F.coalesce("__before", "__old")).drop("__spread", "__before", "__old")
 
 
 def classify_outcome(updates: DataFrame, flagged: Column) -> DataFrame:
@@ -239,8 +277,9 @@ def mark_modified(updates: DataFrame) -> DataFrame:
     return updates.withColumn("modified", differs)
 
 
-def attach_rows(lines: DataFrame, key: str, template: Template) -> DataFrame:
-    """Lines with row_idx and cells of their template row, nulls where there is none.
+def attach_rows(lines: DataFrame, key: str, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Lines with row_idx and cells of their template row, nulls where there is none. by: columns that tell
+    the line's template, where rows hold several.
 
     Blank and missing keys get a lookup value that no row has and that differs from line
     to line, so they neither match nor gather in one task.
@@ -248,8 +287,8 @@ def attach_rows(lines: DataFrame, key: str, template: Template) -> DataFrame:
     keyed = lines.withColumn("key", strip(C.canonical_key_of(lines, key)))
     look = F.coalesce(F.col("key"), F.lit(""))
     spread = F.pmod(F.xxhash64(*lines.columns), F.lit(4096)).cast("int") + 1
-    left = keyed.withColumn("__look", lookup_value(look, F.when(look == "", spread).otherwise(0)))
-    right = template.rows.withColumn("__look", lookup_value(F.col("key"), F.lit(0))).drop("key")
+    left = keyed.withColumn("__look", lookup_value(*map(F.col, by), look, F.when(look == "", spread).otherwise(0)))
+    right = rows.withColumn("__look", lookup_value(*map(F.col, by), F.col("key"), F.lit(0))).drop("key", *by)
     return left.join(right, "__look", "left").drop("__look")
 
 
@@ -265,8 +304,9 @@ def _with_flags(found: DataFrame, flags: DataFrame | None, doc: str) -> DataFram
 UPDATE = ["col_idx", "map_order", "source_column", "target_column", "value", "planned", "old", "new", "outcome"]
 
 
-def _outcomes(updates: DataFrame, keep: list[str], order: Sequence[str], cell: list[str], chunk: int) -> DataFrame:
-    sequenced = sequence_updates(mark_modified(updates), cell, [*order, "map_order"], chunk)
+def _outcomes(updates: DataFrame, keep: list[str], order: Sequence[str], cell: list[str], part: int) -> DataFrame:
+    crowded = "__crowded" in updates.columns
+    sequenced = sequence_updates(mark_modified(updates), cell, [*order, "map_order"], crowded, part)
     flagged = F.coalesce(F.array_contains("__flagged", F.col("source_column")), F.lit(False))
     return classify_outcome(sequenced, flagged).select(*keep, *UPDATE)
 
@@ -281,25 +321,30 @@ def merge_updates(
     doc: str = "doc_id",
     per_document: bool = False,
     carry: Sequence[str] = (),
-    chunk: int = CHUNK,
+    crowd: int | None = CROWD,
+    part: int = PART,
 ) -> DataFrame:
     """All updates with their outcome; a line without a template row, or without a key,
     is one row with outcome unmatched or blank_key.
 
-    order: columns that put the lines in order, the first one a whole number.
+    order: columns that put the lines in order.
     per_document: every document is merged into a template of its own.
     carry: columns of the lines that the tolerances are computed from.
     """
     used = [doc, *order, key, *[p.source for p in plan.pairs], *plan.number_columns.values(), *carry]
-    found = _with_flags(attach_rows(lines.select(*dict.fromkeys(used)), key, template), flags, doc)
+    by = [doc] if per_document else []
+    taken = lines.select(*dict.fromkeys(used))
+    crowds = crowded_keys(taken, key, by, crowd)
+    found, mark = mark_crowded(attach_rows(taken, key, template.rows), crowds, template.rows, [], by)
+    found = _with_flags(found, flags, doc)
     keep = list(dict.fromkeys([doc, *order, "key", "row_idx"]))
-    updates = to_cell_updates(found, plan, template, [*keep, "__flagged"])
-    return _outcomes(updates, keep, order, ([doc] if per_document else []) + ["row_idx", "col_idx"], chunk)
+    updates = to_cell_updates(found, plan, template, [*keep, "__flagged", *mark])
+    return _outcomes(updates, keep, order, [*by, "row_idx", "col_idx"], part)
 
 
 def merge_by_pairs(
     lines: DataFrame,
-    template: Template,
+    templates: Templates,
     columns: Sequence[str],
     key: str,
     order: Sequence[str] = ("line_seq",),
@@ -307,50 +352,49 @@ def merge_by_pairs(
     increase=0.15,
     decrease=0.15,
     doc: str = "doc_id",
-    chunk: int = CHUNK,
+    crowd: int | None = CROWD,
+    part: int = PART,
 ) -> DataFrame:
-    """As merge_updates, every document into a template of its own, where the lines tell
-    what is written: pairs, an array of (source, target, position), and qty_field.
+    """As merge_updates, every document into a template of its own, where the lines tell what
+    is written and where: template (its name), pairs, an array of (source, target, position), qty_field, and
+    carton and pallet, the positions of the packing columns.
 
     columns are those that a pair may name as its source.
     """
     numbers = [f"{c}_num" for c in columns if f"{c}_num" in lines.columns]
     tolerances = [c for c in ("qty_increase", "qty_decrease") if c in lines.columns]
-    used = dict.fromkeys([doc, *order, key, *columns, *numbers, "pairs", "qty_field", *tolerances])
-    found = _with_flags(attach_rows(lines.select(*used), key, template), flags, doc)
+    used = dict.fromkeys([doc, *order, key, *columns, *numbers, "template", "pairs", "qty_field", "carton", "pallet", *tolerances])
+    taken = lines.select(*used)
+    crowds = crowded_keys(taken, key, [doc, "template"], crowd)
+    found, mark = mark_crowded(attach_rows(taken, key, templates.rows, ["template"]), crowds, templates.rows, ["template"], [doc])
+    found = _with_flags(found, flags, doc)
     parsed = parse_number_columns(found, [c for c in columns if f"{c}_num" not in numbers], "__num")
     typed = {c: C.typed_value(F.col(c), F.col(f"{c}_num" if f"{c}_num" in numbers else f"{c}__num")) for c in columns}
     valued = settle(parsed, {"__values": F.create_map(*[x for c in columns for x in (F.lit(c), typed[c])])})
-    if template.can_pack:
-        carton, pallet = (template.cell(template.position(n))["read"] for n in (PER_CARTON, PER_PALLET))
-        amount = F.try_element_at("__values", F.col("qty_field"))
-        packs = F.exists("pairs", lambda p: p["source"] == F.col("qty_field"))
-        usable = F.coalesce(packs & carton.isNotNull() & pallet.isNotNull() & (amount["kind"] == "num"), F.lit(False))
-        valued = valued.withColumn("__usable", usable)
-        valued = plan_packing(
-            valued, F.when(F.col("__usable"), amount["num"]), carton, pallet, _as_text(increase), _as_text(decrease), "__planned"
-        )
-    else:
-        valued = valued.withColumns({"__usable": F.lit(False), "__planned": F.lit(None).cast("bigint")})
-    keep = list(dict.fromkeys([doc, *order, "key", "row_idx"]))
-    pairs = F.when(F.col("row_idx").isNotNull(), F.col("pairs"))
-    cells = [template.cell(i) for i in sorted(set(template.positions.values()))]
-    exploded = valued.select(
-        *keep, "__flagged", "__values", "qty_field", "__usable", "__planned", *cells, F.posexplode_outer(pairs).alias("map_order", "pair")
-    )
-    old = F.lit(None).cast(C.READ_CELL)
-    for position in sorted(set(template.positions.values())):
-        old = F.when(F.col("pair.position") == position, template.cell(position)).otherwise(old)
-    is_quantity = F.col("pair.source") == F.col("qty_field")
-    value = F.try_element_at("__values", F.col("pair.source"))
-    updates = exploded.select(
-        *keep, "__flagged", "map_order", F.col("pair.source").alias("source_column"), F.col("pair.target").alias("target_column"),
-        F.col("pair.position").alias("col_idx"), value.alias("value"), F.when(is_quantity, F.col("__planned")).alias("planned"),
-        (F.coalesce(is_quantity, F.lit(False)) & F.col("__usable")).alias("__usable"), old.alias("old"),
+    carton, pallet = (F.try_element_at("cells", F.col(c))["read"] for c in ("carton", "pallet"))
+    amount = F.try_element_at("__values", F.col("qty_field"))
+    packs = F.exists("pairs", lambda p: p["source"] == F.col("qty_field"))
+    usable = F.coalesce(packs & carton.isNotNull() & pallet.isNotNull() & (amount["kind"] == "num"), F.lit(False))
+    valued = valued.withColumn("__usable", usable)
+    valued = plan_packing(
+        valued, F.when(F.col("__usable"), amount["num"]), carton, pallet, _as_text(increase), _as_text(decrease), "__planned"
     )
+
+    def update(pair: Column, at: Column) -> Column:
+        is_quantity = F.coalesce(pair["source"] == F.col("qty_field"), F.lit(False))
+        return F.struct(
+            at.alias("map_order"), pair["source"].alias("source_column"), pair["target"].alias("target_column"),
+            pair["position"].alias("col_idx"), F.try_element_at("__values", pair["source"]).alias("value"),
+            F.when(is_quantity, F.col("__planned")).alias("planned"), (is_quantity & F.col("__usable")).alias("__usable"),
+            F.try_element_at("cells", pair["position"]).alias("old"),
+        )
+
+    keep = list(dict.fromkeys([doc, *order, "key", "template", "row_idx"]))
+    entries = F.when(F.col("row_idx").isNotNull(), F.transform("pairs", update))
+    updates = valued.select(*keep, "__flagged", *mark, F.explode_outer(entries).alias("u")).select(*keep, "__flagged", *mark, "u.*")
     new = F.when(F.col("__usable"), K.planned_value(F.col("value"), F.col("planned"), F.col("__usable"))).otherwise(F.col("value"))
     updates = updates.withColumn("new", new).drop("__usable")
-    return _outcomes(updates, keep, order, [doc, "row_idx", "col_idx"], chunk)
+    return _outcomes(updates, keep, order, [doc, "row_idx", "col_idx"], part)
 
 
 def changes(updates: DataFrame) -> DataFrame:
@@ -364,7 +408,8 @@ def final_cells(
     """Value that stays in each written cell: the last one written. Its mark is the last
     mark set, as a plain write leaves an earlier mark standing. Combined before the shuffle."""
     position = F.struct(*order, "map_order")
-    cell = ([doc] if per_document else []) + ["row_idx", "col_idx"]
+    named = [c for c in ("template",) if c in updates.columns]
+    cell = [*([doc] if per_document else []), *named, "row_idx", "col_idx"]
     marked = F.col("outcome").isin(FLAGGED, MODIFIED)
     return changes(updates).groupBy(*cell).agg(
         F.max_by("new", position).alias("new"),
@@ -372,20 +417,26 @@ def final_cells(
     )
 
 
-def merge_stats(updates: DataFrame, plan: MergePlan, doc: str = "doc_id") -> DataFrame:
-    """Counts per document, all from one pass over the updates."""
+def stat_counts() -> dict[str, Column]:
+    """What is counted of the updates, per document or, while they are written, of all of them."""
     first = F.col("map_order") == 0
     outcome = F.col("outcome")
     unmatched, blank = outcome == UNMATCHED, outcome == BLANK_KEY
-    return updates.groupBy(F.col(doc).alias("doc_id")).agg(
-        F.count_if(first | unmatched | blank).alias("total_csv_rows"),
-        F.count_if(first).alias("rows_matched"),
-        F.count_if(unmatched).alias("rows_not_found"),
-        F.count_if(blank).alias("rows_blank_key"),
-        F.count_if(outcome == MODIFIED).alias("red_cells"),
-        F.count_if(outcome == FLAGGED).alias("yellow_cells"),
-        F.count_if(outcome == SKIPPED).alias("skipped_cells"),
-    ).withColumns(
+    return {
+        "total_csv_rows": F.count_if(first | unmatched | blank),
+        "rows_matched": F.count_if(first),
+        "rows_not_found": F.count_if(unmatched),
+        "rows_blank_key": F.count_if(blank),
+        "red_cells": F.count_if(outcome == MODIFIED),
+        "yellow_cells": F.count_if(outcome == FLAGGED),
+        "skipped_cells": F.count_if(outcome == SKIPPED),
+    }
+
+
+def merge_stats(updates: DataFrame, plan: MergePlan, doc: str = "doc_id") -> DataFrame:
+    """Counts per document, all from one pass over the updates."""
+    counts = updates.groupBy(F.col(doc).alias("doc_id")).agg(*[c.alias(n) for n, c in stat_counts().items()])
+    return counts.withColumns(
         {
             "missing_columns": F.array(*[F.lit(c) for c in plan.missing_columns]).cast("array<string>"),
             "qty_recalc_disabled": F.lit(plan.packing_disabled),
@@ -408,7 +459,10 @@ def total_stats(stats: DataFrame) -> dict:
 
 def merge_gate(stats: DataFrame) -> dict:
     """Totals of the merge; fails when no line matched, so that nothing gets written."""
-    totals = total_stats(stats)
+    return check_matched(total_stats(stats))
+
+
+def check_matched(totals: dict) -> dict:
     if totals["rows_matched"] == 0:
         raise NoMatchesError("no line matches a template row, nothing to write", totals)
     return totals
@@ -440,13 +494,14 @@ def merge_into_template(
     doc: str = "doc_id",
     per_document: bool = False,
     carry: Sequence[str] = (),
-    chunk: int = CHUNK,
+    crowd: int | None = CROWD,
+    part: int = PART,
 ) -> Merged:
     """The whole merge as lazy tables; see apply_to_grid and apply_to_table for the
     merged template and merge_gate for the check before writing."""
     key = key or next(c for c in lines.columns if c not in (doc, *order))
     plan = plan_merge(lines, source, target, template, quantity, increase, decrease)
-    updates = merge_updates(lines, template, plan, key, order, flags, doc, per_document, carry, chunk)
+    updates = merge_updates(lines, template, plan, key, order, flags, doc, per_document, carry, crowd, part)
     return Merged(
         plan, updates, changes(updates), final_cells(updates, order, doc, per_document),
         merge_stats(updates, plan, doc), per_document,

@@ -7,11 +7,12 @@ key with the cells that a merge may touch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderflow.functions import cells as C
 from orderflow.operators.columns import add_numbers, find_name
@@ -39,6 +40,18 @@ class Template:
         return None not in (self.position(PER_CARTON), self.position(PER_PALLET))
 
 
+@dataclass
+class Templates:
+    """Any number of templates as tables.
+
+    rows: template (its name), key, row_idx and cells, a map from position to the cell.
+    positions: template, name (lower-cased) and position of the columns that are looked for.
+    """
+
+    rows: DataFrame
+    positions: DataFrame
+
+
 def cell_column(position: int) -> str:
     return f"cell_{position}"
 
@@ -118,6 +131,53 @@ def template_from_table(df: DataFrame, key: str, names: Sequence[str], row: str)
     return Template(first.select("key", "r.*"), positions)
 
 
+POSITIONS = "template string, name string, position int"
+
+
+def _typed_positions(spark, rows: Sequence[tuple]) -> DataFrame:
+    return spark.createDataFrame(list(rows), POSITIONS)
+
+
+def named_templates(templates: Mapping[str, Template]) -> Templates:
+    """Templates made one by one, under their names."""
+    rows, positions = None, []
+    for name, one in templates.items():
+        entries = [x for i in sorted(set(one.positions.values())) for x in (F.lit(i), one.cell(i).cast(C.READ_CELL))]
+        cells = F.create_map(*entries) if entries else F.lit(None)
+        own = one.rows.select(F.lit(name).alias("template"), "key", "row_idx", cells.cast(T.MapType(T.IntegerType(), C.READ_CELL)).alias("cells"))
+        rows = own if rows is None else rows.unionByName(own)
+        positions += [(name, n, i) for n, i in one.positions.items()]
+    return Templates(rows, _typed_positions(rows.sparkSession, positions))
+
+
+def templates_from_cells(cells: DataFrame, wanted: DataFrame, key_column: int | None = None) -> Templates:
+    """Templates of many grids in one table: cells with the column template. wanted: template and name
+    of the columns that are written to; the packing columns are looked for in all of them.
+
+    The columns found are data, so the number of templates, and what they are called, does not
+    show in the plan. A row holds as many cells as there are names wanted of its template.
+    """
+    names = F.explode(F.concat(F.array("name"), F.array(F.lit(PER_CARTON), F.lit(PER_PALLET))))
+    asked = wanted.select("template", names.alias("name")).select(lookup_value(F.col("template"), F.lower("name")).alias("__asked")).distinct()
+    valued = _with_value(cells)
+    named = valued.withColumn("name", F.lower("value"))
+    positions = named.withColumn("__at", lookup_value(F.col("template"), F.col("name"))).join(
+        asked, F.col("__at") == F.col("__asked"), "left_semi"
+    ).groupBy("template", "name").agg(F.min(F.struct("row_idx", "col_idx"))["col_idx"].alias("position"))
+    used = positions.select(lookup_value(F.col("template"), F.col("position")).alias("__used")).distinct()
+    inside = cells.withColumn("__at", lookup_value(F.col("template"), F.col("col_idx"))).join(used, F.col("__at") == F.col("__used"), "left_semi").drop("__at")
+    value = F.struct("kind", "num", "txt", C.number_in(F.col("kind"), F.col("num"), F.col("text_number")).alias("read"))
+    entry = F.struct(F.col("col_idx").alias("k"), value.alias("v"))
+    gathered = add_numbers(inside, {"text_number": F.col("txt")}).groupBy("template", "row_idx").agg(F.collect_list(entry).alias("entries"))
+    places = F.array_distinct(F.transform("entries", lambda e: e["k"]))
+    first = F.transform(places, lambda k: F.get(F.filter("entries", lambda e: e["k"] == k), F.lit(0))["v"])
+    rows = gathered.select(lookup_value(F.col("template"), F.col("row_idx")).alias("__row"), F.map_from_arrays(places, first).alias("cells"))
+    looked = valued if key_column is None else valued.filter(F.col("col_idx") == key_column)
+    index = looked.groupBy("template", F.col("value").alias("key")).agg(F.min("row_idx").alias("row_idx"))
+    joined = index.withColumn("__at", lookup_value(F.col("template"), F.col("row_idx"))).join(rows, F.col("__at") == F.col("__row"), "left")
+    return Templates(joined.select("template", "key", "row_idx", "cells"), positions.select("template", "name", "position"))
+
+
 def unmatched_keys(lines: DataFrame, key: str, index: DataFrame, index_key: str = "key") -> DataFrame:
     """Keys that no template row has, with their number of lines. Counted before the
     join, so a key that repeats is joined once; a missing key counts as unmatched."""
@@ -155,20 +215,21 @@ def apply_to_grid(cells: DataFrame, final: DataFrame, doc: str = "doc_id") -> Da
 
     Final cells with a document belong to templates of their own: the result then has the
     document too, and of every document's template the rows it touches. The rows left out
-    are those of the template itself.
+    are those of the template itself. Cells of several templates, told by the column template
+    of both, meet those of their own.
     """
     by = _per_document(final, doc)
+    named = [c for c in ("template",) if c in final.columns and c in cells.columns]
     put = F.struct(*[F.col(f"new.{c}").alias(c) for c in ("kind", "num", "txt")])
-    new = final.select(*by, "row_idx", "col_idx", put.alias("put"), "outcome")
+    new = final.select(*by, *named, "row_idx", "col_idx", put.alias("put"), "outcome")
     if by:
-        touched = final.select(*by, "row_idx").distinct()
-        cells = touched.withColumn("__look", lookup_value(F.col("row_idx"))).drop("row_idx").join(
-            cells.withColumn("__look", lookup_value(F.col("row_idx"))), "__look"
-        ).drop("__look")
-    joined = cells.join(new, [*by, "row_idx", "col_idx"], "full")
+        place = lookup_value(*map(F.col, [*named, "row_idx"]))
+        touched = final.select(*by, *named, "row_idx").distinct()
+        cells = touched.withColumn("__look", place).drop("row_idx", *named).join(cells.withColumn("__look", place), "__look").drop("__look")
+    joined = cells.join(new, [*by, *named, "row_idx", "col_idx"], "full")
     picked = F.when(F.col("put").isNotNull(), F.col("put")).otherwise(F.struct("kind", "num", "txt"))
-    return joined.select(*by, "row_idx", "col_idx", picked.alias("cell"), "outcome").select(
-        *by, "row_idx", "col_idx", "cell.*", "outcome"
+    return joined.select(*by, *named, "row_idx", "col_idx", picked.alias("cell"), "outcome").select(
+        *by, *named, "row_idx", "col_idx", "cell.*", "outcome"
     )
 
 

@@ -161,13 +161,14 @@ def apply_one_by_one(rows, cells):
     return outcomes
 
 
-@pytest.mark.parametrize("chunk", [1, 4, 1000])
-def test_sequences_against_one_by_one(spark, chunk):
-    rnd = random.Random(chunk)
+@pytest.mark.parametrize("crowd, part", [(1000, 1000), (50, 7), (50, 1), (0, 30)])
+def test_sequences_against_one_by_one(spark, crowd, part):
+    """Cells with more than so many updates are cut into parts; the others are not."""
+    rnd = random.Random(part)
     keys = ["hot"] * 10 + ["a", "b", "c", "zz"]
     rows = [(rnd.choice(keys), rnd.choice(["1", "01", "2", "x", "", "1.0"])) for _ in range(400)]
     cells = {k: "" for k in ("hot", "a", "b", "c")}
-    merged, out = merge(spark, rows, [["Item", "Qty"], ["hot", ""], ["a", ""], ["b", ""], ["c", ""]], chunk=chunk)
+    merged, out = merge(spark, rows, [["Item", "Qty"], ["hot", ""], ["a", ""], ["b", ""], ["c", ""]], crowd=crowd, part=part)
     want = apply_one_by_one(rows, cells)
     assert {r.line_seq: r.outcome for r in merged.updates.collect()} == dict(enumerate(want))
     for i, k in enumerate(("hot", "a", "b", "c"), 1):
@@ -250,17 +251,71 @@ def test_hot_key_join_is_split(spark):
 
 
 def test_a_cell_on_every_page_is_not_one_task(spark):
-    """One key on every page of a long document: the only window over the updates is by chunk."""
+    """One key on every page of a long document: its updates are cut by their order, each part a window of its own."""
     df = spark.range(40).select(
         F.lit("d").alias("doc_id"), (F.col("id") * 2**32).alias("line_seq"), F.lit("k").alias("Item"),
         ((F.col("id") / 2).cast("int")).cast("string").alias("Quantity"))
     parts = spark.createDataFrame([(0, "k", 0.0)], "n long, part string, Qty double")
-    merged = M.merge_into_template(df, T.template_from_table(parts, "part", ["Qty"], "n"), ["Quantity"], ["Qty"], key="Item")
-    got = [r.outcome for r in merged.updates.orderBy("line_seq").collect()]
-    assert got == ["skipped", "skipped"] + ["written", "skipped"] * 19
-    plan = merged.updates._jdf.queryExecution().optimizedPlan().toString()
-    over_updates = [line for line in plan.splitlines() if "Window [" in line and "__before" in line]
-    assert len(over_updates) == 1 and "__part" in over_updates[0]
+    for per_document in (False, True):
+        merged = M.merge_into_template(df, T.template_from_table(parts, "part", ["Qty"], "n"), ["Quantity"], ["Qty"], key="Item",
+                                       per_document=per_document, crowd=39, part=10)
+        got = [r.outcome for r in merged.updates.orderBy("line_seq").collect()]
+        assert got == ["skipped", "skipped"] + ["written", "skipped"] * 19
+        plan = merged.updates._jdf.queryExecution().optimizedPlan().toString()
+        over_parts = [line for line in plan.splitlines() if "Window [" in line and "__row_before" in line]
+        assert len(over_parts) == 1 and "[__part" in over_parts[0]
+
+
+def test_a_row_that_a_crowded_and_another_key_lead_to(spark):
+    """Updates of one row by two of its values stay in one order, though only one of them is frequent."""
+    rows = [("A", str(i // 3 % 2)) if i % 5 else ("B", str(i % 2)) for i in range(60)]
+    template = [["Item", "Other", "Qty"], ["A", "B", "0"], ["C", "", ""]]
+    seen = []
+    for crowd, part in ((1000, 1000), (20, 7)):
+        merged, out = merge(spark, rows, template, crowd=crowd, part=part)
+        seen.append((sorted((r.line_seq, r.outcome) for r in merged.updates.collect()), out))
+    assert seen[0] == seen[1] and {"skipped", "written"} == {o for _, o in seen[0][0]}
+
+
+def test_updates_are_exchanged_once(spark):
+    """Without a crowded cell there is one window over the updates, no join behind it and nothing computed twice."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = lines_frame(spark, [("a", str(i)) for i in range(20)])
+        parts = spark.createDataFrame([(0, "a", 0.0)], "n long, part string, Qty double")
+        merged = M.merge_into_template(df, T.template_from_table(parts, "part", ["Qty"], "n"), ["Quantity"], ["Qty"], key="Item")
+        plan = merged.updates._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [") == 1 and plan.count("Join") == 1 and plan.count("Exchange") <= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+MANY = "template string, row_idx bigint, col_idx int, kind string, num double, txt string"
+
+
+def grids(spark, named):
+    found = None
+    for name, rows in named.items():
+        one = grid(spark, rows).withColumn("template", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def test_templates_as_tables(spark):
+    """One key in different rows and columns of two templates; a target that only one of them has."""
+    cells = grids(spark, {
+        "a": [["Item", "Qty", "Pcs/Ctn", "Pcs/Plt"], ["K1", "", 10, 50], ["K2", 5, 10, 50], ["K1", 3, 10, 50]],
+        "b": [["note", "", ""], ["QTY", "x", "Item"], [7, "", "K2"], ["", "K1", ""]],
+    })
+    wanted = spark.createDataFrame([("a", "Qty"), ("b", "qty"), ("b", "Nope"), ("c", "Qty"), (None, "Qty")], "template string, name string")
+    found = T.templates_from_cells(cells, wanted)
+    places = {(r.template, r.name): r.position for r in found.positions.collect()}
+    assert places == {("a", "qty"): 1, ("a", "pcs/ctn"): 2, ("a", "pcs/plt"): 3, ("b", "qty"): 0}
+    rows = {(r.template, r.key): (r.row_idx, {k: v.num for k, v in (r.cells or {}).items()}) for r in found.rows.collect() if (r.key or "").startswith("K")}
+    assert rows == {("a", "K1"): (1, {2: 10.0, 3: 50.0}), ("a", "K2"): (2, {1: 5.0, 2: 10.0, 3: 50.0}), ("b", "K2"): (2, {0: 7.0}), ("b", "K1"): (3, {})}
+    by_column = T.templates_from_cells(cells, wanted, key_column=1)
+    assert ("b", "K2") not in {(r.template, r.key) for r in by_column.rows.collect()}
 
 
 def test_counts_add_up(spark):
