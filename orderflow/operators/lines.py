@@ -17,6 +17,10 @@ WORD_ORDERS = {
     # The order in which words look for a line to join.
     "extraction": lambda: [F.col("word_seq")],
     "reading": lambda: [F.rint("top"), F.col("x0"), F.col("word_seq")],
+    # One of the two for each word, by a column of its own.
+    "declared": lambda: [
+        F.when(F.col("in_reading_order"), F.rint("top")), F.when(F.col("in_reading_order"), F.col("x0")), F.col("word_seq"),
+    ],
 }
 
 

@@ -16,6 +16,8 @@ TEXT_COLUMNS = [
     "master_pack", "inner_pack", "other_part_no",
 ]
 NUMBER_COLUMNS = ["quantity", "price", "amount"]
+#: What a layout by position may fill.
+LINE_FIELDS = ["key", "description", "quantity", "price", "amount", "delivery", "other_part_no"]
 RULES = {"qty": "quantity", "price": "price", "amount": "amount"}
 COLUMNS = ["doc_id", "page", "line_seq", "layout", *TEXT_COLUMNS, *[f"{c}_num" for c in NUMBER_COLUMNS]]
 
@@ -33,12 +35,12 @@ def _without_marker(cell: Column) -> Column:
     return F.when((cell == "") | cell.isNull(), cell).otherwise(null_markers_to_null(cell))
 
 
-def to_order_lines(rows: DataFrame, layout: str, numeric: Sequence[str]) -> DataFrame:
+def to_order_lines(rows: DataFrame, layout: str | Column, numeric: Sequence[str]) -> DataFrame:
     """Fill up to the canonical columns; numbers are parsed here, once, and their text
-    is brought to canonical decimal form."""
+    is brought to canonical decimal form. layout: its name, or the column that tells it."""
     have = set(rows.columns)
     filled = rows.select(
-        "doc_id", "page", "line_seq", F.lit(layout).alias("layout"),
+        "doc_id", "page", "line_seq", (layout if isinstance(layout, Column) else F.lit(layout)).alias("layout"),
         *[_without_marker(F.col(c)).alias(c) if c in have else F.lit("").alias(c) for c in TEXT_COLUMNS],
     )
     parsed = parse_number_columns(filled, [c for c in TEXT_COLUMNS if c in numeric or c in NUMBER_COLUMNS])

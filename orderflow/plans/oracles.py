@@ -219,6 +219,26 @@ valued AS (SELECT *, coalesce(txt, CASE WHEN num = floor(num) THEN CAST(CAST(num
 STATS = """count(*) AS total_csv_rows, count(n) AS rows_matched, count(*) - count(n) AS rows_not_found, 0::BIGINT AS rows_blank_key"""
 SHOWN = "kind AS new_kind, num AS new_num, txt AS new_txt"
 
+BY_TEMPLATE = f"""{ITEMS}, {template('P-')},
+        clean AS (SELECT *, o_orderpriority AS name FROM columns_num WHERE a IS NOT NULL OR amount IS NULL),
+        flagged AS (SELECT DISTINCT doc_id, key FROM clean WHERE abs(q * p - a) > 1.0 AND abs(q * p - a) > a * 0.01),
+        found AS (SELECT c.*, f.key IS NOT NULL AS marked, CASE WHEN name < '2' THEN 'full' ELSE 'moved' END AS template, tt.n,
+          tt."Qty" AS old_qty, tt."Price" AS old_price, CAST(q AS BIGINT) AS qi, CAST("Pcs/Ctn" AS BIGINT) AS ctn, CAST("Pcs/Plt" AS BIGINT) AS plt,
+          CASE WHEN name < '2' THEN 15.0::DOUBLE / 100.0 ELSE 5.0::DOUBLE / 100.0 END AS ir, 5.0::DOUBLE / 100.0 AS dr, {low_high('qi', 'ir', 'dr')}
+          FROM clean c LEFT JOIN tt ON c.key = tt."Item" LEFT JOIN flagged f ON c.doc_id = f.doc_id AND c.key = f.key WHERE name < '3'),
+        planned AS (SELECT *, CASE WHEN n IS NOT NULL AND template = 'full' THEN {PLAN} END AS planned,
+          n IS NOT NULL AND template = 'full' AND (planned IS NULL OR planned <> q) AS changed FROM found),
+        upd AS (SELECT doc_id, template, key, CASE WHEN template = 'full' THEN n + 1 ELSE 2 * n + 8 END AS row_idx,
+          CASE WHEN n IS NULL THEN NULL WHEN template = 'full' THEN 1 ELSE 3 END AS col_idx, CASE WHEN n IS NOT NULL THEN 'quantity' END AS source_column, planned,
+          CASE WHEN n IS NULL THEN 'unmatched' WHEN NOT changed AND old_qty IS NOT DISTINCT FROM q THEN 'skipped'
+            WHEN marked THEN 'flagged' WHEN changed THEN 'modified' ELSE 'written' END AS outcome,
+          CASE WHEN n IS NULL THEN NULL WHEN changed THEN 'txt' ELSE 'num' END AS new_kind,
+          CASE WHEN n IS NOT NULL AND NOT changed THEN q END AS new_num,
+          CASE WHEN changed THEN CAST(q AS VARCHAR) || '/' || coalesce(CAST(planned AS VARCHAR), 'N·A') END AS new_txt FROM planned
+        UNION ALL SELECT doc_id, template, key, CASE WHEN template = 'full' THEN n + 1 ELSE 2 * n + 8 END, CASE WHEN template = 'full' THEN 2 ELSE 0 END, 'price', NULL,
+          CASE WHEN old_price = p THEN 'skipped' WHEN marked THEN 'flagged' ELSE 'written' END, 'num', p, NULL FROM planned WHERE n IS NOT NULL)"""
+
+
 ORACLES = {
     "parse_localized_numbers": f"""WITH {LINES} SELECT doc_id, line_seq, key, quantity, price, amount,
         {parse('quantity')} AS quantity_num, {parse('price')} AS price_num, {parse('amount')} AS amount_num FROM ol""",
@@ -267,6 +287,15 @@ ORACLES = {
         flags AS (SELECT doc_id, count(DISTINCT (key, "column")) AS n FROM ({total_flags('clean')} UNION ALL {char_flags('clean')}) GROUP BY 1)
         SELECT num.doc_id, count(*) AS rows_in, count(*) FILTER (a IS NULL) AS rows_removed, coalesce(any_value(flags.n), 0) AS cells_flagged
         FROM num LEFT JOIN flags ON num.doc_id = flags.doc_id GROUP BY 1""",
+    "report_tables": f"""WITH {LINES}, {NUMBERS}, files AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS v, o_orderkey % 97 = 0 AS twice FROM orders),
+        rows_ AS (SELECT *, doc_id % 5 AS v, doc_id % 5 IN (0, 1, 3) AND a IS NULL AS bad FROM num WHERE doc_id % 97 <> 0),
+        kept AS (SELECT * FROM rows_ WHERE NOT bad),
+        marks AS (SELECT doc_id, count(DISTINCT (key, "column")) AS n FROM ({total_flags('kept', 'AND v IN (0, 1, 3)')} UNION ALL {char_flags('kept')}) GROUP BY 1),
+        counts AS (SELECT doc_id, count(*) AS rows_in, count(*) FILTER (bad) AS rows_removed FROM rows_ GROUP BY 1)
+        SELECT f.doc_id, CASE WHEN twice THEN 'columns' ELSE ['columns_es', 'columns', 'marker', 'tail', 'tail'][v + 1] END AS layout,
+          NOT twice AND v IN (0, 1, 3) AS columns_ok, CASE WHEN twice THEN 'duplicate_header' WHEN c.doc_id IS NULL THEN 'no_rows' ELSE 'ok' END AS status,
+          coalesce(rows_in, 0) AS rows_in, coalesce(rows_removed, 0) AS rows_removed, coalesce(n, 0) AS cells_flagged
+        FROM files f LEFT JOIN counts c ON f.doc_id = c.doc_id LEFT JOIN marks m ON f.doc_id = m.doc_id""",
     "grid_cells": f"WITH {GRID} SELECT * FROM grid",
     "first_row_index": f"WITH {GRID} SELECT value, min(row_idx) AS row_idx FROM valued GROUP BY 1",
     "first_row_index_by_column": f"WITH {GRID} SELECT value, min(row_idx) AS row_idx FROM valued WHERE col_idx = 0 GROUP BY 1",
@@ -332,6 +361,14 @@ ORACLES = {
         UNION ALL SELECT doc_id, page, line_key + 15, '' FROM marker_""",
     "order_lines_marker": f"""WITH {ITEMS}, {MARKER} SELECT doc_id, page, key, description, {normal('quantity')} AS quantity,
         {normal('price')} AS price, delivery, other_part_no, {parse('price')} AS price_num FROM marker_""",
+    "bucket_lines_by_table": f"""WITH {ITEMS}, {MARKER}
+        SELECT 'columns' AS layout, doc_id, page, line_key, key, description, quantity, price, amount, delivery, '' AS other_part_no FROM columns_
+        UNION ALL SELECT 'marker', doc_id, page, line_key, key, description, quantity, price, '', delivery, other_part_no FROM marker_""",
+    "order_lines_by_table": f"""WITH {ITEMS}, {MARKER}
+        SELECT 'columns' AS layout, doc_id, page, line_seq, key, description, {normal('quantity')} AS quantity, {normal('price')} AS price, {normal('amount')} AS amount,
+          delivery, '' AS other_part_no, q AS quantity_num, p AS price_num, a AS amount_num FROM columns_num
+        UNION ALL SELECT 'marker', doc_id, page, page::BIGINT * 4294967296 + line_key, key, description, {normal('quantity')}, {normal('price')}, '', delivery, other_part_no,
+          {parse('quantity')}, {parse('price')}, NULL FROM marker_""",
     "tail_regex_lines": f"""WITH {TAIL} SELECT doc_id, page, key, head_rest, master_pack, inner_pack, quantity, price, amount, delivery FROM tail_""",
     "lookahead_description": f"WITH {TAIL} SELECT doc_id, key, description FROM tail_",
     "order_lines_tail": f"""WITH {TAIL} SELECT doc_id, key, description, master_pack, inner_pack, {normal('quantity')} AS quantity,
@@ -374,4 +411,17 @@ ORACLES = {
           CASE WHEN changed THEN CAST(q AS VARCHAR) || '/' || coalesce(CAST(planned AS VARCHAR), 'N·A') END AS new_txt FROM planned
         UNION ALL SELECT doc_id, key, 'price', NULL, CASE WHEN old_price = p THEN 'skipped' WHEN marked THEN 'flagged' ELSE 'written' END, 'num', p, NULL
           FROM planned WHERE n IS NOT NULL AND name >= '2'""",
+    "profile_runs_by_template": f"""WITH {BY_TEMPLATE} SELECT doc_id, template, key, row_idx, col_idx, source_column, planned, outcome, new_kind, new_num, new_txt FROM upd""",
+    "profile_status_by_template": """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id,
+        CASE WHEN o_orderpriority < '3' THEN 'ok' WHEN o_orderpriority < '5' THEN 'unknown_template' ELSE 'unknown_profile' END AS status FROM orders""",
+    "apply_updates_by_template": f"""WITH {BY_TEMPLATE},
+        cells AS (SELECT 'full' AS template, n + 1 AS row_idx, 0 AS col_idx, 'txt' AS kind, NULL::DOUBLE AS num, "Item" AS txt FROM tt
+          UNION ALL SELECT 'full', n + 1, 1, 'num', "Qty", NULL FROM tt WHERE "Qty" IS NOT NULL UNION ALL SELECT 'full', n + 1, 2, 'num', "Price", NULL FROM tt
+          UNION ALL SELECT 'full', n + 1, 3, 'num', "Pcs/Ctn", NULL FROM tt
+          UNION ALL SELECT 'moved', 2 * n + 8, 0, 'num', "Price", NULL FROM tt UNION ALL SELECT 'moved', 2 * n + 8, 1, 'txt', NULL, "Item" FROM tt
+          UNION ALL SELECT 'moved', 2 * n + 8, 2, 'num', "Pcs/Plt", NULL FROM tt UNION ALL SELECT 'moved', 2 * n + 8, 3, 'num', "Qty", NULL FROM tt WHERE "Qty" IS NOT NULL),
+        final AS (SELECT * FROM upd WHERE outcome IN ('flagged', 'modified', 'written')),
+        touched AS (SELECT DISTINCT doc_id, template, row_idx FROM final), own AS (SELECT * FROM touched JOIN cells USING (template, row_idx))
+        SELECT doc_id, template, row_idx, col_idx, coalesce(f.new_kind, o.kind) AS kind, CASE WHEN f.new_kind IS NULL THEN o.num ELSE f.new_num END AS num,
+          CASE WHEN f.new_kind IS NULL THEN o.txt ELSE f.new_txt END AS txt, outcome FROM own o FULL JOIN final f USING (doc_id, template, row_idx, col_idx)""",
 }

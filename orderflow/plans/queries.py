@@ -11,7 +11,7 @@ from orderflow.functions import cells as C
 from orderflow.functions import packing as K
 from orderflow.functions import text as X
 from orderflow.operators import columns as P
-from orderflow.operators import layout_columns, layout_marker, layout_tail, lines, order_lines, quality
+from orderflow.operators import layout_columns, layout_marker, layout_table, layout_tail, lines, order_lines, quality, table_report
 from orderflow.operators import merge as M
 from orderflow.operators import template as T
 from orderflow.operators.packing import plan_packing
@@ -206,6 +206,12 @@ def validation_report(spark, sf):
     return quality.validation_report(_lines(spark, sf), RULES, "key", columns=CHECKED)
 
 
+@query
+def report_tables(spark, sf):
+    """The report over a folder of tables in five layouts, one file an order."""
+    return table_report.report_tables(*R.mixed_tables(spark, sf))
+
+
 # ---- template and merge --------------------------------------------------------------------
 
 
@@ -453,6 +459,26 @@ def order_lines_marker(spark, sf):
     return found.select("doc_id", "page", "key", "description", "quantity", "price", "delivery", "other_part_no", "price_num")
 
 
+def _mixed_words(spark, sf):
+    """Pages of both layouts by position in one table, as one folder of them would be."""
+    columns, marker = R.column_words(spark, sf), R.marker_words(spark, sf)
+    return columns.withColumn("layout", F.lit("columns")).unionByName(marker.withColumn("layout", F.lit("marker")))
+
+
+@query
+def bucket_lines_by_table(spark, sf):
+    """Item lines of two layouts in one job, by the rows of a bucket table."""
+    rules = layout_table.layout_rules(*layout_table.known_layouts(spark))
+    return layout_table.bucket_lines(layout_table.assemble_mixed(_mixed_words(spark, sf), rules))
+
+
+@query
+def order_lines_by_table(spark, sf):
+    found = layout_table.extract(_mixed_words(spark, sf), *layout_table.known_layouts(spark))
+    return found.select("layout", "doc_id", "page", "line_seq", "key", "description", "quantity", "price", "amount", "delivery", "other_part_no",
+                        "quantity_num", "price_num", "amount_num")
+
+
 @query
 def tail_regex_lines(spark, sf):
     found = layout_tail.tail_regex_lines(R.text_pages(spark, sf))
@@ -553,3 +579,45 @@ def profile_runs(spark, sf):
 @query
 def profile_status(spark, sf):
     return _profiles(spark, sf).status
+
+
+def _two_templates(spark, sf):
+    """The parts as two grids: one as they are, one with other rows, columns in another order and no carton sizes."""
+    parts = R.template_table(spark, sf, "P-")
+    full = T.grid_from_table(parts, "n", ["Item", "Qty", "Price", "Pcs/Ctn", "Pcs/Plt"])
+    moved = T.grid_from_table(parts.withColumn("n", 2 * F.col("n") + 7), "n", ["Price", "Item", "Pcs/Plt", "Qty"])
+    return full.withColumn("template", F.lit("full")).unionByName(moved.withColumn("template", F.lit("moved")))
+
+
+def _by_template(spark, sf):
+    orders = R.table(spark, sf, "orders")
+    name = F.col("o_orderpriority")
+    profiles = orders.select(name.alias("name")).distinct().filter("name < '5'").select(
+        "name", F.lit("columns").alias("layout"), F.lit("Cantidad, Price").alias("source_cols"),
+        F.when(F.col("name") < "2", "full").when(F.col("name") < "3", "moved").when(F.col("name") < "4", "nowhere").alias("template"),
+        F.when(F.col("name") < "2", "Qty,Price").otherwise("QTY,price").alias("target_cols"),
+        F.when(F.col("name") < "2", "15%").otherwise("5%").alias("qty_increase"), F.lit("5%").alias("qty_decrease"),
+    )
+    documents = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), name.alias("profile"))
+    checked = runs.check_lines(staged(layout_columns.extract(R.column_words(spark, sf))), "columns")
+    templates = T.templates_from_cells(_two_templates(spark, sf), runs.wanted_columns(profiles))
+    return runs.run_profiles(checked.clean, documents, profiles, templates, checked.flags)
+
+
+@query
+def profile_runs_by_template(spark, sf):
+    """Profiles with templates of their own, in which one key stands in other rows and other columns."""
+    found = _by_template(spark, sf).updates
+    return found.select("doc_id", "template", "key", "row_idx", "col_idx", "source_column", "planned", "outcome", *_shown("new"))
+
+
+@query
+def profile_status_by_template(spark, sf):
+    return _by_template(spark, sf).status
+
+
+@query
+def apply_updates_by_template(spark, sf):
+    """Of every document's template the rows that it touches, with the final cells put in."""
+    found = T.apply_to_grid(_two_templates(spark, sf), _by_template(spark, sf).final)
+    return found.filter("col_idx < 4")

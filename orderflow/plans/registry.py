@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.operators import layout_columns, layout_marker, layout_tail
+from orderflow.operators import layout_columns, layout_marker, layout_table, layout_tail
 from orderflow.operators.columns import find_name, header_position, resolve_by_position
 
 
@@ -63,6 +63,24 @@ def register_layout(
     return layout
 
 
+def register_table_layout(
+    name: str,
+    headers: Sequence[str],
+    fields: Sequence[str],
+    rules: Mapping[str, str | None] | None,
+    layouts: DataFrame,
+    buckets: DataFrame,
+    spellings: Sequence[Sequence[str]] = (),
+) -> Layout:
+    """Add a document format whose lines are found by rows (see layout_table): those of this name in layouts and buckets."""
+    own, ranges = (t.where(F.col("layout") == name) for t in (layouts, buckets))
+
+    def extract(words: DataFrame) -> DataFrame:
+        return layout_table.extract(words.withColumn("layout", F.lit(name)), own, ranges)
+
+    return register_layout(name, headers, fields, rules, extract, spellings)
+
+
 def layout(name: str) -> Layout:
     if name not in _LAYOUTS:
         raise KeyError(f"unknown layout {name!r}, registered: {sorted(_LAYOUTS)}")
@@ -159,5 +177,5 @@ def classify_layouts(tables: DataFrame, headers: str = "headers") -> DataFrame:
 
 __all__ = [
     "Layout", "classify_layout", "classify_layouts", "extract_lines", "header_position",
-    "layout", "layouts", "register_layout", "resolve_by_position",
+    "layout", "layouts", "register_layout", "register_table_layout", "resolve_by_position",
 ]

@@ -238,3 +238,38 @@ def header_tables(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderkey").cast("string"),
                 eu_money(cents), us_money(cents), F.col("o_orderpriority")).alias("cells"),
     )
+
+
+def mixed_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every order as a file of its own, in one of five layouts, with its line items as rows; and the headers
+    of all files, also of those without a row and of some with a name twice."""
+    names = [
+        ["Artículo", "Denominación", "Cantidad", "Precio", "Importe", "Entrega"], HEADERS_EN,
+        ["Our Part No", "Quantity", "Your Part No", "Price USD", "Del. date", "Description"],
+        ["Itemno", "Description", "Master", "Inner", "Quantity", "Unit price", "Amount", "ETD"],
+        ["物品", "描述", "数量", "价格", "金额", "交期"],
+    ]
+    key, description, quantity, price, amount = (F.col(c) for c in ("key", "description", "quantity", "price", "amount"))
+    none = F.lit(None).cast("string")
+    cells = [
+        [key, description, quantity, price, amount, none], [key, description, quantity, price, amount, none],
+        [key, quantity, none, price, none, description], [key, description, none, none, quantity, price, amount, none],
+        [key, description, quantity, price, amount, none],
+    ]
+
+    def kind(choices: list[Column], number: Column) -> Column:
+        picked = choices[0]
+        for i, choice in enumerate(choices[1:], 1):
+            picked = F.when(number % 5 == i, choice).otherwise(picked)
+        return picked
+
+    headers = [F.array(*[F.lit(n) for n in row]) for row in names]
+    twice = F.col("o_orderkey") % 97 == 0
+    files = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.when(twice, F.array(F.lit("Item"), F.lit("item"))).otherwise(kind(headers, F.col("o_orderkey"))).alias("headers"), twice.alias("duplicate"),
+    )
+    rows = order_lines(spark, sf).where("doc_id % 97 <> 0").select(
+        "doc_id", "line_seq", kind(headers, F.col("doc_id")).alias("headers"), kind([F.array(*c) for c in cells], F.col("doc_id")).alias("cells"),
+    )
+    return rows, files

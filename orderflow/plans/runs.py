@@ -14,7 +14,7 @@ from orderflow.operators import order_lines
 from orderflow.operators.columns import require_rows, settle
 from orderflow.operators.quality import Validated, flag_union, validate
 from orderflow.operators.stats import run_stats
-from orderflow.operators.template import Template, lookup_value
+from orderflow.operators.template import PER_CARTON, PER_PALLET, Template, Templates, lookup_value, named_templates
 from orderflow.plans import registry
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -92,7 +92,7 @@ def run_full(
 
 
 OK, UNKNOWN_PROFILE, UNKNOWN_LAYOUT = "ok", "unknown_profile", "unknown_layout"
-UNEQUAL_LISTS, NO_PAIR = "unequal_lists", "no_pair"
+UNEQUAL_LISTS, NO_PAIR, UNKNOWN_TEMPLATE = "unequal_lists", "no_pair", "unknown_template"
 
 
 def _names(text: str) -> Column:
@@ -117,34 +117,54 @@ def _layout_fields() -> dict[str, str]:
     return found
 
 
-def resolve_profiles(profiles: DataFrame, template: Template) -> DataFrame:
-    """Profiles with status, pairs, qty_field and the tolerances: what the names of each
-    mean, worked out once per profile. pairs is null where the status is not ok.
+def wanted_columns(profiles: DataFrame) -> DataFrame:
+    """template and name of all columns that profiles write to (see templates_from_cells)."""
+    names = profiles.filter("template is not null").select("template", F.explode(_names("target_cols")).alias("name"))
+    return names.filter("name <> ''").distinct()
 
-    A pair with a name that does not exist is left out; a profile without any pair left,
-    with lists of unequal length or with an unknown layout is told by its status.
+
+def _with_places(profiles: DataFrame, templates: Templates | Template) -> tuple[DataFrame, Templates]:
+    """Profiles with places, a map from lower-cased column name to position of their template (null without
+    one), and the templates. A single template is that of all profiles, whatever they name."""
+    if isinstance(templates, Template):
+        profiles, templates = profiles.withColumn("template", F.lit("")), named_templates({"": templates})
+    places = templates.positions.groupBy(lookup_value(F.col("template")).alias("__of")).agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "position"))).alias("places")
+    )
+    told = profiles.withColumn("__at", lookup_value(F.col("template"))).join(places, F.col("__at") == F.col("__of"), "left")
+    return told.drop("__at", "__of"), templates
+
+
+def resolve_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles with status, template, pairs, qty_field, the positions of the packing columns and the
+    tolerances: what the names of each mean, worked out once per profile. pairs is null where the status is not ok.
+
+    A pair with a name that does not exist is left out; a profile without any pair left, with lists of
+    unequal length, with an unknown layout or a template that is not there is told by its status.
     """
     fields, quantities = _layout_fields(), {n: r.field_rules().get("qty") for n, r in registry.layouts().items()}
     known = F.col("layout").isin(list(quantities))
     pair = lambda source, target: F.struct(
         _lookup(fields, F.concat(F.col("layout"), F.lit("/"), F.lower(source)), "string").alias("source"),
-        target.alias("target"), _lookup(template.positions, F.lower(target), "int").alias("position"),
+        target.alias("target"), F.try_element_at("places", F.lower(target)).alias("position"),
     )
     lists = profiles.select(
-        "name", "layout", "qty_increase", "qty_decrease", _names("source_cols").alias("sources"), _names("target_cols").alias("targets")
+        "name", "layout", "template", "places", "qty_increase", "qty_decrease", _names("source_cols").alias("sources"), _names("target_cols").alias("targets")
     )
     paired = settle(lists, {"pairs": F.filter(
         F.zip_with("sources", "targets", pair), lambda p: p["source"].isNotNull() & p["position"].isNotNull()
     )})
     status = (
         F.when(~F.coalesce(known, F.lit(False)), UNKNOWN_LAYOUT).when(F.size("sources") != F.size("targets"), UNEQUAL_LISTS)
-        .when(F.size("pairs") == 0, NO_PAIR).otherwise(OK)
+        .when(F.col("places").isNull(), UNKNOWN_TEMPLATE).when(F.size("pairs") == 0, NO_PAIR).otherwise(OK)
     )
     told = paired.withColumn("status", status)
+    carton, pallet = (F.try_element_at("places", F.lit(c.lower())) for c in (PER_CARTON, PER_PALLET))
+    both = carton.isNotNull() & pallet.isNotNull()
     return told.select(
-        "name", "status", F.when(F.col("status") == OK, F.col("pairs")).alias("pairs"),
+        "name", "status", "template", F.when(F.col("status") == OK, F.col("pairs")).alias("pairs"),
         _lookup({k: v for k, v in quantities.items() if v}, F.col("layout"), "string").alias("qty_field"),
-        "qty_increase", "qty_decrease",
+        F.when(both, carton).alias("carton"), F.when(both, pallet).alias("pallet"), "qty_increase", "qty_decrease",
     )
 
 
@@ -155,32 +175,39 @@ class ProfileRuns:
     updates: DataFrame
     status: DataFrame
 
+    @property
+    def final(self) -> DataFrame:
+        """What stays in the cells of every document's own template (see apply_to_grid)."""
+        return M.final_cells(self.updates, ["line_seq"], per_document=True)
+
 
 def run_profiles(
     lines: DataFrame,
     documents: DataFrame,
     profiles: DataFrame,
-    template: Template,
+    templates: Templates | Template,
     flags: DataFrame | None = None,
 ) -> ProfileRuns:
-    """All documents, each merged by its saved profile, and for every document whether
-    that could be done.
+    """All documents, each merged by its saved profile into the template that the profile names, and for every
+    document whether that could be done.
 
-    documents: doc_id and profile (a name); profiles as from read_profiles. A profile is
-    data like any other: its resolved pairs travel with the lines, so any number of
-    profiles and mappings is one merge.
+    documents: doc_id and profile (a name); profiles as from read_profiles. Profiles and templates are
+    data like any other: the resolved pairs and the template's name travel with the lines, a key is looked up in the
+    template of its line, so any number of profiles, mappings and templates is one merge.
+    A single Template is that of all profiles.
     """
-    resolved = resolve_profiles(profiles, template)
+    placed, templates = _with_places(profiles, templates)
+    resolved = resolve_profiles(placed)
     chosen = documents.select("doc_id", lookup_value(F.col("profile")).alias("__name")).join(
         resolved.withColumn("__name", lookup_value(F.col("name"))), "__name", "left"
     ).drop("__name")
     status = chosen.select("doc_id", F.coalesce("status", F.lit(UNKNOWN_PROFILE)).alias("status"))
     ready = chosen.filter(F.col("status") == OK).select(
-        lookup_value(F.col("doc_id")).alias("__doc"), "pairs", "qty_field", "qty_increase", "qty_decrease"
+        lookup_value(F.col("doc_id")).alias("__doc"), "template", "pairs", "qty_field", "carton", "pallet", "qty_increase", "qty_decrease"
     )
     told = lines.withColumn("__doc", lookup_value(F.col("doc_id"))).join(ready, "__doc").drop("__doc")
     updates = M.merge_by_pairs(
-        told, template, order_lines.TEXT_COLUMNS, key="key", flags=flags,
+        told, templates, order_lines.TEXT_COLUMNS, key="key", flags=flags,
         increase=F.col("qty_increase"), decrease=F.col("qty_decrease"),
     )
     return ProfileRuns(updates, status)

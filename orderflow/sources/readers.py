@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from orderflow.functions.text import null_markers_to_null
 from orderflow.operators import order_lines
 from orderflow.operators.columns import add_numbers, header_position
+from orderflow.operators.table_report import report_tables
 from orderflow.operators.template import lookup_value
 from orderflow.plans import registry
+from orderflow.staging import staged
 
 WORDS = ["doc_id", "page", "word_seq", "x0", "top", "text"]
 PAGES = ["doc_id", "page", "text"]
@@ -70,6 +72,11 @@ def read_order_tables(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def report_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The report (see table_report.report_tables) over all CSV files below path, whatever their layouts."""
+    return report_tables(read_order_tables(spark, path), table_headers(spark, path))
+
+
 def surplus_cells(tables: DataFrame) -> DataFrame:
     """Rows of read_order_tables with more cells than their header: doc_id, line_seq, surplus."""
     return tables.filter(F.size("surplus") > 0).select("doc_id", "line_seq", "surplus")
@@ -103,6 +110,36 @@ def conform_tables(tables: DataFrame, layout: str | None = None) -> DataFrame:
     return add_numbers(placed, numbers).select(*order_lines.COLUMNS)
 
 
+OK, UNREADABLE = "ok", "unreadable"
+
+
+def read_each_file(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet") -> tuple[DataFrame, DataFrame]:
+    """The rows of all parquet files below path that can be read, with the column file; and per file its length, rows and status.
+
+    A broken file takes nothing with it but itself: the files listed are held against those whose rows came through. A file
+    is unreadable if nothing came of it, which also goes for one without a row, or if fewer rows came than its
+    footer tells, as where it breaks in the middle; then none of its rows are used. The rows are read
+    once, into a staged table.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    listed = reader().format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    source = reader().option("ignoreCorruptFiles", True).schema(schema).parquet(path)
+    told = source.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("told"))
+    rows = staged(source.select("*", F.col("_metadata.file_path").alias("file")))
+    came = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    named = lambda t, n: t.select(lookup_value(F.col("file")).alias(f"__{n}"), n)
+    counted = listed.withColumn("__file", lookup_value(F.col("file"))).join(
+        named(told, "told"), F.col("__file") == F.col("__told"), "left"
+    ).join(named(came, "rows"), F.col("__file") == F.col("__rows"), "left")
+    whole = F.coalesce(F.col("rows") == F.col("told"), F.lit(False))
+    files = staged(counted.select(
+        "file", "length", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"), F.when(whole, OK).otherwise(UNREADABLE).alias("status")
+    ))
+    broken = files.where(F.col("status") == UNREADABLE).select(lookup_value(F.col("file")).alias("__broken"))
+    read = rows.withColumn("__file", lookup_value(F.col("file"))).join(broken, F.col("__file") == F.col("__broken"), "left_anti")
+    return read.drop("__file"), files
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """Words with coordinates: doc_id, page, word_seq, x0, top, text."""
     return spark.read.parquet(path).select(*WORDS)
@@ -118,6 +155,11 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("row_idx", "col_idx", "kind", "num", "txt")
 
 
+def read_template_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Many templates in one table: the cells of a grid and the template's name, as the profiles spell it."""
+    return spark.read.parquet(path).select("template", "row_idx", "col_idx", "kind", "num", "txt")
+
+
 PROFILE = (
     "name string, converter string, excel_template string, pdf_cols string, excel_cols string, "
     "qty_increase string, qty_decrease string"

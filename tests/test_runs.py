@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from orderflow.operators import columns, merge, quality, template
 from orderflow.plans import registry, runs
-from orderflow.sources import readers, writers
-from orderflow.staging import staged
+from orderflow.sources import publish, readers, writers
+from orderflow.staging import shared_folder, staged, staging_scope
 from orderflow.streaming import folder
 
 
@@ -197,6 +197,34 @@ def test_profiles(spark, tmp_path):
                    ("d2", "100"): (50, "written"), ("d2", "200"): (100, "written"), ("d2", "400"): (None, "unmatched")}
 
 
+def test_a_template_for_each_profile(spark, tmp_path):
+    """The path that a profile names is its template: other rows, other columns, no packing columns in one of them."""
+    (tmp_path / "profiles.json").write_text(json.dumps([
+        {"name": "one", "converter": "tail", "excel_template": "one.xlsx", "pdf_cols": "Quantity", "excel_cols": "Qty", "qty_increase": "15%", "qty_decrease": "15%"},
+        {"name": "two", "converter": "tail", "excel_template": "two.xlsx", "pdf_cols": "Unit price,Quantity", "excel_cols": "price,qty"},
+        {"name": "lost", "converter": "tail", "excel_template": "lost.xlsx", "pdf_cols": "Quantity", "excel_cols": "Qty"},
+        {"name": "without", "converter": "tail", "pdf_cols": "Quantity", "excel_cols": "Qty"}]))
+    profiles = readers.read_profiles(spark, str(tmp_path / "profiles.json"))
+    one = [("one.xlsx", r, c, "txt", None, t) for r, row in enumerate([["Item", "Qty", "Pcs/Ctn", "Pcs/Plt"], ["100", "", "10", "50"], ["200", "", "10", "50"]]) for c, t in enumerate(row) if t]
+    two = [("two.xlsx", r, c, "txt", None, t) for r, row in enumerate([["Qty", "Price", "", "Item"], ["", "2,00", "", "200"], ["", "", "", ""], ["90", "", "", "100"]]) for c, t in enumerate(row) if t]
+    cells = spark.createDataFrame(one + two, "template string, row_idx bigint, col_idx int, kind string, num double, txt string")
+    cells.write.parquet(str(tmp_path / "cells"))
+    cells = readers.read_template_cells(spark, str(tmp_path / "cells"))
+    templates = template.templates_from_cells(cells, runs.wanted_columns(profiles), key_column=None)
+    names = ["one", "two", "lost", "without"]
+    source = pages(spark).filter("doc_id = 'd1'").crossJoin(spark.createDataFrame([(n,) for n in names], "n string")).selectExpr("n as doc_id", "page", "text")
+    docs = spark.createDataFrame([(n, n) for n in names], "doc_id string, profile string")
+    found = runs.run_profiles(runs.run_extract_only(source, "tail").checked.clean, docs, profiles, templates)
+    assert {r.doc_id: r.status for r in found.status.collect()} == {"one": "ok", "two": "ok", "lost": "unknown_template", "without": "unknown_template"}
+    got = {(r.doc_id, r.key, r.target_column): (r.row_idx, r.col_idx, r.planned, r.outcome) for r in found.updates.collect()}
+    assert got[("one", "100", "Qty")] == (1, 1, 100, "modified") and got[("one", "200", "Qty")] == (2, 1, 100, "written")
+    assert got[("two", "100", "qty")] == (3, 0, None, "skipped") and got[("two", "100", "price")][:2] == (3, 1)
+    assert got[("two", "200", "qty")] == (1, 0, None, "written") and got[("two", "200", "price")] == (1, 1, None, "skipped")
+    put = {(r.doc_id, r.template, r.row_idx, r.col_idx): r.num if r.kind == "num" else r.txt for r in template.apply_to_grid(cells, found.final).collect()}
+    assert put["one", "one.xlsx", 1, 1] == "90.0/100" and put["two", "two.xlsx", 1, 0] == 100.0 and put["two", "two.xlsx", 1, 3] == "200"
+    assert not any(k[0] == "one" and k[1] == "two.xlsx" for k in put)
+
+
 def test_profiles_are_data(spark, tmp_path):
     """Any number of mappings is one merge; what a profile cannot do is its documents' status."""
     (tmp_path / "tools.json").write_text(json.dumps([{"name": "Tail Tool", "script": "scripts/tail.py", "category": ""}]))
@@ -241,7 +269,7 @@ def test_merged_output_per_document(spark, tmp_path):
     run = runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"])
     totals = writers.write_merged(run.merged, lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final), str(tmp_path / "m"), stats=run.stats)
     assert totals["rows_matched"] == 4 and totals["rows_extracted"] == 8
-    out = {(r.doc_id, r.Item): r.Qty for r in spark.read.parquet(str(tmp_path / "m/merged")).collect()}
+    out = {(r.doc_id, r.Item): r.Qty for r in publish.read_published(spark, str(tmp_path / "m"), "merged").collect()}
     assert out == {("d1", "100"): "90.0/100", ("d1", "200"): "100", ("d2", "100"): "50", ("d2", "200"): "100"}
     grid = template.apply_to_grid(template.grid_from_table(df, "n", header=False), run.merged.final)
     cells = {(r.doc_id, r.row_idx, r.col_idx): r.txt if r.kind == "txt" else r.num for r in grid.collect()}
@@ -257,12 +285,134 @@ def test_sinks_and_gate(spark, tmp_path):
     table_ = lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final)
     totals = writers.write_merged(run.merged, table_, str(tmp_path / "m"))
     assert totals["rows_matched"] == 2
-    out = {r.Item: r.Qty for r in spark.read.parquet(str(tmp_path / "m/merged")).collect()}
+    out = {r.Item: r.Qty for r in publish.read_published(spark, str(tmp_path / "m"), "merged").collect()}
     assert out == {"100": "90.0/100", "200": "100"}
+    assert publish.read_published(spark, str(tmp_path / "m"), "stats").first().rows_matched == 2
     none = runs.run_full(pages(spark).filter("doc_id = 'd3'"), "tail", tpl, ["Quantity"], ["Qty"])
     with pytest.raises(merge.NoMatchesError) as error:
         writers.write_merged(none.merged, table_, str(tmp_path / "none"), stats=none.stats)
-    assert error.value.stats["rows_extracted"] == 0 and not (tmp_path / "none/merged").exists()
+    assert error.value.stats["rows_extracted"] == 0 and not list((tmp_path / "none").rglob("*.parquet"))
+    with pytest.raises(publish.NothingPublishedError):
+        publish.read_published(spark, str(tmp_path / "none"), "merged")
+    writers.write_merged(run.merged, table_, str(tmp_path / "none"))  # the same path, once lines match
+    assert publish.read_published(spark, str(tmp_path / "none"), "changes").count() == 2
+
+
+def test_a_failing_run_changes_nothing_that_is_read(spark, tmp_path):
+    path, df = str(tmp_path / "out"), spark.createDataFrame([(1,)], "n int")
+    with publish.publishing(spark, path) as run:
+        run.write("t", df)
+    with pytest.raises(ZeroDivisionError):
+        with publish.publishing(spark, path) as run:
+            run.write("t", df.union(df))
+            1 / 0
+    assert publish.read_published(spark, path, "t").count() == 1 and len(list((tmp_path / "out/runs").iterdir())) == 1
+    with publish.publishing(spark, path) as run:
+        run.write("t", df.union(df))
+        assert publish.read_published(spark, path, "t").count() == 1  # not before the end
+    assert publish.read_published(spark, path, "t").count() == 2
+    with pytest.raises(publish.PublishedMeanwhileError):
+        with publish.publishing(spark, path) as slow:
+            slow.write("t", df.limit(0))
+            with publish.publishing(spark, path) as quick:
+                quick.write("t", df)
+    assert publish.read_published(spark, path, "t").count() == 1
+    assert len(publish.drop_unpublished(spark, path)) == 2 and publish.read_published(spark, path, "t").count() == 1
+
+
+def test_writing_scans_the_lines_once(spark, tmp_path):
+    """Totals are observed while the updates are written; no count reads the lines again."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    lines = spark.createDataFrame([("d", i, "100" if i % 3 else "no", str(i)) for i in range(60)], "doc_id string, line_seq bigint, Item string, Quantity string")
+    df, _ = parts(spark)
+    tpl = template.template_from_table(df, "Item", ["Qty"], "n")
+    seen = lines.mapInPandas(counted, lines.schema)
+    merged = merge.merge_into_template(seen, tpl, ["Quantity"], ["Qty"], key="Item", crowd=None)
+    totals = writers.write_merged(merged, lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final), str(tmp_path / "m"))
+    assert rows.value == 60
+    assert {k: totals[k] for k in ("total_csv_rows", "rows_matched", "rows_not_found", "skipped_cells")} == {
+        "total_csv_rows": 60, "rows_matched": 40, "rows_not_found": 20, "skipped_cells": 0}
+    assert publish.read_published(spark, str(tmp_path / "m"), "stats").first().rows_matched == 40
+
+
+def test_a_run_leaves_no_staged_tables(spark, tmp_path):
+    from pathlib import Path
+
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in shared.rglob("staged-*")}
+    df, tpl = parts(spark)
+    with staging_scope():
+        run = runs.run_full(pages(spark), "tail", tpl, ["Quantity"], ["Qty"], stage=staged)
+        assert {p.name for p in shared.rglob("staged-*")} > before
+        writers.write_merged(run.merged, lambda final: template.apply_to_table(df, "n", {"Qty": 1}, final), str(tmp_path / "m"), stats=run.stats)
+    assert {p.name for p in shared.rglob("staged-*")} == before
+    with pytest.raises(RuntimeError):
+        with staging_scope():
+            staged(df)
+            raise RuntimeError("on the way")
+    assert {p.name for p in shared.rglob("staged-*")} == before
+    assert publish.read_published(spark, str(tmp_path / "m"), "stats").count() == 2
+
+
+def test_only_changed_parts_of_a_template_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "template")
+    df = spark.range(100).select(F.col("id").cast("int").alias("n"), F.concat(F.lit("k"), "id").alias("Item"), F.lit("0").alias("Qty"))
+    writers.write_template(df, path, "n", rows=10)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "template").rglob("*.parquet")}
+    before = files()
+    lines = spark.createDataFrame([("d", 0, "k15", "7"), ("d", 1, "k19", "8"), ("d", 2, "k73", "9"), ("d", 3, "k15", "11"), ("d", 4, "gone", "1"), ("d", 5, "k42", "0")],
+                                  "doc_id string, line_seq bigint, Item string, Quantity string")
+    stored = spark.read.parquet(path)
+    tpl = template.template_from_table(stored.drop("row_range"), "Item", ["Qty"], "n")
+    merged = merge.merge_into_template(lines, tpl, ["Quantity"], ["Qty"], key="Item")
+    writers.update_template(merged.final, path, "n", tpl.positions, rows=10)
+    after = files()
+    same = {p for p in before if after.get(p) == before[p]}
+    assert len(same) == 8 and not any(f"row_range={r}/" in p for p in same for r in (1, 7))
+    found = {r.Item: r.Qty for r in spark.read.parquet(path).collect()}
+    assert len(found) == 100 and (found["k15"], found["k19"], found["k73"], found["k42"], found["k10"]) == ("11", "8", "9", "0", "0")
+
+
+def test_a_broken_file_is_a_row(spark, tmp_path):
+    src = tmp_path / "src"
+    pages(spark).filter("doc_id <> 'd2'").coalesce(1).write.parquet(str(src / "a"))
+    (src / "b").mkdir()
+    (src / "b/broken.parquet").write_bytes(b"this is no parquet file")
+    whole = next((src / "a").glob("*.parquet")).read_bytes()
+    (src / "b/cut.parquet").write_bytes(whole[: len(whole) // 2])
+    lines, outcome = folder.ingest_folder(spark, str(src), "tail")
+    assert lines.count() == 4
+    got = {(r.doc_id.rsplit("/", 1)[-1], r.rows, r.status) for r in outcome.collect()}
+    assert got == {("d1", 4, "ok"), ("d3", 0, "no_rows"), ("broken.parquet", 0, "unreadable"), ("cut.parquet", 0, "unreadable")}
+    out = str(tmp_path / "out")
+    folder.ingest_new(spark, str(src), "tail", out, str(tmp_path / "progress"))
+    assert spark.read.parquet(out + "/lines").count() == 4
+    got = {(r.doc_id.rsplit("/", 1)[-1], r.rows, r.status) for r in folder.ingest_outcome(spark, out).collect()}
+    assert got == {("d1", 4, "ok"), ("d3", 0, "no_rows"), ("broken.parquet", 0, "unreadable"), ("cut.parquet", 0, "unreadable")}
+    # more pages of a document in a later batch
+    pages(spark).filter("doc_id = 'd1'").withColumn("page", F.lit(2)).coalesce(1).write.parquet(str(src / "c"))
+    folder.ingest_new(spark, str(src), "tail", out, str(tmp_path / "progress"))
+    assert {r.doc_id: r.rows for r in folder.ingest_outcome(spark, out).filter("status = 'ok'").collect()} == {"d1": 8}
+
+
+def test_report_over_a_folder_of_layouts(spark, csv_folder, tmp_path):
+    from pathlib import Path
+
+    Path(csv_folder, "bad.csv").write_text("Itemno,Description,Master,Inner,Quantity,Unit price,Amount,ETD\n1,a\ufffd,1,1,2,3,7,x\n1,b,1,1,2,3,60,x\n2,c,1,1,2,3,Total,x\n", encoding="utf-8")
+    Path(csv_folder, "twice.csv").write_text("Item,item\n1,2\n", encoding="utf-8")
+    Path(csv_folder, "other.csv").write_text("x,y\nTotal,a\u00ad\n", encoding="utf-8")
+    got = {r.doc_id.rsplit("/", 1)[1]: tuple(r)[1:] for r in readers.report_folder(spark, csv_folder).collect()}
+    assert got == {
+        "es.csv": ("columns_es", False, "ok", 1, 0, 0), "en.csv": ("columns", True, "ok", 2, 0, 0), "marker.csv": ("marker", False, "ok", 1, 0, 0),
+        "empty.csv": ("tail", True, "no_rows", 0, 0, 0), "bad.csv": ("tail", True, "ok", 3, 1, 4),
+        "twice.csv": ("columns", False, "duplicate_header", 0, 0, 0), "other.csv": ("tail", False, "ok", 1, 0, 1),
+    }
 
 
 def test_folder_ingest(spark, tmp_path):
