@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from orderflow.functions import cells as C
 from orderflow.functions import packing as K
 from orderflow.functions.text import strip
-from orderflow.operators.columns import find_name, parse_number_columns, settle
+from orderflow.operators.columns import add_numbers, find_name, parse_number_columns, settle
+from orderflow.operators.order_lines import NUMBER_COLUMNS
 from orderflow.operators.packing import plan_packing
 from orderflow.operators.template import PER_CARTON, PER_PALLET, Template, Templates, lookup_value
 from orderflow.staging import staged
@@ -368,11 +369,15 @@ def merge_by_pairs(
     crowds = crowded_keys(taken, key, [doc, "template"], crowd)
     found, mark = mark_crowded(attach_rows(taken, key, templates.rows, ["template"]), crowds, templates.rows, ["template"], [doc])
     found = _with_flags(found, flags, doc)
-    parsed = parse_number_columns(found, [c for c in columns if f"{c}_num" not in numbers], "__num")
-    typed = {c: C.typed_value(F.col(c), F.col(f"{c}_num" if f"{c}_num" in numbers else f"{c}__num")) for c in columns}
-    valued = settle(parsed, {"__values": F.create_map(*[x for c in columns for x in (F.lit(c), typed[c])])})
+    # number columns are known by the line; other texts are read where a pair asks for them
+    amounts = [c for c in columns if c in NUMBER_COLUMNS or f"{c}_num" in numbers]
+    valued = parse_number_columns(found, [c for c in amounts if f"{c}_num" not in numbers])
+    texts = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`"))])
+    read = F.create_map(*[x for c in amounts for x in (F.lit(c), F.col(f"`{c}_num`"))]) if amounts else F.lit(None).cast("map<string,double>")
+    known = F.array(*[F.lit(c) for c in amounts]).cast("array<string>")
+    valued = valued.withColumns({"__texts": texts, "__read": read})
     carton, pallet = (F.try_element_at("cells", F.col(c))["read"] for c in ("carton", "pallet"))
-    amount = F.try_element_at("__values", F.col("qty_field"))
+    amount = C.typed_value(F.try_element_at("__texts", F.col("qty_field")), F.try_element_at("__read", F.col("qty_field")))
     packs = F.exists("pairs", lambda p: p["source"] == F.col("qty_field"))
     usable = F.coalesce(packs & carton.isNotNull() & pallet.isNotNull() & (amount["kind"] == "num"), F.lit(False))
     valued = valued.withColumn("__usable", usable)
@@ -384,16 +389,20 @@ def merge_by_pairs(
         is_quantity = F.coalesce(pair["source"] == F.col("qty_field"), F.lit(False))
         return F.struct(
             at.alias("map_order"), pair["source"].alias("source_column"), pair["target"].alias("target_column"),
-            pair["position"].alias("col_idx"), F.try_element_at("__values", pair["source"]).alias("value"),
+            pair["position"].alias("col_idx"), F.try_element_at("__texts", pair["source"]).alias("__text"),
+            F.try_element_at("__read", pair["source"]).alias("__number"), F.array_contains(known, pair["source"]).alias("__known"),
             F.when(is_quantity, F.col("__planned")).alias("planned"), (is_quantity & F.col("__usable")).alias("__usable"),
             F.try_element_at("cells", pair["position"]).alias("old"),
         )
 
     keep = list(dict.fromkeys([doc, *order, "key", "template", "row_idx"]))
     entries = F.when(F.col("row_idx").isNotNull(), F.transform("pairs", update))
-    updates = valued.select(*keep, "__flagged", *mark, F.explode_outer(entries).alias("u")).select(*keep, "__flagged", *mark, "u.*")
+    exploded = valued.select(*keep, "__flagged", *mark, F.explode_outer(entries).alias("u")).select(*keep, "__flagged", *mark, "u.*")
+    parsed = add_numbers(exploded, {"__parsed": F.when(~F.col("__known"), F.col("__text"))})
+    number = F.when(F.col("__known"), F.col("__number")).otherwise(F.col("__parsed"))
+    updates = settle(parsed, {"value": C.typed_value(F.col("__text"), number)})
     new = F.when(F.col("__usable"), K.planned_value(F.col("value"), F.col("planned"), F.col("__usable"))).otherwise(F.col("value"))
-    updates = updates.withColumn("new", new).drop("__usable")
+    updates = updates.withColumn("new", new).drop("__usable", "__text", "__number", "__known", "__parsed")
     return _outcomes(updates, keep, order, [doc, "row_idx", "col_idx"], part)
 
 

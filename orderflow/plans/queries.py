@@ -280,8 +280,8 @@ def detect_change(spark, sf):
 
 
 def _merged(spark, sf, **options):
-    df = _lines(spark, sf)
-    checked = quality.validate(df, RULES, "key", columns=CHECKED)
+    found = quality.validate(_lines(spark, sf), RULES, "key", columns=CHECKED)
+    checked = found.derive(staged(found.checked))  # read for the marks and for the merge
     return M.merge_into_template(
         checked.clean, _template(spark, sf), ["quantity", "price", "amount"], ["Qty", "Price", "Nope"], key="key",
         order=R.ORDER, flags=checked.flags, **options,
