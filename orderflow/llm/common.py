@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 #: A rank bucket holds about this many rows, and a group has at most so many buckets.
 ROWS_PER_BUCKET, MOST_BUCKETS = 256, 4096
 
-__all__ = ["document_key", "frame", "lowered", "ranked", "staged", "text_of"]
+__all__ = ["document_key", "exact_ids", "frame", "id_parts", "lowered", "ranked", "staged", "text_of"]
 
 
 def text_of(name: str = "text") -> Column:
@@ -31,6 +33,18 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
 
 
+def id_parts(doc_id: Column | str = "doc_id") -> list[Column]:
+    """An id on its way into Python: a number and whether there is none. A nullable one would come as a
+    double wherever a null is among them, and doubles have no odd numbers beyond 2 ** 53."""
+    value = F.col(f"`{doc_id}`") if isinstance(doc_id, str) else doc_id
+    return [F.coalesce(value.cast("bigint"), F.lit(0)).alias("id"), value.isNull().alias("no_id")]
+
+
+def exact_ids(batch: pd.DataFrame, rows: np.ndarray | slice = slice(None)) -> pd.arrays.IntegerArray:
+    """The ids of id_parts, on their way back."""
+    return pd.arrays.IntegerArray(batch["id"].to_numpy(np.int64)[rows], batch["no_id"].to_numpy(bool)[rows])
+
+
 def lowered(value: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(value, UPPER, LOWER)

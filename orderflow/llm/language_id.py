@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import staged
+from orderflow.llm.common import exact_ids, id_parts, staged
 
 BUCKETS = 1 << 15
 TRAINING_ROWS = 20_000
@@ -176,12 +176,12 @@ def identify_languages(df: DataFrame, held_out: Column, most_rows: int = TRAININ
         for batch in batches:
             found = [decode(text) for text in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"],
+                "doc_id": exact_ids(batch), "held_out": batch["held_out"],
                 "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "ambiguous": [f[2] for f in found],
             })
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
-    return rows.select("doc_id", "held_out", "text").mapInPandas(predict, schema)
+    return rows.select(*id_parts(), "held_out", "text").mapInPandas(predict, schema)
 
 
 def in_held_out_fold(doc_id: str = "doc_id") -> Column:

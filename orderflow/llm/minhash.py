@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import staged
+from orderflow.llm.common import exact_ids, id_parts, staged
 from orderflow.llm.components import components
 from orderflow.llm.word_hashes import WordHashes, mixed, odd_numbers, run_hashes, signed, text_bytes
 
@@ -80,11 +80,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, set_a, set_b (128 bits that tell sets apart) and the keys of the bands of every row."""
 
-    def described(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+    def described(ids: pd.arrays.IntegerArray, sets: list[np.ndarray]) -> pd.DataFrame:
         full = [s for s in sets if len(s)]
         keys = iter(signed(band_keys(signatures(full))) if full else ())
         return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"), "n": [len(s) for s in sets],
+            "doc_id": ids, "n": [len(s) for s in sets],
             "set_a": [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
             "set_b": [int(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets],
             "bands": [next(keys) if len(s) else [] for s in sets],
@@ -93,18 +93,17 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids.append(doc_id)
+            first, sets, size = 0, [], 0
+            for row, text in enumerate(batch["text"]):
                 sets.append(shingle_set(text, hashes))
                 size += len(sets[-1])
                 if size >= BLOCK:
-                    yield described(ids, sets)
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield described(ids, sets)
+                    yield described(exact_ids(batch, slice(first, row + 1)), sets)
+                    first, sets, size = row + 1, [], 0
+            if sets:
+                yield described(exact_ids(batch, slice(first, None)), sets)
 
-    return docs.select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, set_a long, set_b long, bands array<long>")
+    return docs.select(*id_parts(), "text").mapInPandas(describe, "doc_id long, n long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import ranked, staged, text_of
+from orderflow.llm.common import exact_ids, id_parts, ranked, staged, text_of
 
 END_ID, SEQUENCE = 2, 1024
 
@@ -78,18 +78,18 @@ def token_pieces(df: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["__text"]):
+            for row, text in enumerate(batch["__text"]):
                 ids = tokenizer(text) + end
                 total = len(ids) // 4
                 stop = total % sequence or min(total, sequence)
                 start = piece = 0
                 while start < total:
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    rows.append((row, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                     start, stop, piece = stop, stop + sequence, piece + 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out.assign(doc_id=exact_ids(batch, out["doc_id"].to_numpy(np.int64)))
 
-    return df.select("doc_id", text_of().alias("__text")).mapInPandas(cut, schema)
+    return df.select(*id_parts(), text_of().alias("__text")).mapInPandas(cut, schema)
 
 
 def best_filling(counts: Mapping[int, int], room: int, steps: int = FILLING_STEPS) -> tuple[int, ...]:
@@ -306,8 +306,9 @@ def pack_documents(df: DataFrame, sequence: int = SEQUENCE, end_id: int = END_ID
             length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
             run = table[np.searchsorted(starts, length << 48 | rank, "right") - 1]
             turn, slot = np.divmod(rank - run[:, 1], run[:, 2])
-            yield batch.drop(columns="rank").assign(
-                doc_id=batch["doc_id"].astype("Int64"), sequence_id=run[:, 3] + turn, offset=run[:, 4] + slot * length
+            yield batch.drop(columns=["rank", "id", "no_id"]).assign(
+                doc_id=exact_ids(batch), sequence_id=run[:, 3] + turn, offset=run[:, 4] + slot * length
             )
 
-    return placed.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    rows = placed.select(*id_parts(), "piece", "start", "length", "ids_crc32", "rank")
+    return rows.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

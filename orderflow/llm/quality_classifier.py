@@ -14,8 +14,11 @@ document has its weight put far below the floor where one of its words is much m
 common in documents labelled toxic than in the target text (the lower end of the log
 ratio of the shares of documents that hold it), or where its mean log ratio is low.
 
-k is the number of documents whose weight is above the floor: those that the
-evidence of their n-grams does not speak clearly against. The k-th largest key is
+k is a parameter, and so is the temperature that log weights are divided by before the noise
+is added: with both, a sample of any size is drawn, in which documents stand in proportion to their tempered
+weights. Without a k it is the number of documents whose weight is above the floor, those that the evidence of
+their n-grams does not speak clearly against; log weights are then so far apart that the noise
+hardly ever changes which ones these are, and the result is that of a filter. The k-th largest key is
 found exactly by counting its digits, sixteen bits at a time, so no list of documents
 is gathered anywhere.
 
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import document_key, staged
+from orderflow.llm.common import document_key, exact_ids, id_parts, staged
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -185,14 +188,14 @@ def toxic_ratios(rows: DataFrame) -> np.ndarray | None:
     return np.where(toxic[:-1] >= TOXIC_DOCUMENTS, ratios, 0.0).astype(np.float32)
 
 
-def gumbel(doc_id: object, text: str, seed: int) -> float:
+def gumbel(doc_id: int | None, text: str, seed: int) -> float:
     """Standard Gumbel noise that only the document and the seed decide."""
-    data = repr((None if pd.isna(doc_id) else int(doc_id), seed)).encode() + text.encode("utf-8", "surrogatepass")
+    data = repr((doc_id, seed)).encode() + text.encode("utf-8", "surrogatepass")
     uniform = (xxhash.xxh3_64_intdigest(data) + 0.5) / 2.0**64
     return float(-np.log(-np.log(min(max(uniform, 1e-18), 1 - 1e-16))))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, floor: float, seed: int) -> DataFrame:
+def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, floor: float, seed: int, temperature: float = 1.0) -> DataFrame:
     """doc_id, text_hash, log_weight, key and a whole number in the order of the keys, for every document."""
     model = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
 
@@ -201,7 +204,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, floo
         for batch in batches:
             weights = np.full(len(batch), np.nan)
             keys = np.zeros(len(batch))
-            for i, (doc_id, text) in enumerate(zip(batch["id"], batch["text"])):
+            for i, (doc_id, none, text) in enumerate(zip(batch["id"].to_list(), batch["no_id"].to_list(), batch["text"])):
                 parts = [
                     (ratio[found].sum(), len(found), 0.0 if toxic is None else toxic[own].max()) for found, own in text_parts(text or "", codes)
                 ]
@@ -210,15 +213,15 @@ def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, floo
                     weights[i] = sum(sums)
                     if max(worst) > MOST_TOXIC or weights[i] < LEAST_MEAN * sum(sizes):
                         weights[i] = min(weights[i], floor) - FAILED
-                    keys[i] = weights[i] + gumbel(doc_id, text, seed)
-            none = np.isnan(weights)
+                    keys[i] = weights[i] / temperature + gumbel(None if none else doc_id, text, seed)
+            lost = np.isnan(weights)
             yield pd.DataFrame({
-                "doc_id": batch["id"].astype("Int64"), "text_hash": batch["text_hash"],
-                "log_weight": pd.arrays.FloatingArray(weights, none), "key": pd.arrays.FloatingArray(keys, none),
-                "key_order": pd.arrays.IntegerArray(ordered_bits(keys), none),
+                "doc_id": exact_ids(batch), "text_hash": batch["text_hash"],
+                "log_weight": pd.arrays.FloatingArray(weights, lost), "key": pd.arrays.FloatingArray(keys, lost),
+                "key_order": pd.arrays.IntegerArray(ordered_bits(keys), lost),
             })
 
-    rows = docs.select(document_key().alias("k"), "text").select("k.id", "k.text_hash", "text")
+    rows = docs.select(document_key().alias("k"), "text").select(*id_parts(F.col("k.id")), "k.text_hash", "text")
     return rows.mapInPandas(weigh, "doc_id long, text_hash long, log_weight double, key double, key_order long")
 
 
@@ -249,10 +252,13 @@ def _some(ids: DataFrame, most: int) -> DataFrame:
     return ids if there <= most else ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * most / there))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
+def classify_quality(
+    docs: DataFrame, labels: DataFrame, floor: float = FLOOR, seed: int = SEED, target_rows: int = TARGET_ROWS, k: int | None = None, temperature: float = 1.0
+) -> DataFrame:
     """doc_id, text_hash, log_weight, key and kept of every row of docs.
 
-    docs has doc_id and text, labels has doc_id, quality and toxic.
+    docs has doc_id and text, labels has doc_id, quality and toxic. k: the documents to keep, all if there are no
+    more with a weight; None keeps as many as have a weight above the floor.
     """
     good = labels.where((F.col("quality") == 1) & ~(F.coalesce("toxic", F.lit(0)) == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     bad = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
@@ -261,8 +267,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, s
         "text", (F.col("good_id").isNotNull() & F.col("bad_id").isNull()).alias("is_target"), F.col("bad_id").isNotNull().alias("is_toxic")
     )
     ratios = log_ratios(staged(model_counts(flagged.select("text", "is_target"))))
-    weights = staged(weighted(docs.select("doc_id", "text"), ratios, toxic_ratios(flagged), floor, seed))
-    k = weights.where(F.col("log_weight") > floor).count()
+    weights = staged(weighted(docs.select("doc_id", "text"), ratios, toxic_ratios(flagged), floor, seed, temperature))
+    there = weights.where(F.col("log_weight").isNotNull() if k is not None else F.col("log_weight") > floor).count()
+    k = there if k is None else min(k, there)
     limit = kth_largest(weights, "key_order", k) if k else None
     kept = F.coalesce(F.col("key_order") >= limit, F.lit(False)) if k else F.lit(False)
     return weights.withColumn("kept", kept).drop("key_order")
