@@ -400,7 +400,8 @@ def merge_by_pairs(
     exploded = valued.select(*keep, "__flagged", *mark, F.explode_outer(entries).alias("u")).select(*keep, "__flagged", *mark, "u.*")
     parsed = add_numbers(exploded, {"__parsed": F.when(~F.col("__known"), F.col("__text"))})
     number = F.when(F.col("__known"), F.col("__number")).otherwise(F.col("__parsed"))
-    updates = settle(parsed, {"value": C.typed_value(F.col("__text"), number)})
+    value = F.when(F.col("source_column").isNotNull(), C.typed_value(F.col("__text"), number))  # not of a line without a row
+    updates = settle(parsed, {"value": value})
     new = F.when(F.col("__usable"), K.planned_value(F.col("value"), F.col("planned"), F.col("__usable"))).otherwise(F.col("value"))
     updates = updates.withColumn("new", new).drop("__usable", "__text", "__number", "__known", "__parsed")
     return _outcomes(updates, keep, order, [doc, "row_idx", "col_idx"], part)

@@ -206,8 +206,9 @@ def run_profiles(
         lookup_value(F.col("doc_id")).alias("__doc"), "template", "pairs", "qty_field", "carton", "pallet", "qty_increase", "qty_decrease"
     )
     told = lines.withColumn("__doc", lookup_value(F.col("doc_id"))).join(ready, "__doc").drop("__doc")
+    crowded = M.crowded_keys(lines, "key", ["doc_id"]) is not None  # told by the lines alone, before any join
     updates = M.merge_by_pairs(
         told, templates, order_lines.TEXT_COLUMNS, key="key", flags=flags,
-        increase=F.col("qty_increase"), decrease=F.col("qty_decrease"),
+        increase=F.col("qty_increase"), decrease=F.col("qty_decrease"), crowd=M.CROWD if crowded else None,
     )
     return ProfileRuns(updates, status)

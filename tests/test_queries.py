@@ -25,7 +25,7 @@ def test_contract():
 
 @pytest.mark.parametrize("name", [
     "typed_coercion", "strip_thousands", "canonical_keys", "conform_mixed_tables", "packing_full",
-    "tail_regex_lines", "lookup_merge",
+    "tail_regex_lines", "lookup_merge", "report_tables", "bucket_lines_by_table",
 ])
 def test_query(spark, name):
     con = duckdb.connect()
