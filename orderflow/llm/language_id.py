@@ -76,12 +76,13 @@ def codewords(languages: int) -> np.ndarray:
         splits = np.arange(1, 1 << max(languages - 1, 0))  # the last language is always on the same side
         return np.where(splits[None, :] >> np.arange(languages)[:, None] & 1, 1.0, -1.0)
     bits = math.ceil(10 * math.log2(languages))
-    for seed in range(1000):
-        words = np.where(np.random.default_rng(seed).random((languages, bits)) < 0.5, -1.0, 1.0)
-        apart = (bits - words @ words.T) / 2 + bits * np.eye(languages)
-        if apart.min() >= bits / 4 and (np.abs(words.sum(0)) < languages).all():
-            return words
-    raise ValueError(f"no code found for {languages} languages")
+    while True:
+        for seed in range(1000):
+            words = np.where(np.random.default_rng(seed).random((languages, bits)) < 0.5, -1.0, 1.0)
+            apart = (bits - words @ words.T) / 2 + bits * np.eye(languages)
+            if apart.min() >= bits / 4 and (np.abs(words.sum(0)) < languages).all():
+                return words
+        bits += bits // 4  # the more bits, the nearer words are to differing in half of them
 
 
 def counted_ngrams(sample: DataFrame) -> DataFrame:
@@ -105,6 +106,7 @@ class CodeModel:
     """Codewords, bit weights and the classifiers of the bits."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
+        """The classifiers of counts; every bit counts alike until the sample has been judged (see weigh_bits)."""
         self.languages = languages
         self.words = codewords(len(languages))
         shares = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True) if len(languages) else counts
@@ -112,10 +114,11 @@ class CodeModel:
         for bit in self.words.T:
             weights.append(np.log(shares[bit > 0].mean(0)) - np.log(shares[bit < 0].mean(0)))
         self.weights = np.array(weights, np.float32).T.reshape(BUCKETS, -1).copy()
-        # how well each bit tells its two sides apart, in expectation over the n-grams of the languages
-        margins = shares @ self.weights if len(languages) else np.zeros((0, 0))
-        right = 1 / (1 + np.exp(-np.clip(self.words * margins * MOST_EVIDENCE, -50, 50)))
-        self.accuracy = right.mean(0) if len(languages) else np.zeros(0)
+        self.accuracy = np.ones(self.words.shape[1])
+
+    def weigh_bits(self, right: np.ndarray, rows: int) -> None:
+        """Every bit by its accuracy: the share of the sample's rows that it puts on their language's side."""
+        self.accuracy = (right + 1) / (rows + 2)
 
     def margins(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.weights.shape[1]), 0
@@ -137,6 +140,26 @@ class CodeModel:
         return self.languages[best], float(chances[best]), bool(chances[best] - np.partition(chances, -2)[-2] < AMBIGUOUS_LEAD)
 
 
+def bits_right(sample: DataFrame, model: CodeModel) -> tuple[np.ndarray, int]:
+    """For each bit the rows of the sample that it puts on the right side, and the number of rows."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        place = {lang: i for i, lang in enumerate(own.languages)}
+        right, rows = np.zeros(own.words.shape[1], np.int64), 0
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"]):
+                if has_letter(text):
+                    right += own.words[place[lang]] * own.margins(text) > 0
+                    rows += 1
+        yield pd.DataFrame({"bit": np.arange(-1, len(right)), "n": np.append(rows, right)})
+
+    counts = sample.select("lang", "text").mapInPandas(judge, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n")).collect()
+    found = {r["bit"]: r["n"] for r in counts}
+    return np.array([found.get(i, 0) for i in range(model.words.shape[1])]), found.get(-1, 0)
+
+
 def rows_per_language(sizes: list[int], most_rows: int) -> int:
     """The rows that a language has at most, so that all have most_rows together; smaller languages leave theirs to larger ones."""
     left = most_rows
@@ -157,13 +180,17 @@ def fit_languages(rows: DataFrame, may_learn: Column, most_rows: int = TRAINING_
         limits = eligible.sparkSession.createDataFrame([(lang, min(parts, int(parts * most / n))) for lang, n in sizes.items()], "of string, below long")
         place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
         eligible = eligible.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(place < F.col("below")).drop("of", "below")
+    eligible = staged(eligible.select("lang", "text"))  # the sample, read for the counts and then for the accuracy of the bits
     counts = staged(counted_ngrams(eligible))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     table = np.zeros((len(languages), BUCKETS))
     place = {lang: i for i, lang in enumerate(languages)}
     for r in counts.toLocalIterator():  # one row per language and bucket
         table[place[r["lang"]], r["bucket"]] = r["n"]
-    return CodeModel(languages, table)
+    model = CodeModel(languages, table)
+    if len(languages) > 1:
+        model.weigh_bits(*bits_right(eligible, model))
+    return model
 
 
 def identify_languages(df: DataFrame, held_out: Column, most_rows: int = TRAINING_ROWS) -> DataFrame:

@@ -6,7 +6,8 @@ checked to be small, and go to all tasks). A match at word p of a text and word
 a template is a vote for the diagonal p - q. Votes are counted by text, template and
 diagonal. A phrase stands where all its runs vote for one diagonal. Of a notice, which
 may have words put in or left out, neighbouring diagonals are merged first; it is
-found if enough of its words are covered within a span of about its length. Votes
+found if enough of its words are covered within some span of about its length, wherever
+in the merged diagonals that starts. Votes
 only count after their words have been compared, so a collision of hashes finds
 nothing.
 
@@ -14,7 +15,8 @@ Phrases give the base labels; notices and further phrases add labels of their ow
 The score is 1 where a base phrase stands, else the largest share of a notice that
 was found.
 
-Results: a null text counts as empty. Documents are told apart by id and text: rows
+Results: a null text counts as empty. Texts of any length are scanned whole; of equal shares of a
+notice the first place counts. Documents are told apart by id and text: rows
 that repeat both are scanned as one and returned each. An empty table gives an empty
 result. Extra columns are left out.
 """
@@ -45,7 +47,8 @@ LEAST_COVERED, LONGEST_SPAN = 0.75, 1.5
 #: Diagonals up to this far apart are merged.
 NEIGHBOURS = 3
 
-MOST_TEMPLATE_WORDS = 50_000
+#: Templates of so many words together are sent to all tasks; of more, Spark chooses the join.
+WORDS_TO_SEND = 50_000
 
 
 @dataclass(frozen=True)
@@ -79,8 +82,6 @@ ADDED = (
 
 def template_runs(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
     """One row per run of words of a template; key is the hash of its first two words."""
-    if sum(len(t.words) for t in templates) > MOST_TEMPLATE_WORDS:
-        raise ValueError("too many templates to send to all tasks")
     rows = []
     for number, t in enumerate(templates):
         k = NOTICE_RUN if t.kind == "notice" else PHRASE_RUN
@@ -90,7 +91,8 @@ def template_runs(spark: SparkSession, templates: Sequence[Template]) -> DataFra
             run = [*t.words[at : at + k], None][:NOTICE_RUN]
             rows.append((number, t.label, t.kind, len(t.words), at, k, *run))
     runs = frame(spark, rows, "template int, label string, kind string, size int, at int, k int, w0 string, w1 string, w2 string")
-    return runs.withColumn("key", F.xxhash64("w0", "w1"))
+    keyed = runs.withColumn("key", F.xxhash64("w0", "w1"))
+    return F.broadcast(keyed) if sum(len(t.words) for t in templates) <= WORDS_TO_SEND else keyed
 
 
 def ascii_lowered(name: str = "text") -> Column:
@@ -102,9 +104,9 @@ def ascii_lowered(name: str = "text") -> Column:
 def scan_licenses(df: DataFrame, templates: Sequence[Template] = BASE + ADDED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     rows = df.select("doc_id", "text")
-    runs = F.broadcast(template_runs(df.sparkSession, templates).select(
+    runs = template_runs(df.sparkSession, templates).select(
         "template", "label", "kind", "size", "at", "k", "key", *[F.col(f"w{i}").alias(f"t{i}") for i in range(NOTICE_RUN)]
-    ))
+    )
     texts = settle(rows.select(document_key().alias("doc"), ascii_lowered().alias("__text")), {
         "words": F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0)),
     })
@@ -127,15 +129,14 @@ def scan_licenses(df: DataFrame, templates: Sequence[Template] = BASE + ADDED) -
     clusters = (
         diagonals.where(F.col("kind") == "notice").withColumn("apart", apart)
         .withColumn("cluster", F.sum("apart").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*of_template, "cluster").agg(
-            F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"),
-            F.min(F.col("diagonal") + F.array_min("runs")).alias("first"), F.max(F.col("diagonal") + F.array_max("runs")).alias("last"),
-        )
+        .select(*of_template, "cluster", "diagonal", F.explode("runs").alias("at")).withColumn("place", F.col("diagonal") + F.col("at"))
     )
+    # a span from each vote on: as far as its last run may start, in units of that for each template; the half keeps whole numbers clear of the limit
+    reach = F.floor(LONGEST_SPAN * F.col("size")) - NOTICE_RUN + 0.5
+    ahead = Window.partitionBy("doc", "template", "cluster").orderBy(F.col("place") / reach).rangeBetween(0, 1)
+    spans = clusters.withColumn("runs", F.collect_set("at").over(ahead))
     covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda at: F.sequence(at, at + NOTICE_RUN - 1)))))
-    notices = clusters.withColumn("share", covered / F.col("size")).where(
-        (F.col("share") >= LEAST_COVERED) & (F.col("last") + NOTICE_RUN - F.col("first") <= LONGEST_SPAN * F.col("size"))
-    ).select("doc", "label", "kind", "share", F.col("first").alias("place"))
+    notices = spans.withColumn("share", covered / F.col("size")).where(F.col("share") >= LEAST_COVERED).select("doc", "label", "kind", "share", "place")
     base = F.col("kind") == "base"
     found = phrases.unionByName(notices).groupBy("doc").agg(
         F.count_if(base).alias("n_base"),

@@ -37,6 +37,9 @@ MOST_FAILING = 0.5
 #: Weight of the prior in documents if the rates of the hosts don't differ.
 FLAT_PRIOR = 100.0
 
+#: The same at most, where the rates differ no more than by chance.
+STRONGEST_PRIOR = 1000.0
+
 #: Hosts up to this number are sent to all tasks; more are joined by a shuffle.
 HOSTS_TO_SEND = 50_000
 
@@ -88,14 +91,22 @@ def soft_failed() -> Column:
 
 
 def host_rates(judged: DataFrame, host: str) -> DataFrame:
-    """host, documents, failed and the rate shrunk by the prior that all hosts give."""
+    """host, documents, failed and the rate shrunk by the prior that all hosts give.
+
+    The rates of hosts differ by chance even where all are alike, the more the fewer documents they have. By
+    the moments of the beta-binomial their variance is m (1 - m) (h + (1 - h) / (weight + 1)), h being the mean of
+    1 / documents; where nothing is left beyond chance, the prior is as strong as it may be.
+    """
     hosts = staged(judged.groupBy(host).agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failed")
     ))
     rate = F.col("failed") / F.col("documents")
-    row = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance")).first()
-    mean, variance = row["mean"] or 0.0, row["variance"] or 0.0
-    weight = max(mean * (1 - mean) / variance - 1, 1.0) if variance > 1e-12 else FLAT_PRIOR
+    row = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance"), F.avg(1 / F.col("documents")).alias("chance")).first()
+    mean, variance, chance = row["mean"] or 0.0, row["variance"] or 0.0, row["chance"] or 1.0
+    weight = FLAT_PRIOR
+    if variance > 1e-12:
+        alike = (variance / (mean * (1 - mean)) - chance) / (1 - chance) if chance < 1 else 0.0
+        weight = max(1 / alike - 1, 1.0) if alike * (STRONGEST_PRIOR + 1) > 1 else STRONGEST_PRIOR
     return hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("documents") + weight))
 
 

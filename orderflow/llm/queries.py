@@ -139,13 +139,14 @@ ORACLES: dict[str, str] = {
         gaps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {_L.NEIGHBOURS} THEN 0 ELSE 1 END AS apart
           FROM diagonals WHERE kind = 'notice'),
         parts AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS part FROM gaps),
-        merged AS (SELECT r, label, kind, size, list_distinct(flatten(list(ats))) AS ats, min(diagonal + list_min(ats)) AS first, max(diagonal + list_max(ats)) AS last
-          FROM parts GROUP BY r, template, label, kind, size, part),
-        notices AS (SELECT r, label, kind, len(list_distinct(flatten(list_transform(ats, lambda a: [a, a + 1, a + 2])))) / size AS share, first, last, size FROM merged),
+        votes AS (SELECT r, template, label, kind, size, part, diagonal, unnest(ats) AS "at" FROM parts),
+        merged AS (SELECT r, label, kind, size, diagonal + "at" AS first, list("at") OVER (PARTITION BY r, template, part
+          ORDER BY (diagonal + "at") / (floor({_L.LONGEST_SPAN} * size) - {_L.NOTICE_RUN} + 0.5) RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS ats FROM votes),
+        notices AS (SELECT r, label, kind, len(list_distinct(flatten(list_transform(ats, lambda a: [a, a + 1, a + 2])))) / size AS share, first FROM merged),
         found AS (SELECT r, count(*) FILTER (kind = 'base') AS n_base, min(place) FILTER (kind = 'base') AS first_word, max(place) FILTER (kind = 'base') AS last_word,
           array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
           max(share) AS score FROM (SELECT * FROM phrases UNION ALL SELECT r, label, kind, share, first FROM notices
-            WHERE share >= {_L.LEAST_COVERED} AND last + {_L.NOTICE_RUN} - first <= {_L.LONGEST_SPAN} * size) GROUP BY 1)
+            WHERE share >= {_L.LEAST_COVERED}) GROUP BY 1)
         SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
           coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM texts LEFT JOIN found USING (r)""",
     "op3_quality_rules": f"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
@@ -162,8 +163,9 @@ ORACLES: dict[str, str] = {
           100 * n_symbols > {_R.MOST_SYMBOLS} * n_words OR 100 * n_dup_lines > {_R.MOST_DUP_LINES} * n_lines
           OR word_chars < {_R.SHORTEST_MEAN} * n_words OR word_chars > {_R.LONGEST_MEAN} * n_words AS soft_failed FROM measured),
         hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM judged GROUP BY 1),
-        prior AS (SELECT avg(bad / n) AS m, CASE WHEN var_pop(bad / n) > 1e-12 THEN greatest(avg(bad / n) * (1 - avg(bad / n)) / var_pop(bad / n) - 1, 1.0)
-          ELSE {_R.FLAT_PRIOR} END AS w FROM hosts),
+        moments AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS h FROM hosts),
+        prior AS (SELECT m, CASE WHEN v <= 1e-12 THEN {_R.FLAT_PRIOR} WHEN alike * ({_R.STRONGEST_PRIOR} + 1) > 1 THEN greatest(1 / alike - 1, 1.0)
+          ELSE {_R.STRONGEST_PRIOR} END AS w FROM (SELECT *, CASE WHEN h < 1 AND v > 1e-12 THEN (v / (m * (1 - m)) - h) / (1 - h) ELSE 0.0 END AS alike FROM moments)),
         verdicts AS (SELECT source, (bad + m * w) / (n + w) > {_R.MOST_FAILING} AS host_failed FROM hosts, prior)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_failed,
           NOT base_failed AND NOT (host_failed AND soft_failed) AS kept

@@ -57,12 +57,14 @@ class Digests:
     def __init__(self, paths: Sequence[str]):
         self.digests, self.entries, self.strings = (np.load(p, mmap_mode="r") for p in paths)
         self.lengths = [int(n) for n in np.unique(self.entries[:, 4])]
+        hosts = [bytes(self.strings[start : start + size]) for start, size in self.entries[:, [0, 3]]]
+        self.labels = max((h.count(b".") + 1 for h in hosts), default=0)
 
     def candidates(self, host: str, path: str) -> list[bytes]:
         if not host:
             return []
-        labels = host.split(".")
-        parents = [".".join(labels[i:]) for i in range(len(labels))]
+        labels = host.rsplit(".", self.labels)  # no rule has more of them, so no longer parent can be one's host
+        parents = [".".join(labels[i:]) for i in range(int(len(labels) > self.labels), len(labels))]
         prefixes = [path[:n] for n in self.lengths if n <= len(path)]
         return [(parent + prefix).encode("utf-8", "surrogatepass") for parent in parents for prefix in prefixes]
 
@@ -111,7 +113,10 @@ def filter_urls(
     for path in paths:
         spark.sparkContext.addFile(path)  # every executor fetches its own copy, new ones too
     names = [os.path.basename(p) for p in paths]
-    parsed = host_and_path(df.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{url}`").alias("__url")), "__url").drop("__url")
+    kind = df.schema[id_column].dataType
+    # as text, since a nullable number would come as a double where a null is among them
+    ids = F.col(f"`{id_column}`").cast("string").alias("__id")
+    parsed = host_and_path(df.select(ids, F.col(f"`{url}`").alias("__url")), "__url").drop("__url")
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Digests([SparkFiles.get(n) for n in names])
@@ -123,4 +128,4 @@ def filter_urls(
             )
 
     schema = T.StructType([*parsed.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return parsed.mapInPandas(judged, schema).withColumnRenamed("__id", id_column)
+    return parsed.mapInPandas(judged, schema).select(F.col("__id").cast(kind).alias(id_column), "host", "path", "rule", "verdict")
