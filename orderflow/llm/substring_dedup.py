@@ -3,7 +3,7 @@
 1. Every window of 35 words has an anchor, its 10-word run of smallest hash (the first
    of equal ones). Neighbouring windows with one anchor form a segment. Equal windows
    have equal anchors, so a window whose anchor stands nowhere else cannot repeat;
-   such segments are left out.
+   such segments are left out, where they lie, by two passes of a filter (see exact_dedup.possible). Places of repeated rows are one place, with their number.
 2. Equal segments (by anchor and hash) become one, with their number as its weight,
    before any text moves; the words of one of each are cut out of its document.
 3. Segments are dealt out to shards by anchor, so that all places of a window meet in
@@ -14,7 +14,9 @@
    backward search over the wavelet matrix gives matching statistics, and the
    windows inside matches that occur twice or more are reported.
 5. The reports go back to the places of the segments, and every document loses the
-   words its reported windows cover.
+   words its reported windows cover. On that way a run of neighbouring segments is its first, its last and
+   all those between as one unit: a passage that many documents hold is a few rows for each, and what it
+   is reported with is put together once.
 
 Windows are compared by their words; hashes decide only which segments are equal (128
 bits) and which meet.
@@ -33,11 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import document_key, staged
+from orderflow.llm.common import document_key, exact_ids, id_parts, staged
+from orderflow.llm import exact_dedup
+from orderflow.llm.exact_dedup import possible
 from orderflow.llm.fm_index import FMIndex, repeated_windows
 from orderflow.llm.word_hashes import WordHashes, mixed, run_hashes, signed, text_bytes
 
@@ -99,15 +105,16 @@ class SegmentFinder:
 def segment_places(docs: DataFrame) -> DataFrame:
     """id, text_hash, place (see place_parts), anchor and segment of all segments of all documents."""
 
-    def found(finder: SegmentFinder, pieces: list[tuple]) -> pd.DataFrame:
-        words = np.concatenate([p[3] for p in pieces])
-        sizes = np.array([len(p[3]) for p in pieces])
+    def found(finder: SegmentFinder, batch: pd.DataFrame, pieces: list[tuple]) -> pd.DataFrame:
+        words = np.concatenate([p[2] for p in pieces])
+        sizes = np.array([len(p[2]) for p in pieces])
         bounds = np.cumsum(sizes)
         first, windows, place, anchor, segment = finder.segments(words, np.repeat(bounds, sizes))
         owner = np.searchsorted(bounds, first, "right")
-        shift = np.array([p[2] for p in pieces], np.int64) - (bounds - sizes)
+        shift = np.array([p[1] for p in pieces], np.int64) - (bounds - sizes)
+        row = np.array([p[0] for p in pieces], np.int64)[owner]
         return pd.DataFrame({
-            "id": pd.array([p[0] for p in pieces], "Int64")[owner], "text_hash": np.array([p[1] for p in pieces], np.int64)[owner],
+            "id": exact_ids(batch, row), "text_hash": batch["text_hash"].to_numpy(np.int64)[row],
             "place": ((first + shift[owner]) << _WINDOW_BITS | windows) << _ANCHOR_BITS | place - first,
             "anchor": signed(anchor), "segment": signed(segment),
         })
@@ -116,19 +123,19 @@ def segment_places(docs: DataFrame) -> DataFrame:
         hashes, finder = WordHashes(), SegmentFinder()
         for batch in batches:
             pieces, size = [], 0
-            for doc_id, text_hash, text in zip(batch["id"].astype("Int64"), batch["text_hash"], batch["text"]):
+            for row, text in enumerate(batch["text"]):
                 words = text_bytes(text).split()
                 for at in range(0, max(len(words) - WINDOW + 1, 0), BLOCK):  # pieces hold different windows
                     part = hashes.of(words[at : at + BLOCK + WINDOW - 1])
-                    pieces.append((doc_id, text_hash, at, part))
+                    pieces.append((row, at, part))
                     size += len(part)
                     if size >= BLOCK:
-                        yield found(finder, pieces)
+                        yield found(finder, batch, pieces)
                         pieces, size = [], 0
             if pieces:
-                yield found(finder, pieces)
+                yield found(finder, batch, pieces)
 
-    rows = docs.select(document_key().alias("key"), "text").select("key.id", "key.text_hash", "text")
+    rows = docs.select(document_key().alias("key"), "text").select(*id_parts(F.col("key.id")), "key.text_hash", "text")
     return rows.mapInPandas(find, "id long, text_hash long, place long, anchor long, segment long")
 
 
@@ -145,7 +152,8 @@ def cut_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The columns of wanted, and the words of each segment in it. wanted: key, start, windows, anchor_at, anchor, segment, weight, crowded."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor_at", "anchor", "segment", "weight", "crowded")).alias("cuts"))
     texts = docs.select(document_key().alias("doc"), "text")
-    rows = texts.join(lists, F.col("doc") == F.col("key")).select("text", "cuts")
+    both = texts.join(lists, F.col("doc") == F.col("key"))
+    rows = both.groupBy("key").agg(F.first("text").alias("text"), F.first("cuts").alias("cuts")).select("text", "cuts")  # of repeated rows one
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,13 +192,91 @@ def search_shards(segments: DataFrame, shard: str) -> DataFrame:
     return segments.groupBy(shard).applyInPandas(search, "a long, b long, repeated long")
 
 
+def candidate_places(docs: DataFrame) -> DataFrame:
+    """The places of segments whose anchor stands more than once: id, text_hash, place, anchor, segment and n, the rows that are equal in all that.
+
+    Two passes of a filter leave these and fewer than one in a hundred of the others, which no search will find repeated; with
+    more places than a filter is made for, a join on the counted anchors leaves these alone.
+    """
+    places = staged(segment_places(docs)).withColumnRenamed("anchor", "digest")
+    first = staged(possible(places, 1)[0])
+    if places.count() <= exact_dedup.ROWS_PER_WORD * exact_dedup.MOST_WORDS:
+        found = possible(first, 2)[0].withColumnRenamed("digest", "anchor")
+    else:
+        some = first.withColumnRenamed("digest", "anchor")
+        # joined on structs, so that the places of a frequent anchor can be split over tasks
+        twice = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("anchor").alias("of"))
+        found = some.withColumn("at", F.struct("anchor")).join(twice, F.col("at") == F.col("of"), "left_semi")
+    return staged(found.groupBy("id", "text_hash", "place", "anchor", "segment").agg(F.count(F.lit(1)).alias("n")))
+
+
+UNIT = "id long, no_id boolean, text_hash long, start long, a long, b long, inside array<struct<offset: long, anchor: long, segment: long>>"
+
+
+def unit_places(candidates: DataFrame) -> DataFrame:
+    """Where the units of each document start: single segments (a, b are anchor and segment) and what lies between
+    the first and the last segment of a run (a, b are a hash, inside has its segments)."""
+    lists = candidates.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("place", "anchor", "segment"))).alias("found"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("found")
+            ends = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))
+            place, anchor, segment = (found.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("place", "anchor", "segment"))
+            start, windows = place >> (_WINDOW_BITS + _ANCHOR_BITS), place >> _ANCHOR_BITS & ((1 << _WINDOW_BITS) - 1)
+            apart = np.ones(len(place) + 1, bool)
+            apart[1:-1] = start[1:] != start[:-1] + windows[:-1]
+            apart[ends] = True
+            runs = np.flatnonzero(apart)
+            rows, firsts, a, b, insides = [], [], [], [], []
+            for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                row = int(np.searchsorted(ends, lo, "right"))
+                for i in range(lo, hi) if hi - lo < 4 else (lo, hi - 1):
+                    rows.append(row)
+                    firsts.append(int(start[i]))
+                    a.append(int(anchor[i]))
+                    b.append(int(segment[i]))
+                    insides.append([])
+                if hi - lo >= 4:
+                    offsets = start[lo + 1 : hi - 1] - start[lo + 1]
+                    data = b"".join(x.tobytes() for x in (offsets, anchor[lo + 1 : hi - 1], segment[lo + 1 : hi - 1]))
+                    code = xxhash.xxh3_128_digest(data)
+                    rows.append(row)
+                    firsts.append(int(start[lo + 1]))
+                    a.append(int.from_bytes(code[:8], "little", signed=True))
+                    b.append(int.from_bytes(code[8:], "little", signed=True))
+                    insides.append([{"offset": o, "anchor": x, "segment": y} for o, x, y in zip(offsets.tolist(), anchor[lo + 1 : hi - 1].tolist(), segment[lo + 1 : hi - 1].tolist())])
+            own = pa.array(rows, pa.int64())
+            kind = pa.list_(pa.struct([("offset", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(own) for c in ("id", "no_id", "text_hash")), *(pa.array(x, pa.int64()) for x in (firsts, a, b)), pa.array(insides, kind)],
+                names=["id", "no_id", "text_hash", "start", "a", "b", "inside"],
+            )
+
+    rows = lists.select(*id_parts("id"), "text_hash", "found").mapInArrow(cut, UNIT)
+    return rows.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id")
+
+
+def document_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
+    """of (a document's key) and places: the reported starts and bits of all its segments. reports: anchor_, segment_, repeated."""
+    units = staged(unit_places(candidates))
+    single = F.array(F.struct(F.lit(0).cast("bigint").alias("offset"), F.col("a").alias("anchor"), F.col("b").alias("segment")))
+    once = units.groupBy("a", "b").agg(F.first("inside").alias("inside"))
+    entries = once.select("a", "b", F.inline(F.when(F.size("inside") == 0, single).otherwise(F.col("inside"))))
+    told = entries.withColumn("at", F.struct("anchor", "segment")).join(
+        reports.select(F.struct(F.col("anchor_").alias("anchor"), F.col("segment_").alias("segment")).alias("reported"), "repeated"), F.col("at") == F.col("reported")
+    )
+    reported = told.groupBy(F.struct("a", "b").alias("unit")).agg(F.collect_list(F.struct("offset", "repeated")).alias("found"))
+    placed = units.select("id", "text_hash", "start", F.struct("a", "b").alias("own")).join(reported, F.col("own") == F.col("unit"))
+    there = F.transform("found", lambda f: F.struct((F.col("start") + f["offset"]).alias("start"), f["repeated"].alias("repeated")))
+    return placed.select(F.struct("id", "text_hash").alias("of"), there.alias("there")).groupBy("of").agg(F.flatten(F.collect_list("there")).alias("places"))
+
+
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """doc (its key) and places: a list of start and bits of the windows from there that occur anywhere else."""
-    places = staged(segment_places(docs))
-    twice = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("of"))
-    candidates = staged(places.join(twice, F.col("anchor") == F.col("of"), "left_semi"))
+    """of (a document's key) and places: a list of start and bits of the windows from there that occur anywhere else."""
+    candidates = candidate_places(docs)
     segments = staged(candidates.groupBy("anchor", "segment").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "text_hash", "place")).alias("one")
+        F.sum("n").alias("weight"), F.min(F.struct("id", "text_hash", "place")).alias("one")
     ).select("anchor", "segment", "weight", "one.*").select(
         "anchor", "segment", "weight", F.struct("id", "text_hash").alias("key"), *[c.alias(n) for n, c in place_parts().items()]
     ))
@@ -218,10 +304,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         F.col("anchor").alias("anchor_"), F.col("segment").alias("segment_")
     ).agg(F.bit_or(F.expr("shiftleft(1L, first)")).alias("repeated"))
 
-    reports = whole.where("repeated > 0").unionByName(back)
-    return candidates.join(reports, (F.col("anchor") == F.col("anchor_")) & (F.col("segment") == F.col("segment_"))).groupBy(
-        F.struct("id", "text_hash").alias("of")
-    ).agg(F.collect_list(F.struct(place_parts()["start"].alias("start"), "repeated")).alias("places"))
+    return document_reports(candidates, whole.where("repeated > 0").unionByName(back))
 
 
 def kept_words(text: str | None, places: object) -> tuple[int, list[bytes]]:
@@ -255,10 +338,10 @@ def deduplicate_substrings(docs: DataFrame) -> DataFrame:
                 n, kept = kept_words(text, places)
                 rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
+            out.insert(0, "doc_id", exact_ids(batch))
             yield out
 
-    rows = with_places(docs.select("doc_id", "text")).select(F.col("__doc.id").alias("doc_id"), "text", F.col("__places").alias("places"))
+    rows = with_places(docs.select("doc_id", "text")).select(*id_parts(F.col("__doc.id")), "text", F.col("__places").alias("places"))
     return rows.mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
