@@ -3,11 +3,10 @@
 Texts are cut into passages of two neighbouring blocks of words. Words (letters and
 digits in lower case) are hashed into buckets, weighted by the inverse document
 frequency over all documents, and a randomised singular value decomposition gives the
-latent space: products of the passages with a random matrix, the small matrices that
-result are added up over the tasks, and one power iteration sharpens them. It is
-fitted on the benchmark items and the passages of at most SAMPLE_DOCUMENTS documents,
-chosen by a hash of the id, with as much weight on all items as on all passages; every
-passage of every document is then searched.
+latent space: products with a small matrix, the results of which are added up over the
+tasks. The first round starts from random directions and takes all benchmark items; the
+second one takes all items and every passage of every document, with as much weight on
+all items as on all passages. Every passage of every document is then searched.
 
 The cosine of a row is the best of its passages' to an item. The product is that of the
 latent space, the passage's length the one of all its words: what lies outside the
@@ -44,15 +43,14 @@ from orderflow.llm.word_hashes import ByteRuns, text_bytes
 
 BUCKETS, DIMENSIONS, EXTRA = 1 << 14, 192, 16
 BLOCK_WORDS = 32
-SAMPLE_DOCUMENTS = 2_000
 
 ITEM_BLOCK = 4_096
 
 #: Share of an item's words in the common subsequence, share of its answer (its last fifth), and how long a stretch may be.
 LEAST_COMMON, LEAST_ANSWER, ANSWER_PART, LONGEST_STRETCH = 0.7, 0.5, 0.2, 1.6
 
-#: Passages scored together.
-PASSAGES = 4_096
+#: Words taken together; longer texts are taken in parts of as many, a multiple of BLOCK_WORDS.
+PART_WORDS = 1 << 11
 
 #: Signs that end a word: all of ASCII but letters and digits, and the usual ones beyond it.
 SIGNS_TO_SPACE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -82,40 +80,78 @@ def places_of(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return at, place[at]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of documents, how many hold a word of each bucket and how many each word of the vocabulary."""
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The numbers of documents and of passages, how many documents hold a word of each bucket and how many each word of the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
-        hashes, totals, rows = ByteRuns(), np.zeros(BUCKETS + len(words), np.int64), 0
+        hashes, totals, rows, passages = ByteRuns(), np.zeros(BUCKETS + len(words), np.int64), 0, 0
         for batch in batches:
             for text in batch["text"]:
                 rows += 1
                 codes = word_codes(text, hashes)
+                passages += max(-(-len(codes) // BLOCK_WORDS) - 1, min(len(codes), 1))
                 totals[np.unique(buckets(codes))] += 1
                 totals[BUCKETS + np.unique(places_of(codes, words)[1])] += 1
         used = np.flatnonzero(totals)
-        yield pd.DataFrame({"bucket": np.append(used, -1), "n": np.append(totals[used], rows)})
+        yield pd.DataFrame({"bucket": np.append(used, [-1, -2]), "n": np.append(totals[used], [rows, passages])})
 
     found = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    result, rows = np.zeros(BUCKETS + len(vocabulary)), 0
+    result, sizes = np.zeros(BUCKETS + len(vocabulary)), {-1: 0, -2: 0}
     for r in found:  # at most one row per bucket and word of an item
         if r["bucket"] < 0:
-            rows = r["n"]
+            sizes[r["bucket"]] = r["n"]
         else:
             result[r["bucket"]] = r["n"]
-    return rows, result[:BUCKETS], result[BUCKETS:]
+    return sizes[-1], sizes[-2], result[:BUCKETS], result[BUCKETS:]
 
 
-def passage_vectors(codes: np.ndarray, table: np.ndarray, squares: np.ndarray) -> np.ndarray:
-    """Vectors of all passages in the space of table (buckets by dimensions), over their TF-IDF lengths."""
-    found = buckets(codes)
-    starts = np.arange(0, len(found), BLOCK_WORDS)
-    sums, lengths = np.add.reduceat(table[found], starts), np.add.reduceat(squares[found], starts)
-    if len(starts) > 1:
-        sums, lengths = sums[:-1] + sums[1:], lengths[:-1] + lengths[1:]
-    return sums / np.sqrt(np.maximum(lengths, 1e-9))[:, None]
+class Passages:
+    """The passages of some texts, which are given by the buckets of their words, one text after the other.
+
+    starts: of the blocks, first and second: the blocks of each passage (second is -1 where there is one alone),
+    text: whose passage it is.
+    """
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        blocks = -(-lengths // BLOCK_WORDS)
+        block_text = np.repeat(np.arange(len(lengths)), blocks)
+        first_block, first_word = np.cumsum(blocks) - blocks, np.cumsum(lengths) - lengths
+        self.starts = first_word[block_text] + BLOCK_WORDS * (np.arange(len(block_text)) - first_block[block_text])
+        count = np.maximum(blocks - 1, np.minimum(blocks, 1))
+        self.text = np.repeat(np.arange(len(lengths)), count)
+        self.first = first_block[self.text] + np.arange(len(self.text)) - (np.cumsum(count) - count)[self.text]
+        self.second = np.where(blocks[self.text] > 1, self.first + 1, -1)
+
+    def sums(self, blocks: np.ndarray) -> np.ndarray:
+        """What the blocks hold, added up for each passage."""
+        found, two = blocks[self.first], self.second >= 0
+        found[two] += blocks[self.second[two]]
+        return found
+
+    def to_blocks(self, passages: np.ndarray) -> np.ndarray:
+        """What the passages hold, added up for each block."""
+        found, two = np.zeros((len(self.starts), *passages.shape[1:]), passages.dtype), self.second >= 0
+        found[self.first] = passages
+        found[self.second[two]] += passages[two]
+        return found
+
+
+def parts(texts: Iterator[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Numbered texts, given by their words, in lots of about PART_WORDS words; neighbouring parts of a long one share a block."""
+    numbers, lot, words = [], [], 0
+    for number, codes in enumerate(texts):
+        for at in range(0, max(len(codes) - BLOCK_WORDS, min(len(codes), 1)), PART_WORDS):
+            part = codes[at : at + PART_WORDS + BLOCK_WORDS]
+            numbers.append(number)
+            lot.append(part)
+            words += len(part)
+            if words >= PART_WORDS:
+                yield numbers, lot
+                numbers, lot, words = [], [], 0
+    if lot:
+        yield numbers, lot
 
 
 def tf_idf(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -126,32 +162,48 @@ def tf_idf(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (used, values / length) if length else None
 
 
-def passage_rows(codes: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    found = buckets(codes)
-    starts = range(0, max(len(found) - BLOCK_WORDS, 1), BLOCK_WORDS)
-    rows = [tf_idf(found[start : start + 2 * BLOCK_WORDS], idf) for start in starts]
-    return [r for r in rows if r]
+def add_products(total: np.ndarray, lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray) -> None:
+    """Add to total, but for the idf of its rows, the product of the passages' vectors, their transpose and a matrix (table, with the idf)."""
+    found = buckets(np.concatenate(lot))
+    cut = Passages(np.array([len(c) for c in lot]))
+    lengths = np.maximum(cut.sums(np.add.reduceat(squares[found], cut.starts)), 1e-9)
+    seen = cut.sums(np.add.reduceat(table[found], cut.starts)) / lengths[:, None]
+    used, place = np.unique(found, return_inverse=True)
+    n = len(cut.starts)
+    block = np.repeat(np.arange(n), np.diff(cut.starts, append=len(found)))
+    counts = np.bincount(place * n + block, minlength=len(used) * n).reshape(len(used), n)
+    total[used] += counts.astype(table.dtype) @ cut.to_blocks(seen)
 
 
-def latent_space(sample: DataFrame, idf: np.ndarray, seed: int = 5, rounds: int = 2) -> np.ndarray:
-    """Buckets by dimensions: the right singular vectors of the sample. sample: text and weight, which is 1 for a
-    text that is cut into passages; others stand for themselves and count that often."""
+def latent_space(items: DataFrame, docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Buckets by dimensions: the right singular vectors of all items and all passages of docs (text). items: text
+    and weight, how often each counts."""
     width = DIMENSIONS + EXTRA
-    basis = np.random.default_rng(seed).standard_normal((BUCKETS, width))
-    spark = sample.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(np.linalg.qr(basis)[0].astype(np.float32))  # buckets x dimensions
+    noise = np.random.default_rng(seed).standard_normal((BUCKETS, width))
+    basis = noise
+    context = docs.sparkSession.sparkContext
+    told = items.select("text", "weight")
+    # a task returns a matrix, so there are as many as can run at once
+    every = docs.select("text", F.lit(None).cast("double").alias("weight")).unionByName(told).coalesce(context.defaultParallelism)
+    for rows in (told.coalesce(context.defaultParallelism), every):
+        shared = context.broadcast(np.linalg.qr(basis)[0].astype(np.float32))  # buckets x dimensions
 
         def products(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            hashes, q, total = ByteRuns(), shared.value, np.zeros((BUCKETS, width))
+            hashes, q = ByteRuns(), shared.value
+            table, squares = q * idf[:, None].astype(np.float32), (idf**2).astype(np.float32)
+            total, of_items = np.zeros((BUCKETS, width)), np.zeros((BUCKETS, width))
             for batch in batches:
-                for text, weight in zip(batch["text"], batch["weight"]):
-                    codes = word_codes(text, hashes)
-                    for used, values in passage_rows(codes, idf) if weight == 1 else [r for r in [tf_idf(buckets(codes), idf)] if r]:
-                        total[used] += weight * values[:, None] * (values @ q[used])
-            rows = np.flatnonzero(np.abs(total).sum(1))
-            for at in range(0, len(rows), 1024):
-                some = rows[at : at + 1024]
+                of_docs, of_batch = batch["weight"].isna().to_numpy(bool), np.zeros((BUCKETS, width), np.float32)
+                for _, lot in parts(word_codes(text, hashes) for text in batch["text"][of_docs]):
+                    add_products(of_batch, lot, table, squares)
+                total += of_batch
+                for text, weight in zip(batch["text"][~of_docs], batch["weight"][~of_docs]):
+                    if row := tf_idf(buckets(word_codes(text, hashes)), idf):
+                        of_items[row[0]] += weight * row[1][:, None] * (row[1] @ q[row[0]])
+            total = total * idf[:, None] + of_items
+            used = np.flatnonzero(np.abs(total).sum(1))
+            for at in range(0, len(used), 1024):
+                some = used[at : at + 1024]
                 yield pd.DataFrame({"bucket": some, "row": [r.tobytes() for r in total[some].astype(np.float32)]})
 
         def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -160,13 +212,15 @@ def latent_space(sample: DataFrame, idf: np.ndarray, seed: int = 5, rounds: int
             np.add.at(sums, place, np.stack([np.frombuffer(r, np.float32) for r in part["row"]]))
             return pd.DataFrame({"bucket": found, "row": [r.tobytes() for r in sums]})
 
-        rows = sample.mapInPandas(products, "bucket long, row binary")
-        summed = rows.groupBy(F.pmod("bucket", F.lit(64))).applyInPandas(lambda part: add(part), "bucket long, row binary")
-        basis = np.zeros((BUCKETS, width))
+        matrices = rows.mapInPandas(products, "bucket long, row binary")
+        summed = matrices.groupBy(F.pmod("bucket", F.lit(64))).applyInPandas(lambda part: add(part), "bucket long, row binary")
+        found = np.zeros((BUCKETS, width))
         for r in summed.toLocalIterator():  # one row per bucket
-            basis[r["bucket"]] = np.frombuffer(r["row"], np.float32)
+            found[r["bucket"]] = np.frombuffer(r["row"], np.float32)
         shared.unpersist()
-    left, _, _ = np.linalg.svd(basis, full_matrices=False)
+        # directions that no item has stay in, for the round over the documents
+        basis = found / max(np.abs(found).max(), 1e-9) + 1e-3 * noise
+    left, _, _ = np.linalg.svd(found if found.any() else noise, full_matrices=False)
     return left[:, :DIMENSIONS].astype(np.float32)
 
 
@@ -237,6 +291,16 @@ def best_share(codes: np.ndarray, item: np.ndarray) -> float:
     return best
 
 
+def best_cosines(numbers: list[int], lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a lot that have passages, and the best cosines of these to each item."""
+    found = buckets(np.concatenate(lot))
+    cut = Passages(np.array([len(c) for c in lot]))
+    lengths = np.sqrt(np.maximum(cut.sums(np.add.reduceat(squares[found], cut.starts)), 1e-9))
+    cosines = (cut.sums(np.add.reduceat(table[found], cut.starts)) / lengths[:, None]) @ matrix.T
+    part, firsts = np.unique(cut.text, return_index=True)
+    return np.array(numbers)[part], np.maximum.reduceat(cosines, firsts)
+
+
 def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray, frequencies: np.ndarray, space: np.ndarray | None, idf: np.ndarray) -> DataFrame:
     """doc_id, text_hash, item_ids, best cosine and best share of every row, for one block of items; without a space no cosine."""
     hashes = ByteRuns()
@@ -263,20 +327,19 @@ def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray
         table, squares, matrix, ids, words, asked, firsts, owners = shared.value
         hashes = ByteRuns()
         for batch in batches:
-            out = {"item_ids": [], "cosine": [], "share": []}
-            for text in batch["text"]:
-                codes = word_codes(text, hashes)
+            coded = [word_codes(text, hashes) for text in batch["text"]]
+            tops = np.zeros(len(coded))
+            for numbers, lot in parts(iter(coded)) if len(ids) and table is not None else ():
+                owner, cosine = best_cosines(numbers, lot, table, squares, matrix)
+                np.maximum.at(tops, owner, cosine.max(1))
+            out = {"item_ids": [], "cosine": np.minimum(tops, 1.0), "share": []}
+            for codes in coded:
                 held = np.unique(places_of(codes, asked)[1])
                 hits: dict[int, float] = {}
                 for n in np.unique(np.concatenate([owners[firsts[h] : firsts[h + 1]] for h in held])).tolist() if len(held) else ():
                     if share := best_share(codes, words[n]):
                         hits[n] = share
-                top = 0.0
-                for at in range(0, len(codes) if len(ids) and table is not None else 0, PASSAGES * BLOCK_WORDS):  # neighbouring parts share a block
-                    some = passage_vectors(codes[at : at + (PASSAGES + 1) * BLOCK_WORDS], table, squares)
-                    top = min(1.0, max(top, float((some @ matrix.T).max())))
                 out["item_ids"].append(sorted(ids[n] for n in hits))
-                out["cosine"].append(top)
                 out["share"].append(max(hits.values(), default=0.0))
             yield pd.DataFrame({"doc_id": exact_ids(batch), "text_hash": batch["text_hash"], **out})
 
@@ -295,18 +358,12 @@ def find_contaminated(docs: DataFrame, items: DataFrame, cosines: bool = True) -
         if len(some) == ITEM_BLOCK:
             vocabulary, some = np.unique(np.concatenate([vocabulary, *some])), []
     vocabulary = np.unique(np.concatenate([vocabulary, *some]))
-    rows, frequencies, word_frequencies = document_frequencies(docs, vocabulary)
+    rows, passages, frequencies, word_frequencies = document_frequencies(docs, vocabulary)
     idf = np.log((rows + 1) / (frequencies + 1)) + 0.1  # of every word above 0
     space = None
     if cosines:
-        sample = docs.select("doc_id", "text")
-        if rows > SAMPLE_DOCUMENTS:
-            parts = 1 << 40
-            sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * SAMPLE_DOCUMENTS / rows))
-        passages = SAMPLE_DOCUMENTS * 500 / BLOCK_WORDS
-        weighted = items.select("text", F.lit(max(2.0, passages / max(n_items, 1))).alias("weight"))
-        fitted = staged(sample.select("text", F.lit(1.0).alias("weight")).unionByName(weighted)).repartition(6)
-        space = latent_space(fitted, idf)
+        weighted = items.select("text", F.lit(max(1.0, passages / max(n_items, 1))).alias("weight"))
+        space = latent_space(weighted, docs, idf)
     found = None
     blocks = max(1, -(-n_items // ITEM_BLOCK))
     for block in range(blocks):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from orderflow.llm import decontamination
 from test_text_operators import ITEM, documents, prose
 
@@ -74,3 +76,36 @@ def test_blocks_of_items_return_every_row(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEM_BLOCK", 1)
     parts = decontamination.find_contaminated(docs, items).select("doc_id", "text_hash", "item_ids", "share", "contaminated")
     assert len(whole) == 6 and sorted(map(repr, parts.collect())) == whole
+
+
+def test_space_is_fitted_on_every_passage(spark):
+    """The second round adds up the products of all passages of all documents, however they are cut into lots."""
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 31, 32, 33, 64, 65, 500, 9000]
+    texts = [" ".join(f"w{int(500 ** x)}" for x in rng.random(n)) for n in lengths] + [None]
+    hashes, idf = decontamination.ByteRuns(), rng.random(decontamination.BUCKETS) + 0.1
+    table, squares = rng.standard_normal((decontamination.BUCKETS, 4)) * idf[:, None], idf**2
+    want = np.zeros((decontamination.BUCKETS, 4))
+    for text in texts:
+        found = decontamination.buckets(decontamination.word_codes(text, hashes))
+        for at in range(0, max(len(found) - 32, min(len(found), 1)), 32):
+            passage = found[at : at + 64]
+            seen = table[passage].sum(0) / squares[passage].sum()
+            np.add.at(want, passage, seen)
+    got = np.zeros_like(want)
+    for _, lot in decontamination.parts(decontamination.word_codes(t, hashes) for t in texts):
+        decontamination.add_products(got, lot, table, squares)
+    assert np.allclose(got, want)
+
+
+def test_no_document_is_left_out_of_the_fit(spark):
+    """Beyond 2,000 documents, too, the space changes with the words of any one of them."""
+    docs = [(i, f"a{i % 7} b{i % 5}", "en", "a") for i in range(2400)]
+    idf = np.ones(decontamination.BUCKETS)
+    items = spark.createDataFrame([("a1 b1", 1.0)], "text string, weight double")
+    hashes = decontamination.ByteRuns()
+    for i in (0, 1234, 2399):
+        rare = " ".join(f"only{i}x{n}" for n in range(40))
+        space = decontamination.latent_space(items, documents(spark, docs[:i] + [(i, rare, "en", "a")] + docs[i + 1 :]), idf)
+        at = np.unique(decontamination.buckets(decontamination.word_codes(rare, hashes)))
+        assert np.linalg.norm(space[at].sum(0)) > 0.9 * np.sqrt(len(at))
