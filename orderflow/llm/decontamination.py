@@ -12,13 +12,14 @@ The cosine of a row is the best of its passages' to an item. The product is that
 latent space, the passage's length the one of all its words: what lies outside the
 space, which has to do with no item, counts against it.
 
-What is contaminated does not depend on the space, which cannot hold any number of items
-or items of any length. An item is found where the longest common subsequence holds most
+A passage whose cosine to an item is RETRIEVED or more names text and item, which are then
+compared. An item is found where the longest common subsequence holds most
 of its words, within a stretch not much longer than the item, and so much of its end, the
 answer, too. That also finds paraphrases in which words were changed, put in or left out.
-A text that holds so many of the words holds at least one of any choice of words too large
-to be left out. The rarest such choice of each item names the texts that are compared, so
-none is lost, however many, long or common the items are.
+The space cannot hold any number of items or items of any length, so there is an exact way
+for what it misses. A text that holds so many of the words holds at least one of any choice
+of words too large to be left out. The rarest such choice of each item names texts to compare,
+too, so none is lost, however many, long or common the items are.
 
 Items are a query set: they are searched in blocks of ITEM_BLOCK, each over all rows.
 
@@ -49,6 +50,9 @@ ITEM_BLOCK = 4_096
 #: Share of an item's words in the common subsequence, share of its answer (its last fifth), and how long a stretch may be.
 LEAST_COMMON, LEAST_ANSWER, ANSWER_PART, LONGEST_STRETCH = 0.7, 0.5, 0.2, 1.6
 
+#: Least cosine of a passage to an item that has the two compared.
+RETRIEVED = 0.5
+
 #: Words taken together; longer texts are taken in parts of as many, a multiple of BLOCK_WORDS.
 PART_WORDS = 1 << 11
 
@@ -301,6 +305,34 @@ def best_cosines(numbers: list[int], lot: list[np.ndarray], table: np.ndarray, s
     return np.array(numbers)[part], np.maximum.reduceat(cosines, firsts)
 
 
+class Items:
+    """The words of some items as places in a vocabulary, and the items that each place names."""
+
+    def __init__(self, coded: list[np.ndarray], vocabulary: np.ndarray, frequencies: np.ndarray) -> None:
+        self.words, self.vocabulary = coded, vocabulary
+        self.least = [least_common(len(c)) for c in coded]
+        self.used = [np.unique(places_of(c, vocabulary)[1], return_counts=True) for c in coded]
+        telling = [telling_words(c, vocabulary, frequencies) for c in coded]
+        owners = np.repeat(np.arange(len(coded)), [len(t) for t in telling])
+        chosen = np.concatenate([*telling, np.zeros(0, np.int64)]).astype(np.int64)
+        self.owners = owners[np.argsort(chosen, kind="stable")]  # those of place p are owners[firsts[p] : firsts[p + 1]]
+        self.firsts = np.append(0, np.cumsum(np.bincount(chosen, minlength=len(vocabulary)))).astype(np.int64)
+
+    def found(self, codes: np.ndarray, retrieved: np.ndarray) -> dict[int, float]:
+        """The items that a text holds, of those that were retrieved or that one of its words names, and their shares."""
+        held, counts = np.unique(places_of(codes, self.vocabulary)[1], return_counts=True)
+        naming = held[self.firsts[held + 1] > self.firsts[held]]
+        hits: dict[int, float] = {}
+        for n in np.unique(np.concatenate([retrieved, *[self.owners[self.firsts[h] : self.firsts[h + 1]] for h in naming]])).tolist():
+            used, times = self.used[n]
+            at = np.minimum(np.searchsorted(held, used), len(held) - 1)
+            # no common subsequence is longer than the words in common
+            if len(held) and np.minimum(counts[at], times)[held[at] == used].sum() >= self.least[n]:
+                if share := best_share(codes, self.words[n]):
+                    hits[n] = share
+        return hits
+
+
 def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray, frequencies: np.ndarray, space: np.ndarray | None, idf: np.ndarray) -> DataFrame:
     """doc_id, text_hash, item_ids, best cosine and best share of every row, for one block of items; without a space no cosine."""
     hashes = ByteRuns()
@@ -313,32 +345,24 @@ def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray
         for n, (_, codes) in enumerate(coded):
             matrix[n] = table[buckets(codes)].sum(0)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    telling = [telling_words(c, vocabulary, frequencies) for _, c in coded]
-    owners = np.repeat(np.arange(len(coded)), [len(t) for t in telling])
-    chosen = np.concatenate([*telling, np.zeros(0, np.int64)]).astype(np.int64)
-    order = np.argsort(chosen, kind="stable")
-    asked, firsts = np.unique(chosen[order], return_index=True)  # the items of asked[i] are owners[firsts[i] : firsts[i + 1]]
-    firsts = np.append(firsts, len(chosen))
     shared = docs.sparkSession.sparkContext.broadcast((
-        table, (idf**2).astype(np.float32), matrix, [i for i, _ in coded], [c for _, c in coded], vocabulary[asked], firsts, owners[order]
+        table, (idf**2).astype(np.float32), matrix, [i for i, _ in coded], Items([c for _, c in coded], vocabulary, frequencies)
     ))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, squares, matrix, ids, words, asked, firsts, owners = shared.value
-        hashes = ByteRuns()
+        table, squares, matrix, ids, known = shared.value
+        hashes, nothing = ByteRuns(), np.zeros(0, np.int64)
         for batch in batches:
             coded = [word_codes(text, hashes) for text in batch["text"]]
-            tops = np.zeros(len(coded))
+            tops, retrieved = np.zeros(len(coded)), {}
             for numbers, lot in parts(iter(coded)) if len(ids) and table is not None else ():
-                owner, cosine = best_cosines(numbers, lot, table, squares, matrix)
-                np.maximum.at(tops, owner, cosine.max(1))
+                owner, cosines = best_cosines(numbers, lot, table, squares, matrix)
+                np.maximum.at(tops, owner, cosines.max(1))
+                for at, n in zip(*np.nonzero(cosines >= RETRIEVED)):
+                    retrieved.setdefault(int(owner[at]), []).append(n)
             out = {"item_ids": [], "cosine": np.minimum(tops, 1.0), "share": []}
-            for codes in coded:
-                held = np.unique(places_of(codes, asked)[1])
-                hits: dict[int, float] = {}
-                for n in np.unique(np.concatenate([owners[firsts[h] : firsts[h + 1]] for h in held])).tolist() if len(held) else ():
-                    if share := best_share(codes, words[n]):
-                        hits[n] = share
+            for row, codes in enumerate(coded):
+                hits = known.found(codes, np.array(retrieved[row]) if row in retrieved else nothing)
                 out["item_ids"].append(sorted(ids[n] for n in hits))
                 out["share"].append(max(hits.values(), default=0.0))
             yield pd.DataFrame({"doc_id": exact_ids(batch), "text_hash": batch["text_hash"], **out})
@@ -382,5 +406,5 @@ def find_contaminated(docs: DataFrame, items: DataFrame, cosines: bool = True) -
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no item was found, with all their columns."""
-    bad = find_contaminated(docs, items, cosines=False).where("contaminated").select(F.struct(F.col("doc_id").alias("id"), "text_hash").alias("__of")).distinct()
+    bad = find_contaminated(docs, items).where("contaminated").select(F.struct(F.col("doc_id").alias("id"), "text_hash").alias("__of")).distinct()
     return docs.join(bad, document_key() == F.col("__of"), "left_anti")

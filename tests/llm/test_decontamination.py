@@ -109,3 +109,12 @@ def test_no_document_is_left_out_of_the_fit(spark):
         space = decontamination.latent_space(items, documents(spark, docs[:i] + [(i, rare, "en", "a")] + docs[i + 1 :]), idf)
         at = np.unique(decontamination.buckets(decontamination.word_codes(rare, hashes)))
         assert np.linalg.norm(space[at].sum(0)) > 0.9 * np.sqrt(len(at))
+
+
+def test_the_space_retrieves_what_is_dropped(spark, monkeypatch):
+    """Dropping rows searches the latent space: it names the texts to compare where no rare word does, too."""
+    items = [(i, prose(40, 600 + i)) for i in range(8)]
+    docs = planted(spark, items)
+    monkeypatch.setattr(decontamination, "telling_words", lambda *_: np.zeros(0, np.int64))
+    left = decontamination.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(8, 68))
