@@ -239,3 +239,16 @@ def test_order_of_long_pages(spark):
     df = spark.createDataFrame(rows, "page int, line int").select(line_sequence(F.col("page"), F.col("line")).alias("s"))
     a, b, c, d = (r.s for r in df.collect())
     assert a < c < b < d < 2**63
+
+
+def test_words_are_not_sorted_before_their_exchange(spark):
+    """Words leave their tasks as they come: no list of a page is gathered on both sides of the exchange, and the
+    parts behind it are as many as the session's shuffles have, whatever they weigh compressed."""
+    from orderflow.operators import lines
+
+    words = spark.createDataFrame([("d", 1, i, 1.0, 10.0 * i, "w") for i in range(9)], "doc_id string, page int, word_seq int, x0 double, top double, text string")
+    for found in (lines.assemble_lines(words), lines.cluster_lines(words, "reading")):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        before = plan[plan.index("Exchange hashpartitioning(doc_id"):]
+        assert "REPARTITION_BY_NUM" in before and "collect_list" not in before
+        assert found.count() == 9
