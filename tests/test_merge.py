@@ -327,3 +327,25 @@ def test_counts_add_up(spark):
     assert s.rows_matched + s.rows_not_found + s.rows_blank_key == s.total_csv_rows == len(rows)
     plain = merged.updates.filter("outcome = 'written'").count()
     assert s.skipped_cells + s.yellow_cells + s.red_cells + plain == 2 * s.rows_matched
+
+
+def test_final_cells_lie_by_their_row(spark):
+    """Updates are exchanged before they are one for each pair; the cells that stay need no exchange of their own, and
+    putting them into the rows of every document's template does not run the merge a second time."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = lines_frame(spark, [("a", "1"), ("b", "2"), ("none", "3"), ("a", "4")])
+        cells = grid(spark, [["Item", "Qty"], ["a", 5], ["b", ""], ["c", 7]])
+        cells = cells.unionByName(cells.where("row_idx = 1"))  # a row that stands there twice
+        template = T.template_from_cells(cells, ["Qty"])
+        merged = M.merge_into_template(df, template, ["Quantity"], ["Qty"], key="Item", per_document=True)
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        assert plan(merged.final).count("Exchange") == plan(merged.updates).count("Exchange")
+        applied = T.apply_to_grid(cells, merged.final)
+        assert plan(applied).count("Window [") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    out = sorted((r.doc_id, r.row_idx, r.col_idx, r.num, r.txt, r.outcome) for r in applied.fillna({"num": -1.0, "txt": "", "outcome": ""}).collect())
+    assert out == [("d", 1, 0, -1.0, "a", "")] * 2 + [("d", 1, 1, 4.0, "", "written")] * 2 + [
+        ("d", 2, 0, -1.0, "b", ""), ("d", 2, 1, 2.0, "", "written")]
