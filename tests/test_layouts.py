@@ -252,3 +252,13 @@ def test_words_are_not_sorted_before_their_exchange(spark):
         before = plan[plan.index("Exchange hashpartitioning(doc_id"):]
         assert "REPARTITION_BY_NUM" in before and "collect_list" not in before
         assert found.count() == 9
+
+
+def test_parts_grow_with_the_words(spark, monkeypatch):
+    """However many words there are, a task gathers so many of them at most, as pages allow; the lines are the same."""
+    words = words_frame(spark, [(page, 10.0 * line, [(1, "a"), (2, "b")]) for page in range(1, 31) for line in range(2)])
+    shown = lambda: sorted((r.page, r.line_key, r.line_text) for r in lines.assemble_lines(words).collect())
+    plain = shown()
+    monkeypatch.setattr(lines, "PART_WORDS", 1)
+    assert lines.assemble_lines(words).rdd.getNumPartitions() >= 120
+    assert shown() == plain and len(plain) == 60
