@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import document_key, exact_ids, id_parts, staged
+from orderflow.llm.common import document_key, exact_ids, id_parts, staged, staged_last
 from orderflow.llm import exact_dedup
 from orderflow.llm.exact_dedup import possible
 from orderflow.llm.fm_index import FMIndex, repeated_windows
@@ -207,7 +207,7 @@ def candidate_places(docs: DataFrame) -> DataFrame:
         # joined on structs, so that the places of a frequent anchor can be split over tasks
         twice = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("anchor").alias("of"))
         found = some.withColumn("at", F.struct("anchor")).join(twice, F.col("at") == F.col("of"), "left_semi")
-    return staged(found.groupBy("id", "text_hash", "place", "anchor", "segment").agg(F.count(F.lit(1)).alias("n")))
+    return found.groupBy("id", "text_hash", "place", "anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
 
 
 UNIT = "id long, no_id boolean, text_hash long, start long, a long, b long, inside array<struct<offset: long, anchor: long, segment: long>>"
@@ -272,25 +272,27 @@ def document_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     return placed.select(F.struct("id", "text_hash").alias("of"), there.alias("there")).groupBy("of").agg(F.flatten(F.collect_list("there")).alias("places"))
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
-    """of (a document's key) and places: a list of start and bits of the windows from there that occur anywhere else."""
-    candidates = candidate_places(docs)
+def segment_reports(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """anchor_, segment_ and repeated: a bit for each window of a segment that occurs anywhere else; segments without one are left out."""
     segments = staged(candidates.groupBy("anchor", "segment").agg(
         F.sum("n").alias("weight"), F.min(F.struct("id", "text_hash", "place")).alias("one")
     ).select("anchor", "segment", "weight", "one.*").select(
         "anchor", "segment", "weight", F.struct("id", "text_hash").alias("key"), *[c.alias(n) for n, c in place_parts().items()]
     ))
-    crowds = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_SEGMENTS).select(F.col("anchor").alias("of"))
-    wanted = segments.join(crowds, F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.col("of").isNotNull()).drop("of")
+    crowds = staged(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_SEGMENTS).select(F.col("anchor").alias("of")))
+    any_crowd = not crowds.isEmpty()
+    crowded = segments.join(crowds, F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.col("of").isNotNull()).drop("of")
     size = segments.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
-    cut = cut_words(docs, wanted)
+    cut = cut_words(docs, crowded if any_crowd else segments.withColumn("crowded", F.lit(False)))
 
     gathered = cut.where("not crowded").select(
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.col("anchor").alias("a"), F.col("segment").alias("b"),
         "windows", "anchor_at", "weight", "words",
     )
-    whole = search_shards(gathered, "shard").select(F.col("a").alias("anchor_"), F.col("b").alias("segment_"), "repeated")
+    whole = search_shards(gathered, "shard").select(F.col("a").alias("anchor_"), F.col("b").alias("segment_"), "repeated").where("repeated > 0")
+    if not any_crowd:
+        return whole
 
     single = cut.where("crowded").withColumn("window", F.xxhash64("words"))
     merged = single.groupBy("anchor", "window").agg(
@@ -303,8 +305,21 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     back = single.select("anchor", "segment", "first", "window").join(alone, (F.col("anchor") == F.col("a")) & (F.col("window") == F.col("b"))).groupBy(
         F.col("anchor").alias("anchor_"), F.col("segment").alias("segment_")
     ).agg(F.bit_or(F.expr("shiftleft(1L, first)")).alias("repeated"))
+    return whole.unionByName(back)
+
+
+def repeated_places(docs: DataFrame) -> DataFrame:
+    """of (a document's key) and places: a list of start and bits of the windows from there that occur anywhere else.
+
+    Each step is written before the next one begins; then what it was made from, and its shuffle files, go.
+    """
+    spark = docs.sparkSession
+
+    def steps() -> DataFrame:
+        candidates = staged_last(spark, lambda: candidate_places(docs))
+        return document_reports(candidates, staged_last(spark, lambda: segment_reports(docs, candidates)))
 
-    return document_reports(candidates, whole.where("repeated > 0").unionByName(back))
+    return staged_last(spark, steps)
 
 
 def kept_words(text: str | None, places: object) -> tuple[int, list[bytes]]:
