@@ -14,22 +14,30 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in sorted order, by ranks of doubled length."""
+    """Starts of the suffixes in sorted order, by ranks of doubled length. The zeros that end sequences are told apart by their places,
+    so no comparison goes beyond a sequence's end."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    length = 1
+    zero = text == 0
+    zeros = int(zero.sum())
+    first = text + max(zeros - 1, 0)
+    first[zero] = np.arange(zeros)
+    # the first ranks are those of as many symbols as a number holds
+    base = int(first.max()) + 2
+    rank, length = first + 1, 1
+    while length < n and base ** (length + 1) < 1 << 62:
+        rank = rank * base
+        rank[: n - length] += first[length:] + 1
+        length += 1
     while True:
-        second = np.zeros(n, np.int64)
-        if length < n:
-            second[: n - length] = rank[length:] + 1
-        both = rank * (n + 1) + second
-        order = np.argsort(both, kind="stable")
-        ordered = both[order]
+        order = np.argsort(rank)
+        ordered = rank[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        length *= 2
-        if rank[order[-1]] == n - 1 or length >= n:
+        if rank[order[-1]] == n - 1:
             return order
+        rank *= n + 1
+        rank[: n - length] += rank[length:] // (n + 1) + 1
+        length *= 2
 
 
 #: The bits below each place of a word.

@@ -284,7 +284,7 @@ def segment_reports(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     crowded = segments.join(crowds, F.col("anchor") == F.col("of"), "left").withColumn("crowded", F.col("of").isNotNull()).drop("of")
     size = segments.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
-    cut = cut_words(docs, crowded if any_crowd else segments.withColumn("crowded", F.lit(False)))
+    cut = staged(cut_words(docs, crowded if any_crowd else segments.withColumn("crowded", F.lit(False))))
 
     gathered = cut.where("not crowded").select(
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.col("anchor").alias("a"), F.col("segment").alias("b"),
@@ -328,11 +328,11 @@ def kept_words(text: str | None, places: object) -> tuple[int, list[bytes]]:
     if places is None or not len(places):
         return len(words), words
     change = np.zeros(len(words) + 1, np.int64)
-    for place in places:
-        bits = int(place["repeated"])
-        at = np.array([place["start"] + i for i in range(bits.bit_length()) if bits >> i & 1])
-        np.add.at(change, at, 1)
-        np.add.at(change, at + WINDOW, -1)
+    starts, bits = (np.array([place[k] for place in places], np.int64) for k in ("start", "repeated"))
+    row, at = np.nonzero(bits[:, None] >> np.arange(int(bits.max()).bit_length()) & 1)
+    at += starts[row]
+    np.add.at(change, at, 1)
+    np.add.at(change, at + WINDOW, -1)
     covered = np.cumsum(change[:-1]) > 0
     return len(words), [words[i] for i in np.flatnonzero(~covered)]
 
