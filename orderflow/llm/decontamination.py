@@ -21,6 +21,9 @@ for what it misses. A text that holds so many of the words holds at least one of
 of words too large to be left out. The rarest such choice of each item names texts to compare,
 too, so none is lost, however many, long or common the items are.
 
+The words of a document are hashed once: for each a number, its bucket in the low bits and above them its place among
+the words of all items, if it is one, is written for the rounds and the search to read.
+
 Items are a query set: they are searched in blocks of ITEM_BLOCK, each over all rows.
 
 Results: a null text, or one without words, holds nothing. Items without a word or
@@ -72,7 +75,7 @@ def word_codes(text: str | None, hashes: ByteRuns) -> np.ndarray:
 
 
 def buckets(codes: np.ndarray) -> np.ndarray:
-    return (codes & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (codes & codes.dtype.type(BUCKETS - 1)).astype(np.int64)
 
 
 def places_of(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +87,54 @@ def places_of(codes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return at, place[at]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """The numbers of documents and of passages, how many documents hold a word of each bucket and how many each word of the vocabulary."""
+def numbered(codes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """What is kept of words: the bucket, and from BUCKETS up one more than the place in the vocabulary, 0 if it is not there."""
+    found = buckets(codes)
+    at, place = places_of(codes, vocabulary)
+    found[at] += (place + 1) * BUCKETS
+    return found.astype(number_type(vocabulary))
+
+
+def number_type(vocabulary: np.ndarray) -> np.dtype:
+    return np.dtype("<u4" if (len(vocabulary) + 1) * BUCKETS <= 1 << 32 else "<u8")
+
+
+def coded_documents(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """doc_id, text_hash and codes (see numbered) of every row, written once."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, hashes = shared.value, ByteRuns()
+        for batch in batches:
+            codes = [numbered(word_codes(text, hashes), words).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"doc_id": exact_ids(batch), "text_hash": batch["text_hash"], "codes": codes})
+
+    rows = docs.select(document_key().alias("key"), "text").select(*id_parts(F.col("key.id")), "key.text_hash", "text")
+    return staged(rows.mapInPandas(code, "doc_id long, text_hash long, codes binary"))
+
+
+def document_frequencies(coded: DataFrame, vocabulary: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """The numbers of documents and of passages, how many documents hold a word of each bucket and how many each word of the vocabulary."""
+    size, kind = len(vocabulary), number_type(vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = shared.value
-        hashes, totals, rows, passages = ByteRuns(), np.zeros(BUCKETS + len(words), np.int64), 0, 0
+        totals, rows, passages = np.zeros(BUCKETS + size, np.int64), 0, 0
+        last = np.zeros(BUCKETS + size, np.int64)
         for batch in batches:
-            for text in batch["text"]:
+            for data in batch["codes"]:
                 rows += 1
-                codes = word_codes(text, hashes)
+                codes = np.frombuffer(data, kind)
                 passages += max(-(-len(codes) // BLOCK_WORDS) - 1, min(len(codes), 1))
-                totals[np.unique(buckets(codes))] += 1
-                totals[BUCKETS + np.unique(places_of(codes, words)[1])] += 1
+                place = (codes // BUCKETS).astype(np.int64)
+                used = np.concatenate([buckets(codes), place[place > 0] + (BUCKETS - 1)])
+                turn = np.arange(len(used))
+                last[used] = turn  # of equal ones the last stays, so each counts once
+                totals[used[last[used] == turn]] += 1
         used = np.flatnonzero(totals)
         yield pd.DataFrame({"bucket": np.append(used, [-1, -2]), "n": np.append(totals[used], [rows, passages])})
 
-    found = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    result, sizes = np.zeros(BUCKETS + len(vocabulary)), {-1: 0, -2: 0}
+    found = coded.select("codes").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    result, sizes = np.zeros(BUCKETS + size), {-1: 0, -2: 0}
     for r in found:  # at most one row per bucket and word of an item
         if r["bucket"] < 0:
             sizes[r["bucket"]] = r["n"]
@@ -166,29 +198,39 @@ def tf_idf(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (used, values / length) if length else None
 
 
-def add_products(total: np.ndarray, lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray) -> None:
-    """Add to total, but for the idf of its rows, the product of the passages' vectors, their transpose and a matrix (table, with the idf)."""
+def counted(lot: list[np.ndarray]) -> tuple[Passages, np.ndarray, np.ndarray]:
+    """The passages of a lot, the buckets in it and how often each stands in each block, as buckets by blocks."""
     found = buckets(np.concatenate(lot))
     cut = Passages(np.array([len(c) for c in lot]))
-    lengths = np.maximum(cut.sums(np.add.reduceat(squares[found], cut.starts)), 1e-9)
-    seen = cut.sums(np.add.reduceat(table[found], cut.starts)) / lengths[:, None]
-    used, place = np.unique(found, return_inverse=True)
+    there = np.zeros(BUCKETS, bool)
+    there[found] = True
+    used, place = np.flatnonzero(there), np.empty(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
     n = len(cut.starts)
     block = np.repeat(np.arange(n), np.diff(cut.starts, append=len(found)))
-    counts = np.bincount(place * n + block, minlength=len(used) * n).reshape(len(used), n)
-    total[used] += counts.astype(table.dtype) @ cut.to_blocks(seen)
+    return cut, used, np.bincount(place[found] * n + block, minlength=len(used) * n).reshape(len(used), n)
 
 
-def latent_space(items: DataFrame, docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Buckets by dimensions: the right singular vectors of all items and all passages of docs (text). items: text
-    and weight, how often each counts."""
+def add_products(total: np.ndarray, lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray) -> None:
+    """Add to total, but for the idf of its rows, the product of the passages' vectors, their transpose and a matrix (table, with the idf)."""
+    cut, used, counts = counted(lot)
+    counts = counts.astype(table.dtype)
+    lengths = np.maximum(cut.sums(squares[used] @ counts), 1e-9)
+    seen = cut.sums(counts.T @ table[used]) / lengths[:, None]
+    total[used] += counts @ cut.to_blocks(seen)
+
+
+def latent_space(items: DataFrame, docs: DataFrame, idf: np.ndarray, seed: int = 5, kind: np.dtype | None = None) -> np.ndarray:
+    """Buckets by dimensions: the right singular vectors of all items and all passages of docs (text, or codes of a kind).
+    items: text and weight, how often each counts."""
     width = DIMENSIONS + EXTRA
     noise = np.random.default_rng(seed).standard_normal((BUCKETS, width))
     basis = noise
     context = docs.sparkSession.sparkContext
-    told = items.select("text", "weight")
+    told = items.select("text", F.lit(None).cast("binary").alias("codes"), "weight")
+    own = docs.select("text", F.lit(None).cast("binary").alias("codes")) if kind is None else docs.select(F.lit(None).cast("string").alias("text"), "codes")
     # a task returns a matrix, so there are as many as can run at once
-    every = docs.select("text", F.lit(None).cast("double").alias("weight")).unionByName(told).coalesce(context.defaultParallelism)
+    every = own.withColumn("weight", F.lit(None).cast("double")).unionByName(told).coalesce(context.defaultParallelism)
     for rows in (told.coalesce(context.defaultParallelism), every):
         shared = context.broadcast(np.linalg.qr(basis)[0].astype(np.float32))  # buckets x dimensions
 
@@ -198,7 +240,11 @@ def latent_space(items: DataFrame, docs: DataFrame, idf: np.ndarray, seed: int =
             total, of_items = np.zeros((BUCKETS, width)), np.zeros((BUCKETS, width))
             for batch in batches:
                 of_docs, of_batch = batch["weight"].isna().to_numpy(bool), np.zeros((BUCKETS, width), np.float32)
-                for _, lot in parts(word_codes(text, hashes) for text in batch["text"][of_docs]):
+                if kind is None:
+                    coded = (word_codes(text, hashes) for text in batch["text"][of_docs])
+                else:
+                    coded = (np.frombuffer(data, kind) for data in batch["codes"][of_docs])
+                for _, lot in parts(coded):
                     add_products(of_batch, lot, table, squares)
                 total += of_batch
                 for text, weight in zip(batch["text"][~of_docs], batch["weight"][~of_docs]):
@@ -306,34 +352,51 @@ def best_cosines(numbers: list[int], lot: list[np.ndarray], table: np.ndarray, s
 
 
 class Items:
-    """The words of some items as places in a vocabulary, and the items that each place names."""
+    """The words of some items, numbered and as places in a vocabulary, and the items that each place names."""
 
     def __init__(self, coded: list[np.ndarray], vocabulary: np.ndarray, frequencies: np.ndarray) -> None:
-        self.words, self.vocabulary = coded, vocabulary
-        self.least = [least_common(len(c)) for c in coded]
-        self.used = [np.unique(places_of(c, vocabulary)[1], return_counts=True) for c in coded]
+        self.words, self.size = [numbered(c, vocabulary) for c in coded], len(vocabulary)
+        self.least = np.array([least_common(len(c)) for c in coded], np.int64)
+        used = [np.unique(places_of(c, vocabulary)[1], return_counts=True) for c in coded]
+        # the words of item n, and how often it holds them, are used[starts[n] : starts[n + 1]]
+        self.starts = np.append(0, np.cumsum([len(u) for u, _ in used])).astype(np.int64)
+        self.used, self.times = (np.concatenate([*(u[k] for u in used), np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
         telling = [telling_words(c, vocabulary, frequencies) for c in coded]
         owners = np.repeat(np.arange(len(coded)), [len(t) for t in telling])
         chosen = np.concatenate([*telling, np.zeros(0, np.int64)]).astype(np.int64)
         self.owners = owners[np.argsort(chosen, kind="stable")]  # those of place p are owners[firsts[p] : firsts[p + 1]]
         self.firsts = np.append(0, np.cumsum(np.bincount(chosen, minlength=len(vocabulary)))).astype(np.int64)
 
-    def found(self, codes: np.ndarray, retrieved: np.ndarray) -> dict[int, float]:
-        """The items that a text holds, of those that were retrieved or that one of its words names, and their shares."""
-        held, counts = np.unique(places_of(codes, self.vocabulary)[1], return_counts=True)
-        naming = held[self.firsts[held + 1] > self.firsts[held]]
+    def found(self, codes: np.ndarray, retrieved: np.ndarray, held: np.ndarray) -> dict[int, float]:
+        """The items that a text (see numbered) holds, of those that were retrieved or that one of its words names, and their shares.
+
+        held: a zero for each word of the vocabulary, and so it is left.
+        """
+        places = (codes // BUCKETS).astype(np.int64)
+        places = places[places > 0] - 1
+        named = self.owners[ranges(self.firsts[places], self.firsts[places + 1])]
+        asked = np.unique(np.concatenate([retrieved, named]))
         hits: dict[int, float] = {}
-        for n in np.unique(np.concatenate([retrieved, *[self.owners[self.firsts[h] : self.firsts[h + 1]] for h in naming]])).tolist():
-            used, times = self.used[n]
-            at = np.minimum(np.searchsorted(held, used), len(held) - 1)
+        if len(asked) and len(places):
+            np.add.at(held, places, 1)
+            at = ranges(self.starts[asked], self.starts[asked + 1])
+            sizes = self.starts[asked + 1] - self.starts[asked]
             # no common subsequence is longer than the words in common
-            if len(held) and np.minimum(counts[at], times)[held[at] == used].sum() >= self.least[n]:
+            common = np.add.reduceat(np.minimum(held[self.used[at]], self.times[at]), np.cumsum(sizes) - sizes)
+            held[places] = 0
+            for n in asked[common >= self.least[asked]].tolist():
                 if share := best_share(codes, self.words[n]):
                     hits[n] = share
         return hits
 
 
-def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray, frequencies: np.ndarray, space: np.ndarray | None, idf: np.ndarray) -> DataFrame:
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def search(coded_docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray, frequencies: np.ndarray, space: np.ndarray | None, idf: np.ndarray) -> DataFrame:
     """doc_id, text_hash, item_ids, best cosine and best share of every row, for one block of items; without a space no cosine."""
     hashes = ByteRuns()
     coded = [(item_id, word_codes(text, hashes)) for item_id, text in items]
@@ -345,15 +408,16 @@ def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray
         for n, (_, codes) in enumerate(coded):
             matrix[n] = table[buckets(codes)].sum(0)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((
+    kind = number_type(vocabulary)
+    shared = coded_docs.sparkSession.sparkContext.broadcast((
         table, (idf**2).astype(np.float32), matrix, [i for i, _ in coded], Items([c for _, c in coded], vocabulary, frequencies)
     ))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, squares, matrix, ids, known = shared.value
-        hashes, nothing = ByteRuns(), np.zeros(0, np.int64)
+        nothing, held = np.zeros(0, np.int64), np.zeros(known.size, np.int64)
         for batch in batches:
-            coded = [word_codes(text, hashes) for text in batch["text"]]
+            coded = [np.frombuffer(data, kind) for data in batch["codes"]]
             tops, retrieved = np.zeros(len(coded)), {}
             for numbers, lot in parts(iter(coded)) if len(ids) and table is not None else ():
                 owner, cosines = best_cosines(numbers, lot, table, squares, matrix)
@@ -362,12 +426,12 @@ def search(docs: DataFrame, items: list[tuple[int, str]], vocabulary: np.ndarray
                     retrieved.setdefault(int(owner[at]), []).append(n)
             out = {"item_ids": [], "cosine": np.minimum(tops, 1.0), "share": []}
             for row, codes in enumerate(coded):
-                hits = known.found(codes, np.array(retrieved[row]) if row in retrieved else nothing)
+                hits = known.found(codes, np.array(retrieved[row]) if row in retrieved else nothing, held)
                 out["item_ids"].append(sorted(ids[n] for n in hits))
                 out["share"].append(max(hits.values(), default=0.0))
             yield pd.DataFrame({"doc_id": exact_ids(batch), "text_hash": batch["text_hash"], **out})
 
-    rows = docs.select(document_key().alias("key"), "text").select(*id_parts(F.col("key.id")), "key.text_hash", "text")
+    rows = coded_docs.select(*id_parts(), "text_hash", "codes")
     return rows.mapInPandas(judge, "doc_id long, text_hash long, item_ids array<long>, cosine double, share double")
 
 
@@ -382,17 +446,18 @@ def find_contaminated(docs: DataFrame, items: DataFrame, cosines: bool = True) -
         if len(some) == ITEM_BLOCK:
             vocabulary, some = np.unique(np.concatenate([vocabulary, *some])), []
     vocabulary = np.unique(np.concatenate([vocabulary, *some]))
-    rows, passages, frequencies, word_frequencies = document_frequencies(docs, vocabulary)
+    coded = coded_documents(docs, vocabulary)
+    rows, passages, frequencies, word_frequencies = document_frequencies(coded, vocabulary)
     idf = np.log((rows + 1) / (frequencies + 1)) + 0.1  # of every word above 0
     space = None
     if cosines:
         weighted = items.select("text", F.lit(max(1.0, passages / max(n_items, 1))).alias("weight"))
-        space = latent_space(weighted, docs, idf)
+        space = latent_space(weighted, coded, idf, kind=number_type(vocabulary))
     found = None
     blocks = max(1, -(-n_items // ITEM_BLOCK))
     for block in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about ITEM_BLOCK items
-        hits = search(docs, [(r["item_id"], r["text"]) for r in some], vocabulary, word_frequencies, space, idf)
+        hits = search(coded, [(r["item_id"], r["text"]) for r in some], vocabulary, word_frequencies, space, idf)
         found = hits if found is None else found.unionByName(hits)
     if blocks > 1:
         merged = staged(found).groupBy(F.struct(F.col("doc_id").alias("id"), "text_hash").alias("of")).agg(

@@ -118,3 +118,31 @@ def test_the_space_retrieves_what_is_dropped(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "telling_words", lambda *_: np.zeros(0, np.int64))
     left = decontamination.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(8, 68))
+
+
+def test_words_are_hashed_once(spark, monkeypatch):
+    """Frequencies, fit and search read the numbers of the words, which are written once; none of them reads a text."""
+    seen = []
+    for name in ("document_frequencies", "latent_space", "search"):
+        of_docs = 1 if name == "latent_space" else 0
+
+        def noted(*args, of_docs=of_docs, run=getattr(decontamination, name), **named):
+            seen.append(args[of_docs].columns)
+            return run(*args, **named)
+
+        monkeypatch.setattr(decontamination, name, noted)
+    items = [(i, invented(30, i)) for i in range(4)]
+    found = decontamination.find_contaminated(planted(spark, items), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in found.collect() if r["contaminated"]} == {i: [i] for i in range(4)}
+    assert seen == [["doc_id", "text_hash", "codes"]] * 3
+
+
+def test_numbers_keep_bucket_and_place():
+    hashes = decontamination.ByteRuns()
+    codes = decontamination.word_codes(" ".join(f"w{i % 50}" for i in range(200)), hashes)
+    vocabulary = np.unique(codes[:20])
+    numbers = decontamination.numbered(codes, vocabulary)
+    assert (decontamination.buckets(numbers) == decontamination.buckets(codes)).all()
+    at, place = decontamination.places_of(codes, vocabulary)
+    assert (numbers[at] // decontamination.BUCKETS - 1 == place).all()
+    assert (np.delete(numbers, at) < decontamination.BUCKETS).all()
