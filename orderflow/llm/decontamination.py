@@ -198,26 +198,20 @@ def tf_idf(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (used, values / length) if length else None
 
 
-def counted(lot: list[np.ndarray]) -> tuple[Passages, np.ndarray, np.ndarray]:
-    """The passages of a lot, the buckets in it and how often each stands in each block, as buckets by blocks."""
+def add_products(total: np.ndarray, lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray) -> None:
+    """Add to total, but for the idf of its rows, the product of the passages' vectors, their transpose and a matrix (table, with the idf)."""
     found = buckets(np.concatenate(lot))
     cut = Passages(np.array([len(c) for c in lot]))
-    there = np.zeros(BUCKETS, bool)
+    lengths = np.maximum(cut.sums(np.add.reduceat(squares[found], cut.starts)), 1e-9)
+    seen = cut.sums(np.add.reduceat(table[found], cut.starts)) / lengths[:, None]
+    there, place = np.zeros(BUCKETS, bool), np.empty(BUCKETS, np.int64)
     there[found] = True
-    used, place = np.flatnonzero(there), np.empty(BUCKETS, np.int64)
+    used = np.flatnonzero(there)
     place[used] = np.arange(len(used))
     n = len(cut.starts)
     block = np.repeat(np.arange(n), np.diff(cut.starts, append=len(found)))
-    return cut, used, np.bincount(place[found] * n + block, minlength=len(used) * n).reshape(len(used), n)
-
-
-def add_products(total: np.ndarray, lot: list[np.ndarray], table: np.ndarray, squares: np.ndarray) -> None:
-    """Add to total, but for the idf of its rows, the product of the passages' vectors, their transpose and a matrix (table, with the idf)."""
-    cut, used, counts = counted(lot)
-    counts = counts.astype(table.dtype)
-    lengths = np.maximum(cut.sums(squares[used] @ counts), 1e-9)
-    seen = cut.sums(counts.T @ table[used]) / lengths[:, None]
-    total[used] += counts @ cut.to_blocks(seen)
+    counts = np.bincount(place[found] * n + block, minlength=len(used) * n).reshape(len(used), n)
+    total[used] += counts.astype(table.dtype) @ cut.to_blocks(seen)
 
 
 def latent_space(items: DataFrame, docs: DataFrame, idf: np.ndarray, seed: int = 5, kind: np.dtype | None = None) -> np.ndarray:
