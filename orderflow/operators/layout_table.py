@@ -19,6 +19,7 @@ from orderflow.operators.buckets import Bucket
 from orderflow.operators.lines import PAGE, assemble_lines
 from orderflow.operators.order_lines import LINE_FIELDS, NUMBER_COLUMNS, line_sequence, to_order_lines
 from orderflow.operators.template import lookup_value
+from orderflow.staging import staged
 
 #: key_left_of: an item line begins with a word left of this, of key_min_length letters at least, which is its key.
 #: marker: or it holds this text and has min_tokens words; words that are the marker belong to no column.
@@ -72,11 +73,14 @@ def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def layout_rules(layouts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """One row for each layout: of (a join value), its columns and the array of its buckets."""
+    """One row for each layout: of (a join value), its columns, the array of its buckets, and rule, a number of its own.
+
+    They are staged, so that their size is known and words and lines need not be exchanged by layout to meet few of them.
+    """
     columns = [c for c in buckets.columns if c != "layout"]
     gathered = buckets.groupBy(lookup_value(F.col("layout")).alias("__of")).agg(F.collect_list(F.struct(*columns)).alias("buckets"))
     named = layouts.withColumn("of", lookup_value(F.col("layout"))).drop("layout")
-    return named.join(gathered, F.col("of") == F.col("__of"), "left").drop("__of")
+    return staged(named.join(gathered, F.col("of") == F.col("__of"), "left").drop("__of").withColumn("rule", F.monotonically_increasing_id()))
 
 
 def _holds(bucket: Column, word: Column) -> Column:
@@ -118,27 +122,30 @@ def _description() -> Column:
 def assemble_mixed(words: DataFrame, rules: DataFrame) -> DataFrame:
     """Visual lines of words of any layouts (column layout), each in its layout's word order, with the layout's rules.
 
-    Words whose layout has no rules give no lines.
+    Words whose layout has no rules give no lines. own_doc is layout and document as one value, by which, with the page, lines lie.
     """
     orders = rules.select(F.col("of").alias("__of"), F.col("reading_order").alias("in_reading_order"))
     ordered = words.withColumn("__at", lookup_value(F.col("layout"))).join(orders, F.col("__at") == F.col("__of")).drop("__at", "__of")
     # the layout is part of what tells pages apart, so it comes along without a value of its own
     own = F.when(F.col("doc_id").isNotNull(), F.struct("layout", "doc_id"))
     lines = assemble_lines(ordered.withColumn("doc_id", own), "declared")
-    told = lines.select(F.col("doc_id.layout").alias("layout"), F.col("doc_id.doc_id").alias("doc_id"), *[c for c in lines.columns if c != "doc_id"])
+    told = lines.select(F.col("doc_id.layout").alias("layout"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id").alias("own_doc"), *[c for c in lines.columns if c != "doc_id"])
     return told.withColumn("__at", lookup_value(F.col("layout"))).join(rules, F.col("__at") == F.col("of")).drop("__at", "of")
 
 
-def bucket_lines(lines: DataFrame) -> DataFrame:
+def bucket_lines(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Item lines of any layouts to raw columns: layout, doc_id, page, line_key and the fields, empty ones as ''.
 
-    lines: as from assemble_mixed.
+    lines: as from assemble_mixed. rules: those that they were assembled with; given them, only item lines get their
+    buckets, and no line carries them while a page's lines are put in order.
     """
-    page = W.partitionBy("layout", *PAGE).orderBy("line_key")
+    page = W.partitionBy("own_doc", "page").orderBy("line_key")  # where they lie already
     # only item lines keep their words through the window
     slim = lines.withColumn("item", _is_item()).withColumn("own", _description()).withColumn("words", F.when(F.col("item"), F.col("words")))
     below = F.lead("own").over(page)
-    items = slim.withColumn("below", F.coalesce(below, F.lit(""))).where("item")
+    items = (slim if rules is None else slim.drop("buckets")).withColumn("below", F.coalesce(below, F.lit(""))).where("item")
+    if rules is not None:
+        items = items.join(rules.select("rule", "buckets"), "rule")
     by_key = F.col("key_left_of").isNotNull()
     rest = F.when(by_key, F.slice("words", 2, F.size("words"))).otherwise(
         F.filter("words", lambda w: F.col("marker").isNull() | (w["text"] != F.col("marker")))
@@ -158,6 +165,7 @@ def bucket_lines(lines: DataFrame) -> DataFrame:
 
 def extract(words: DataFrame, layouts: DataFrame, buckets: DataFrame) -> DataFrame:
     """Canonical order lines of words of any layouts. words: as from read_words, with the layout of the document."""
-    rows = bucket_lines(assemble_mixed(words, layout_rules(layouts, buckets)))
+    rules = layout_rules(layouts, buckets)
+    rows = bucket_lines(assemble_mixed(words, rules), rules)
     rows = rows.withColumn("line_seq", line_sequence(F.col("page"), F.col("line_key")))
     return to_order_lines(rows, F.col("layout"), NUMBER_COLUMNS)

@@ -67,3 +67,35 @@ def test_a_new_vendor_is_rows(spark, tmp_path):
         assert [r.key for r in again.orderBy("line_seq").collect()] == ["A-1", "B"]
     finally:
         registry._LAYOUTS.pop("vendor")
+
+
+def test_words_are_exchanged_once_and_lines_not_again(spark):
+    """Few layouts are brought to the words: these are exchanged by page alone, their lines stay there and are put in
+    order without the buckets of their layout."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = layout_table.extract(mixed(spark), *layout_table.known_layouts(spark))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+        window = next(line for line in plan.splitlines() if "Project [" in line and "CASE WHEN item" in line)
+        assert "buckets" not in window
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert found.count() == 9
+
+
+def test_words_travel_as_plain_columns(spark):
+    """What words are put in order by is made of them behind their exchange, not sent along."""
+    found = layout_table.assemble_mixed(mixed(spark), layout_table.layout_rules(*layout_table.known_layouts(spark)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("struct(first") < plan.index("RepartitionByExpression")
+    assert "struct(first" not in plan[plan.index("RepartitionByExpression"):]
+
+
+def test_a_layout_named_twice(spark):
+    """Every rule of the name reads the lines with its own buckets, whether these come before or behind the order of lines."""
+    layouts, buckets = layout_table.known_layouts(spark)
+    rules = layout_table.layout_rules(layouts.unionByName(layouts.where("layout = 'columns'")), buckets)
+    lines = layout_table.assemble_mixed(mixed(spark), rules)
+    assert layout_table.bucket_lines(lines).count() == layout_table.bucket_lines(lines, rules).count()
