@@ -349,3 +349,37 @@ def test_final_cells_lie_by_their_row(spark):
     out = sorted((r.doc_id, r.row_idx, r.col_idx, r.num, r.txt, r.outcome) for r in applied.fillna({"num": -1.0, "txt": "", "outcome": ""}).collect())
     assert out == [("d", 1, 0, -1.0, "a", "")] * 2 + [("d", 1, 1, 4.0, "", "written")] * 2 + [
         ("d", 2, 0, -1.0, "b", ""), ("d", 2, 1, 2.0, "", "written")]
+
+
+def test_marks_meet_the_lines_at_their_row(spark):
+    """Lines are exchanged by key and by row, not by document and key as well for the checks' marks; the marks of a line are
+    the same as where rows are crowded and nothing is exchanged by row. B leads to the row of A, zz to none."""
+    rnd = random.Random(4)
+    schema = "doc_id string, line_seq long, Item string, Quantity string, Price string"
+    rows = [(rnd.choice(["d1", "d2", "d3", None]), i, rnd.choice(["A", "B", "C", "zz", "", None]), str(rnd.randint(1, 9)), "3") for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:20], schema)
+    marked = [(d, k, c) for d in ("d1", "d2", None, "other") for k in ("A", "B", "zz", "", None, "unknown") for c in ("Quantity", "Price") if rnd.random() < 0.6]
+    flags = spark.createDataFrame(marked + marked[:3], "doc_id string, key string, column string")
+    cells = grid(spark, [["Item", "Other", "Qty", "Cost"], ["A", "B", "0", ""], ["C", "", "", 3]])
+    template = T.template_from_cells(cells, ["Qty", "Cost"])
+    rows_of = {"A": 1, "B": 1, "C": 2}
+    for per_document in (False, True):
+        args = (df, template, ["Quantity", "Price"], ["Qty", "Cost"])
+        options = {"key": "Item", "order": ("line_seq",), "flags": flags, "per_document": per_document}
+        merged, crowded = (M.merge_into_template(*args, **options, crowd=crowd) for crowd in (1000, 0))
+        shown = lambda m: sorted((r.line_seq, repr(r.key), r.outcome, repr(r.source_column)) for r in m.updates.collect())
+        got = shown(merged)
+        assert got == shown(crowded) and {"flagged", "written", "skipped", "unmatched", "blank_key"} <= {g[2] for g in got}
+        asked = {(r[1], c): (r[0], r[2], c) in set(marked) for r in rows for c in ("Quantity", "Price")}
+        for seq, key, outcome, column in got:
+            if outcome in ("flagged", "written"):
+                assert eval(key) in rows_of and (outcome == "flagged") == asked[seq, eval(column)]
+        before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = merged.updates._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(__mark" not in plan
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
